@@ -69,8 +69,8 @@ def votes() -> dict[str, Column]:
     mean = F.col("word_chars") / n
     return {
         "symbols": low("n_symbols", n, 0.05, 0.25),
-        "lines": low("n_dup_lines", F.col("n_lines"), 0.0, 0.3, least=4),
-        "windows": low("n_repeat_words", n, 0.05, 0.2, least=GRAM),
+        "lines": low("n_dup_lines", F.col("n_lines"), 0.1, 0.5, least=4),
+        "windows": low("n_repeat_words", n, 0.1, 0.3, least=GRAM),
         "stutters": low("n_stutters", n, 0.05, 0.2, least=5),
         "capitals": low("n_capitals", F.col("word_chars"), 0.15, 0.5),
         "word_length": F.when(n < 5, None).when((mean < 2.5) | (mean > 14), 0).when((mean >= 3.5) & (mean <= 9), 1),
@@ -81,7 +81,8 @@ def votes() -> dict[str, Column]:
 def fit(patterns: list[tuple[tuple, int]], rounds: int = 50) -> tuple[float, list[list[float]]]:
     """Share of good documents, and for each rule P(vote good | good) and P(vote good | bad), by EM over patterns."""
     rules = len(patterns[0][0]) if patterns else 0
-    share, good = 0.8, [[0.9, 0.3] for _ in range(rules)]
+    # junk comes in kinds, so a bad document still gets most rules' votes for good: one vote against must weigh more
+    share, good = 0.8, [[0.995, 0.75] for _ in range(rules)]
     for _ in range(rounds):
         posterior = [1 / (1 + math.exp(-max(-50.0, min(50.0, log_odds(p, share, good))))) for p, _ in patterns]
         total = sum(n for _, n in patterns)
