@@ -1,9 +1,13 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import minhash, mixing, rules
+from . import binary, embeddings, minhash, mixing, packing, rules, substring
 
 QUERIES = {
+    "op1_binary": binary.op1_binary,
+    "op4_packing": packing.op4_packing,
     "op5_rules": rules.op5_rules,
+    "op7_embeddings": embeddings.op7_embeddings,
+    "op8_substring": substring.op8_substring,
     "op9_mixing": mixing.op9_mixing,
     "op10_minhash": minhash.op10_minhash,
 }

@@ -19,6 +19,8 @@ from .common import materialise, table
 from .mixing import word_list
 
 GRAM = 8
+#: Bounds of the estimates: a rule votes good on so many good documents at least, and on so many bad ones at most.
+LEAST_GOOD, MOST_BAD = 0.995, 0.9
 
 
 def _repeated_words(words: Column, n: Column, hashes: Column) -> Column:
@@ -92,7 +94,8 @@ def fit(patterns: list[tuple[tuple, int]], rounds: int = 50) -> tuple[float, lis
                 cast = sum(q * n for q, (p, n) in zip(weight, patterns) if p[r] is not None)
                 yes = sum(q * n for q, (p, n) in zip(weight, patterns) if p[r] == 1)
                 good[r][k] = (yes + (2, 1)[k]) / (cast + 3)
-            good[r][1] = min(good[r][1], good[r][0])  # a vote for good never speaks against
+        # rules are made to fire on few good documents, and junk of other kinds mostly passes them
+        good = [[max(g, LEAST_GOOD), min(b, MOST_BAD)] for g, b in good]
     return share, good
 
 
