@@ -51,13 +51,13 @@ def _cut(histogram: DataFrame, rest: Column, bucket: str) -> DataFrame:
     return histogram.select("*", F.coalesce(F.sum("words").over(w), F.lit(0)).alias("before"), rest.alias("rest"))
 
 
-def mix(docs: DataFrame, limit: int = 3) -> DataFrame:
-    """docs with size, source_size, target, copies and taken, each source's taken words near its target."""
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
-    sized = docs.select("doc_id", "source", F.size(word_list(F.col("text"))).cast("long").alias("size"), hashed.alias("h"))
-    sized = sized.select("doc_id", "source", "size", F.shiftright("h", 60 - BITS).alias("b1"), F.shiftright("h", 60 - 2 * BITS).bitwiseAND((1 << BITS) - 1).alias("b2"))
-    sized = materialise(sized, "sized")
+def _buckets() -> list[Column]:
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+    return [F.shiftright(h, 60 - BITS).alias("b1"), F.shiftright(h, 60 - 2 * BITS).bitwiseAND((1 << BITS) - 1).alias("b2")]
+
 
+def thresholds(sized: DataFrame, limit: int) -> DataFrame:
+    """(source, source_size, target, whole, left_over, edge1, edge2): what decides on each document of a source."""
     targets = source_targets(sized, limit)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = materialise(targets.select("source", "source_size", "target", whole.cast("long").alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("left_over")), "targets")
@@ -74,12 +74,34 @@ def mix(docs: DataFrame, limit: int = 3) -> DataFrame:
 
     cuts = targets.join(edge.select(F.col("source").alias("s1"), "edge1"), F.col("source").eqNullSafe(F.col("s1")), "left")
     cuts = cuts.join(fine.select(F.col("source").alias("s2"), "edge2"), F.col("source").eqNullSafe(F.col("s2")), "left")
-    cuts = materialise(cuts.select("source", "source_size", "target", "whole", "left_over", "edge1", F.coalesce("edge2", F.lit(-1)).alias("edge2")), "cuts")
+    return materialise(cuts.select("source", "source_size", "target", "whole", "left_over", "edge1", F.coalesce("edge2", F.lit(-1)).alias("edge2")), "cuts")
+
+
+def with_copies(docs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """docs with copies, how often the mix takes each; all other columns as they are."""
     # without an edge the source takes all once more, or nothing is left over to take
     below = F.when(F.col("edge1").isNull(), F.col("left_over") > 0).otherwise((F.col("b1") < F.col("edge1")) | ((F.col("b1") == F.col("edge1")) & (F.col("b2") <= F.col("edge2"))))
-    copies = F.col("whole") + below.cast("long")
-    out = sized.join(cuts, same(sized, cuts)).select("doc_id", sized["source"], "size", "source_size", "target", copies.alias("copies"))
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    names = docs.columns
+    at = cuts.withColumnRenamed("source", "of_source")
+    found = docs.select("*", *_buckets()).join(at, F.col("source").eqNullSafe(F.col("of_source")))
+    return found.select(*names, "source_size", "target", (F.col("whole") + below.cast("long")).alias("copies"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return materialise(docs.select("doc_id", "source", F.size(word_list(F.col("text"))).cast("long").alias("size"), *_buckets()), "sized")
+
+
+def mix(docs: DataFrame, limit: int = 3) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) per row; each source's taken words come near its target."""
+    sized = _sized(docs)
+    found = with_copies(sized.drop("b1", "b2"), thresholds(sized, limit))
+    return found.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed(docs: DataFrame, limit: int = 3) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    taken = with_copies(docs, thresholds(_sized(docs), limit)).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))), *docs.columns).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

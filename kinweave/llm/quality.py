@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, steps, table, texts_of
+from .common import materialise, table, texts_of
 
 FEATURES, WIDTH, RIDGE, BINS = 192, 3.0, 1e-3, 512
 MOST_LABELLED = 400_000
@@ -120,62 +120,95 @@ def isotonic(bins: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.nda
     return np.array(x), np.maximum.accumulate(np.array(p)) if p else np.array(p)
 
 
-def _scored(fourier: Fourier | None, beta: np.ndarray, x: np.ndarray, p: np.ndarray):
+class Model:
+    """Statistics to scores: random features, ridge weights, calibration; without a fit every score is 0.5."""
+
+    def __init__(self, fourier: Fourier | None = None, beta: np.ndarray | None = None):
+        self.fourier, self.beta = fourier, beta
+        self.x, self.p = np.zeros(1), np.full(1, 0.5)
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.fourier(x) @ self.beta if self.fourier else np.zeros(len(x))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(self.raw(x), self.x, self.p), 0, 1)
+
+
+def _applied(model: Model):
     def run(batches):
         for batch in batches:
-            raw = fourier(_matrix(batch)) @ beta if fourier else np.zeros(batch.num_rows)
-            score = np.interp(raw, x, p) if len(x) else np.full(batch.num_rows, 0.5)
+            x = _matrix(batch)
             kept = [batch.column(c) for c in ("doc_id", "fold")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, pa.float64()), pa.array(np.clip(score, 0, 1), pa.float64())], ["doc_id", "fold", "raw", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.raw(x)), pa.array(model.scores(x))], ["doc_id", "fold", "raw", "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of docs, learned from labels (doc_id, quality)."""
+_SCORED = "doc_id long, fold int, raw double, score double"
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, fold, x) per row: fold 2 is held out, 1 calibrates, 0 is fitted, -1 has no doc_id."""
     crc = F.crc32(F.col("doc_id").cast("string"))
     fold = F.when(F.col("doc_id").isNull(), -1).when(crc % 4 == 2, 2).when(F.floor(crc / 4) % 8 == 0, 1).otherwise(0)
-    measured = materialise(docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(_measured, "doc_id long, fold int, x array<double>"), "statistics")
+    return docs.select("doc_id", fold.cast("int").alias("fold"), "text").mapInArrow(_measured, "doc_id long, fold int, x array<double>")
+
 
+def fit(measured: DataFrame, labels: DataFrame) -> Model:
+    """Learn from the measured rows outside the held-out fold that have a label."""
     truth = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    learned = measured.where("fold IN (0, 1)").join(truth, "doc_id").select("doc_id", "fold", "x", "y")
-    learned = materialise(learned, "labelled")
+    learned = materialise(measured.where("fold IN (0, 1)").join(truth, "doc_id").select("doc_id", "fold", "x", "y"), "labelled")
     seen = learned.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).collect()
     total = sum(r["n"] for r in seen)
     if total > MOST_LABELLED:
         learned = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MOST_LABELLED / total))
-    fit, hold = learned.where("fold = 0"), learned.where("fold = 1")
+    rows, hold = learned.where("fold = 0"), learned.where("fold = 1")
     n, good = next(((r["n"], r["good"]) for r in seen if r["fold"] == 0), (0, 0))
     if not n:
-        return _labelled(measured.mapInArrow(_scored(None, np.zeros(0), np.zeros(0), np.zeros(0)), "doc_id long, fold int, raw double, score double"))
+        return Model()
 
     at = range(len(STATISTICS))
-    moments = fit.agg(*[F.avg(F.col("x")[k]).alias(f"m{k}") for k in at], *[F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in at]).first()
+    moments = rows.agg(*[F.avg(F.col("x")[k]).alias(f"m{k}") for k in at], *[F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in at]).first()
     fourier = Fourier(np.array([moments[f"m{k}"] for k in at]), np.array([moments[f"s{k}"] for k in at]))
     balance = (n / max(2 * (n - good), 1), n / max(2 * good, 1))
-    rows = _summed(fit.select("x", "y").mapInArrow(_normal_equations(fourier, balance), "i int, row array<double>")).collect()  # as many rows as features
-    system = np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
-    beta = np.linalg.solve(system[:, :-1] + RIDGE * n * np.eye(len(system)) / len(system), system[:, -1])
+    sums = _summed(rows.select("x", "y").mapInArrow(_normal_equations(fourier, balance), "i int, row array<double>")).collect()  # as many rows as features
+    system = np.array([r["row"] for r in sorted(sums, key=lambda r: r["i"])])
+    model = Model(fourier, np.linalg.solve(system[:, :-1] + RIDGE * n * np.eye(len(system)) / len(system), system[:, -1]))
 
-    scored = materialise(measured.mapInArrow(_scored(fourier, beta, np.zeros(0), np.zeros(0)), "doc_id long, fold int, raw double, score double"), "raw-scores")
-    calibrate = scored.join(hold.select("doc_id", "y").dropDuplicates(["doc_id"]), "doc_id").select(F.round(F.greatest(F.lit(-0.5), F.least(F.lit(1.5), F.col("raw"))) * (BINS / 2)).alias("bin"), "y")
-    binned = calibrate.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).collect()  # BINS + 1 rows at most
-    x, p = isotonic(sorted((r["bin"] * 2 / BINS, r["n"], r["good"]) for r in binned))
-    if not len(x):
-        x, p = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    return _labelled(scored.drop("score").mapInArrow(_calibrated(x, p), "doc_id long, fold int, raw double, score double"))
+    raw = hold.select("doc_id", "fold", "x", "y").mapInArrow(_held(model), "raw double, y double")
+    binned = raw.groupBy(F.round(F.greatest(F.lit(-0.5), F.least(F.lit(1.5), F.col("raw"))) * (BINS / 2)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good"))
+    x, p = isotonic(sorted((r["bin"] * 2 / BINS, r["n"], r["good"]) for r in binned.collect()))  # BINS + 1 rows at most
+    model.x, model.p = (x, p) if len(x) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    return model
 
 
-def _calibrated(x: np.ndarray, p: np.ndarray):
+def _held(model: Model):
     def run(batches):
         for batch in batches:
-            score = np.interp(batch.column("raw").to_numpy(), x, p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch))), batch.column("y").cast(pa.float64())], ["raw", "y"])
 
     return run
 
 
-def _labelled(scored: DataFrame) -> DataFrame:
+def _accepted(model: Model):
+    def run(batches):
+        for batch in batches:
+            x = np.array([statistics(t) for t in texts_of(batch)]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.scores(x) >= KEEP))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with predicted 1, unchanged; scored where they are, without a shuffle. All of them if nothing can be learned."""
+    model = fit(materialise(measure(docs), "statistics"), labels)
+    return docs.mapInArrow(_accepted(model), docs.schema) if model.fourier else docs
+
+
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row of docs, learned from labels (doc_id, quality)."""
+    measured = materialise(measure(docs), "statistics")
+    scored = measured.mapInArrow(_applied(fit(measured, labels)), _SCORED)
     return scored.select("doc_id", (F.col("fold") == 2).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 

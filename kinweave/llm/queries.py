@@ -1,11 +1,14 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import binary, embeddings, minhash, mixing, packing, rules, substring
+from . import binary, embeddings, html, language, minhash, mixing, packing, quality, rules, substring
 
 QUERIES = {
     "op1_binary": binary.op1_binary,
+    "op2_quality": quality.op2_quality,
+    "op3_language": language.op3_language,
     "op4_packing": packing.op4_packing,
     "op5_rules": rules.op5_rules,
+    "op6_html": html.op6_html,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_substring": substring.op8_substring,
     "op9_mixing": mixing.op9_mixing,
