@@ -1,0 +1,23 @@
+"""An extension: support of k-mers over a stream of sequences. The batch operators do not need it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.kmers import kmers
+
+
+def streaming_support(sequences: DataFrame, k: int, min_support: int) -> DataFrame:
+    """(kmer, support) so far, of a stream (genome, contig, seq); use with output mode complete or update.
+
+    A genome counts once a k-mer by the approximate distinct count, whose state is of fixed size for each k-mer.
+    """
+    found = kmers(sequences, k)
+    return found.groupBy("kmer").agg(F.approx_count_distinct("genome", 0.01).alias("support")).where(F.col("support") >= min_support)
+
+
+def streaming_islands(events: DataFrame, gap: str, delay: str) -> DataFrame:
+    """(key, start, end, n) of runs of events (key, ts) that are at most gap apart; late ones up to delay are waited for."""
+    grouped = events.withWatermark("ts", delay).groupBy("key", F.session_window("ts", gap).alias("w"))
+    return grouped.agg(F.count(F.lit(1)).alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
