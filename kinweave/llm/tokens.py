@@ -3,22 +3,36 @@
 A text is cut where no token can span: for the word vocabulary at ASCII white space, which it drops; for the byte
 vocabulary before white space that follows a character that is none (its pattern never matches across such a place).
 The ids of the pieces are kept per worker, so a piece of text is encoded once, not once for each time it occurs.
+Pieces of characters below U+0250 in composed form go straight to the vocabulary's model, after the splitting and
+byte mapping that its file asks for; all others take the whole way through the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
-import numpy as np
+import regex
 
 #: Pieces whose ids a worker keeps; beyond it starts over.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 
 _PIECES = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 #: White space beyond ASCII, in UTF-8: with it in a text the places to cut are not certain.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
+#: How the two vocabularies' files split text, and the printable bytes that stand for themselves.
+_WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTES = {b: 256 + i for i, b in enumerate(_OTHERS)}
+#: Characters that the direct way does not take: separators and U+0130, on which libraries differ, and all from U+0250 on.
+_BEYOND = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -32,10 +46,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = self.tokenizer.normalizer is not None
+        self.split = _WORD_SPLIT if self.drops_space else _BYTE_SPLIT
+        self.model = self.tokenizer.model
         self.kept: dict[bytes, bytes] = {}
 
     def _encode(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = piece.decode()
+        if _BEYOND.search(text) or self.drops_space and not unicodedata.is_normalized("NFC", text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.drops_space:
+            text = text.lower()
+        parts = self.split.findall(text)
+        if not text.isascii() or not text.isprintable() or " " in text:
+            parts = [p.encode().decode("latin-1").translate(_BYTES) for p in parts]
+        return array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         if self.drops_space:
