@@ -78,13 +78,12 @@ def thresholds(sized: DataFrame, limit: int) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """docs with copies, how often the mix takes each; all other columns as they are."""
+    """(own, source_size, target, copies): the row of docs, and how often the mix takes it."""
     # without an edge the source takes all once more, or nothing is left over to take
     below = F.when(F.col("edge1").isNull(), F.col("left_over") > 0).otherwise((F.col("b1") < F.col("edge1")) | ((F.col("b1") == F.col("edge1")) & (F.col("b2") <= F.col("edge2"))))
-    names = docs.columns
     at = cuts.withColumnRenamed("source", "of_source")
-    found = docs.select("*", *_buckets()).join(at, F.col("source").eqNullSafe(F.col("of_source")))
-    return found.select(*names, "source_size", "target", (F.col("whole") + below.cast("long")).alias("copies"))
+    found = docs.select(F.struct(*docs.columns).alias("own"), F.col("source").alias("own_source"), *_buckets()).join(at, F.col("own_source").eqNullSafe(F.col("of_source")))
+    return found.select("own", "source_size", "target", (F.col("whole") + below.cast("long")).alias("copies"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -94,14 +93,14 @@ def _sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, limit: int = 3) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) per row; each source's taken words come near its target."""
     sized = _sized(docs)
-    found = with_copies(sized.drop("b1", "b2"), thresholds(sized, limit))
+    found = with_copies(sized.drop("b1", "b2"), thresholds(sized, limit)).select("own.*", "source_size", "target", "copies")
     return found.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed(docs: DataFrame, limit: int = 3) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     taken = with_copies(docs, thresholds(_sized(docs), limit)).where("copies > 0")
-    return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))), *docs.columns).select(docs.columns)
+    return taken.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
