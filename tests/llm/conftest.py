@@ -1,6 +1,10 @@
 import random
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("llm", deadline=None, max_examples=40)
+settings.load_profile("llm")
 
 SYLLABLES = "ing the er on at re th sh ou en st nd ha to or an".split()
 
