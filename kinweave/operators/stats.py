@@ -110,3 +110,16 @@ def transposed(df: DataFrame, index: str, columns: list) -> DataFrame:
 def tagged(frames: dict[str, DataFrame], column: str) -> DataFrame:
     """Frames one below the other, with the name of each in column; missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn(column, F.lit(n)) for n, f in frames.items()])
+
+
+def closest_group(df: DataFrame, name: str, value: str, size: int) -> DataFrame:
+    """One row (first, spread): from which member on, in order of value, so many neighbours lie closest together."""
+    w = Window.orderBy(value, name)
+    spread = F.lead(value, size - 1).over(w) - F.col(value)
+    at = df.select(F.col(name).alias("first"), spread.alias("spread"), F.col(value).alias("value")).where("spread IS NOT NULL")
+    return at.agg(F.min(F.struct("spread", "value", "first")).alias("x")).select("x.first", "x.spread")
+
+
+def steps(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with length: how far the next value within by lies; null for the last."""
+    return df.withColumn("length", F.lead(value).over(Window.partitionBy(*by).orderBy(value)) - F.col(value))

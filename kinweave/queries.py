@@ -168,6 +168,43 @@ def c14_flanks(spark, d):
     return out.select("id", "genome", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+@query(SEQ + "SELECT contig AS id, genome, contig, length(seq) // 3 AS start, length(seq) // 2 AS \"end\", substring(seq, length(seq) // 3 + 1, length(seq) // 2 - length(seq) // 3) AS seq FROM s")
+def s18_subsequences(spark, d):
+    rows = sequences(spark, d)
+    n = F.length("seq")
+    spans = rows.select(F.col("contig").alias("id"), "genome", "contig", F.floor(n / 3).alias("start"), F.floor(n / 2).alias("end"))
+    return rounded(locate.subsequences(spans, rows))
+
+
+@query(HITS + "SELECT genome, contig, count(DISTINCT pos) AS covered FROM hits GROUP BY ALL")
+def a9_hit_coverage(spark, d):
+    return locate.hit_coverage(hits(spark, d))
+
+
+@query(SEQ + ", z AS (SELECT genome, sum(length(seq)) AS size FROM s GROUP BY genome), g AS (SELECT genome, size, lead(size, 4) OVER (ORDER BY size, genome) - size AS spread FROM z) SELECT genome AS first, CAST(spread AS BIGINT) AS spread FROM g WHERE spread IS NOT NULL ORDER BY spread, size, genome LIMIT 1")
+def n_closest_genomes(spark, d):
+    """The five genomes whose sizes lie closest together."""
+    return stats.closest_group(c22_genome_sizes(spark, d), "genome", "size", 5)
+
+
+@query("WITH x AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - o_orderkey AS length FROM orders) SELECT * FROM x WHERE length IS NOT NULL")
+def n_steps(spark, d):
+    return stats.steps(_table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey").where("length IS NOT NULL")
+
+
+@query(
+    f"""WITH b AS (SELECT item_id AS id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]+', '', 'g')) AS x FROM benchmark),
+p AS (SELECT id, x, lead(x) OVER (ORDER BY id) AS y FROM b), q AS (SELECT id, CASE WHEN length(x) > length(y) THEN y ELSE x END AS small, CASE WHEN length(x) > length(y) THEN x ELSE y END AS big FROM p WHERE y IS NOT NULL),
+w AS (SELECT id, small, substring(big, i + 1, length(small)) AS part FROM (SELECT *, unnest(range(length(big) - length(small) + 1)) AS i FROM q WHERE length(small) > 0))
+SELECT id, round(max(greatest(length(small) - hamming(small, part), length(small) - hamming(small, {RC.format('part')})) / length(small)), 6) AS homology FROM w GROUP BY id"""
+)
+def n_best_homology(spark, d):
+    """Neighbouring benchmark texts as sequences: the best place of the shorter along the longer."""
+    rows = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), S.dna(F.coalesce("text", F.lit(""))).alias("x"))
+    near = rows.withColumn("y", F.lead("x").over(Window.orderBy("id"))).where("y IS NOT NULL")
+    return rounded(locate.best_homology(near))
+
+
 @query()
 def q_shared_elements(spark, d):
     """Q1 to Q3 with exact homology over all documents, from one reference a run."""
