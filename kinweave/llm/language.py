@@ -35,13 +35,14 @@ WORDS, BUCKETS = 960, 61
 #: Classes: words by rank, buckets, the end; one more as context only, the start.
 END, START = WORDS + BUCKETS, WORDS + BUCKETS + 1
 CLASSES = WORDS + BUCKETS + 1
-VECTOR, ROUNDS, BATCH, NOISE, RATE = 24, 2, 8192, 32, 0.15
+VECTOR, ROUNDS, BATCH, NOISE, RATE = 24, 2, 2048, 32, 0.5
 
 _ENCODED = "block long, doc_id long, held_out boolean, ids binary, words string, train array<int>, buckets array<int>"
 
 
 def bucket(word: bytes) -> int:
-    return int(mix64(np.uint64(int.from_bytes(word[-2:], "little") + 65536 * min(len(word), 2))) % np.uint64(BUCKETS))
+    code = int.from_bytes(word[-2:], "little") + 65536 * min(len(word), 2)
+    return int(mix64(np.array([code], np.uint64))[0] % np.uint64(BUCKETS))
 
 
 def _encoded(batches):
