@@ -83,7 +83,7 @@ def _encoded(batches):
         yield from block()
 
 
-_CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within_score double, classes binary"
+_CLASSED = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, within_score double, classes binary"
 
 
 def _classed(total: int, distinct: int, bucket_sizes: np.ndarray):
@@ -96,10 +96,10 @@ def _classed(total: int, distinct: int, bucket_sizes: np.ndarray):
         rare = (cls >= WORDS) & (cls < END)
         within = np.where(rare, np.log10((c + 1) / bucket_sizes[np.where(rare, cls - WORDS, 0)]), 0.0)
         out = []
-        for doc_id, held, ids in zip(docs["doc_id"].astype("Int64"), docs["held_out"], docs["ids"]):
+        for doc_id, held, ids in zip(docs["doc_id"], docs["held_out"], docs["ids"]):
             x = np.append(np.frombuffer(ids, np.uint32), np.uint32(0))
             out.append((doc_id, held, len(x), int((c[x] > 0).sum()), base[x].sum(), within[x].sum(), cls[x].astype(np.uint16).tobytes()))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _CLASSED.split(", ")]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _CLASSED.split(", ")])
 
     return run
 
@@ -236,7 +236,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
             bucket_sizes[r["cls"] - WORDS] = r["n"] + r["v"] + 1
     unigram /= unigram.sum()
 
-    texts = encoded.where("words IS NULL").select("block", "doc_id", "held_out", "ids")
+    texts = encoded.where("words IS NULL").select("block", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "ids")  # text, as pandas has no long with nulls
     grouped = texts.groupBy("block").cogroup(counted.select("block", "idx", "cls", "c").groupBy("block"))
     classed = materialise(grouped.applyInPandas(_classed(total, distinct, bucket_sizes), _CLASSED), "classed")
     discard(encoded, counted)
@@ -250,8 +250,8 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         if summed:
             values = np.array([r for _, r in summed])
             rows = values[:, :-1] / values[:, -1:]
-    out = classed.mapInArrow(_scored(rows, total), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, train_tokens long, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = classed.mapInArrow(_scored(rows, total), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, train_tokens long, score double")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
