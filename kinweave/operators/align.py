@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+#: Paths of a part that one group of the alignment holds, about.
+SHARE = 2000
+
 
 def solve(path: list[str], nodes: list[str], before: dict[str, list[str]], match: int, mismatch: int, insertion: int) -> tuple[int, list[str]]:
     """Best score and the nodes of the best alignment, first to last.
@@ -44,10 +49,14 @@ def align(paths: DataFrame, edges: DataFrame, members: DataFrame, match: int = 7
     """(genome, contig, score, path_len, path): the best alignment of each path (genome, contig, path) to edges (src, dst).
 
     members (node, component) are the graph's parts: steps stay within a part, so a path is aligned to each part that
-    has one of its ids, as a group of its own, and the best of them is kept.
+    has one of its ids, and the best of them is kept. The paths of a part are dealt by hash into shares of about SHARE
+    paths, and its edges are repeated for each share, so a group holds one part and a bounded number of paths.
     """
-    own = paths.select("genome", "contig", "path", F.explode("path").alias("node")).join(members, "node").select("component", "genome", "contig", "path").distinct()
+    own = cut(paths.select("genome", "contig", "path", F.explode("path").alias("node")).join(members, "node").select("component", "genome", "contig", "path").distinct())
+    shares = cut(own.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
+    own = own.join(shares, "component").withColumn("share", F.pmod(F.xxhash64("genome", "contig"), F.col("shares")).cast("int"))
     parts = edges.select("src", "dst").join(members.select(F.col("node").alias("src"), F.col("component").alias("part")), "src")
+    parts = parts.join(shares.withColumnRenamed("component", "part"), "part").select("part", "src", "dst", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def run(graph: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         before: dict[str, list[str]] = defaultdict(list)
@@ -57,7 +66,7 @@ def align(paths: DataFrame, edges: DataFrame, members: DataFrame, match: int = 7
         out = [(g, c, *solve(list(p), nodes, before, match, mismatch, insertion)) for g, c, p in zip(targets["genome"], targets["contig"], targets["path"])]
         return pd.DataFrame([(g, c, s, len(p), p) for g, c, s, p in out], columns=["genome", "contig", "score", "path_len", "path"])
 
-    found = parts.groupBy("part").cogroup(own.groupBy("component")).applyInPandas(run, "genome string, contig string, score long, path_len long, path array<string>")
+    found = parts.groupBy("part", "share").cogroup(own.groupBy("component", "share")).applyInPandas(run, "genome string, contig string, score long, path_len long, path array<string>")
     best = found.groupBy("genome", "contig").agg(F.max(F.struct("score", "path_len", "path")).alias("x"))
     return best.select("genome", "contig", "x.*")
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 
 
 from kinweave.operators import align, graph, synteny
@@ -107,6 +108,26 @@ def test_alignment(spark):
     assert [(r["start"], r["end"], r["score"]) for r in spans.collect()] == [(0, 34, 21)] and summary.first()["n_blocks"] == 1
 
 
+def test_alignment_in_shares(spark, monkeypatch, tmp_path):
+    solve, log = align.solve, str(tmp_path / "sizes")
+
+    def noted(*args):
+        with open(log, "a") as f:
+            f.write(f"{len(sys._getframe(1).f_locals['targets'])}\n")
+        return solve(*args)
+
+    graph_df = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string")
+    members = graph.connected(graph_df)
+    draw = random.Random(4)
+    rows = spark.createDataFrame([(f"g{i % 7}", str(i), draw.choices("abcxyq", k=4) + ["a"]) for i in range(200)], "genome string, contig string, path array<string>")
+    want = {tuple(map(str, r)) for r in align.align(rows, graph_df, members).collect()}
+    monkeypatch.setattr(align, "solve", noted)
+    monkeypatch.setattr(align, "SHARE", 10, raising=False)
+    assert {tuple(map(str, r)) for r in align.align(rows, graph_df, members).collect()} == want and len(want) == 200
+    with open(log) as f:
+        assert max(map(int, f)) <= 40
+
+
 def test_empty_tables(spark):
     none = anchors(spark, [])
     assert order.consensus_map(none).count() == 0
