@@ -4,10 +4,10 @@ Counting. A task encodes its documents in blocks: each token as an index into th
 vocabularies travel: their words meet by hash, where counts over all training tokens are summed, and the counts go
 back to the block. Documents are never spread out into tokens across the cluster.
 
-Model. The WORDS most frequent words, the end, and BUCKETS buckets of all other words (by their last two bytes) are
-the classes. The two classes before a token, each by its own vectors, add up to a context vector; its products with
-the class vectors, plus a bias, are the class logits. Training takes every training token once, in ROUNDS rounds:
-tasks descend on their documents from common parameters, which are then averaged by tokens. Scores are normalised
+Model. The WORDS most frequent words by their counts over all blocks (ties by hash), the end, and BUCKETS buckets of
+all other words (by their last two bytes) are the classes. The two classes before a token, each by its own vectors,
+add up to a context vector; its products with the class vectors, plus a bias, are the class logits. Training takes
+every training token once, in ROUNDS rounds: tasks descend on their documents from common parameters, which are then averaged by tokens. Scores are normalised
 over all classes, by one matrix product over the distinct contexts of a batch; a word of a bucket has the add-one
 share of its count in the bucket, where one more place is for all unknown words.
 
@@ -219,15 +219,17 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     own = encoded.where("words IS NOT NULL").select("block", "train", "buckets", F.posexplode(F.split("words", " ", -1)).alias("idx", "word"))
     own = own.select("block", "idx", "word", F.col("train")[F.col("idx")].alias("n"), F.col("buckets")[F.col("idx")].alias("bucket"))
 
-    frequent = own.where("n >= 4 AND word <> ''").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    ranked = spark.createDataFrame([(r["word"], k) for k, r in enumerate(frequent)], "word string, rank int")  # WORDS rows at most
-    cls = F.when(F.col("word") == "", END).otherwise(F.coalesce("rank", F.col("bucket") + WORDS))
     by_word = Window.partitionBy("h")
-    counted = own.join(F.broadcast(ranked), "word", "left").select("block", "idx", cls.alias("cls"), "n", F.xxhash64("word").alias("h"))
-    counted = counted.select("block", "idx", "cls", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("new"))
+    counted = own.select("block", "idx", "bucket", "n", F.xxhash64("word").alias("h"))
+    counted = counted.select("block", "idx", "bucket", "h", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("new"))
     counted = materialise(counted, "counted")
 
-    sums = counted.where("new").groupBy("cls").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect()  # a row a class
+    frequent = counted.where("new AND idx > 0 AND c > 0").orderBy(F.desc("c"), "h").select("h").limit(WORDS).collect()  # by the sums over all blocks
+    ranked = spark.createDataFrame([(r["h"], k) for k, r in enumerate(frequent)], "h long, rank int")  # WORDS rows at most
+    cls = F.when(F.col("idx") == 0, END).otherwise(F.coalesce("rank", F.col("bucket") + WORDS))
+    classes = counted.join(F.broadcast(ranked), "h", "left").select("block", "idx", cls.alias("cls"), "c", "new")
+
+    sums = classes.where("new").groupBy("cls").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect()  # a row a class
     total, distinct = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
     bucket_sizes, unigram = np.ones(BUCKETS), np.full(CLASSES, 0.5)
     for r in sums:
@@ -237,7 +239,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     unigram /= unigram.sum()
 
     texts = encoded.where("words IS NULL").select("block", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "ids")  # text, as pandas has no long with nulls
-    grouped = texts.groupBy("block").cogroup(counted.select("block", "idx", "cls", "c").groupBy("block"))
+    grouped = texts.groupBy("block").cogroup(classes.select("block", "idx", "cls", "c").groupBy("block"))
     classed = materialise(grouped.applyInPandas(_classed(total, distinct, bucket_sizes), _CLASSED), "classed")
     discard(encoded, counted)
 

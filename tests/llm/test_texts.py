@@ -134,6 +134,19 @@ def test_language(spark, docs, rows, nothing):
     assert language.score_texts(nothing, F.lit(False)).count() == 0
 
 
+def test_language_ranks_by_counts_over_all_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    start = language.LogBilinear.start.__func__
+    monkeypatch.setattr(language.LogBilinear, "start", classmethod(lambda cls, unigram: seen.append(unigram) or start(cls, unigram)))
+    texts = [(i, f"often again word{i:02}") for i in range(24)]  # no word is in one block four times
+    for parts in (1, 12):
+        language.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts, "doc_id"), F.lit(False)).count()
+    whole, split = (u * (24 * 4 + 0.5 * language.CLASSES) for u in seen)
+    assert np.allclose(split, whole) and np.allclose(split[:2], 24.5) and np.allclose(split[2:26], 1.5)
+
+
 def test_log_bilinear_is_normalised_and_learns():
     draw = np.random.default_rng(1)
     unigram = np.full(language.CLASSES, 1 / language.CLASSES)
