@@ -1,9 +1,12 @@
 """Search, regions and runs against literal sequences, and the end-to-end search."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave import Params
+from kinweave import queries as Q
 from kinweave.functions import sequences as S
 from kinweave.operators import kmers, locate, regions, search
 from kinweave.plans import find
@@ -114,6 +117,24 @@ def test_locate_against_brute_force(spark):
     assert found == expected and any(m == 1 for *_, m in found)
 
 
+def test_benchmark_texts_of_any_length(spark, tmp_path):
+    draw = random.Random(6)
+    text = "".join(draw.choices("abcdefgh ACGT", k=300))
+    queries = {1: text[10:120], 2: text[150:231], 3: text[40:47], 4: "ACGTTG", 5: "ac", 6: "", 7: None}
+    queries[2] = queries[2][:30] + "##" + queries[2][32:]
+    spark.createDataFrame(list(queries.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "s", text), (2, "s", "a"), (3, "s", None)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(int(r["id"]), r["contig"], r["start"], r["mismatches"], r["q"]) for r in Q.j3_benchmark_mismatches(spark, str(tmp_path)).withColumn("q", F.col("end") - F.col("start")).collect()}
+    expected = set()
+    for i, q in queries.items():
+        for s in {q, rc(q)} if q else ():
+            for at in range(len(text) - len(q) + 1):
+                m = sum(a != b for a, b in zip(s, text[at : at + len(s)]))
+                if m <= 3:
+                    expected.add((i, "1", at, m, len(q)))
+    assert found == expected and {i for i, *_ in found} >= {1, 2, 3, 5}
+
+
 def test_kmers_in_blocks(spark):
     seq = "ACGGTTNACGT" * 70
     found = sorted((r["pos"], r["kmer"]) for r in kmers.kmers(frame(spark, {"g": seq}), 7, canonicalise=False).collect())
