@@ -101,6 +101,17 @@ def test_repeated_core_and_substitution(spark):
     assert find.find_shared(frame(spark, snp), Params(min_length=40, kmer=20)).count() == 0
 
 
+def test_element_of_very_many_places(spark):
+    rows = [("a", str(i), SMALL["a"]) for i in range(1005)] + [("b", "1", SMALL["b"]), ("c", "1", SMALL["c"])]
+    texts = spark.createDataFrame(rows, "genome string, contig string, seq string")
+    assert {r["seq"] for r in find.find_shared(texts, Params(min_length=40, kmer=20)).collect()} == {min(U, rc(U))}
+    hits = kmers.kmers(texts, 20)
+    hits = kmers.core_hits(hits, kmers.core_kmers(hits, 3))
+    kept = search.distinct_islands(hits, texts, Params(min_length=40, kmer=20))
+    count = lambda df: {r["genome"]: r["count"] for r in df.groupBy("genome").count().collect()}
+    assert count(hits)["a"] == 1005 * count(kept)["a"] and count(kept)["b"] == count(hits)["b"]
+
+
 def test_locate_against_brute_force(spark):
     text = "ACGTTGCAAGGCTTACCGATCGGATTACAGGCATCCGATAGCTTGACCATG"
     queries = {"x": text[5:25], "y": rc(text[20:40]), "z": "C" * 20}
