@@ -2,7 +2,8 @@
 
 A page falls into blocks: runs of text between block-level tags. A linear classifier on a block's words, links, tags
 and the names of the elements around it gives the costs of calling it content or boilerplate; they are capacities to
-the two terminals. Blocks next to each other, and blocks next to each other under one parent, are joined by edges
+the two terminals. A boilerplate name (or a form) costs less the further out its element is, nothing within an inner
+article, main or content name, and nothing where its element holds most of the page's text. Blocks next to each other, and blocks next to each other under one parent, are joined by edges
 whose capacity grows with the share of their path that is common. The minimum cut is the cheapest labelling.
 
 Edge cases: null or empty html, and pages without content, give empty text; cut-off tags, comments and scripts end
@@ -36,7 +37,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button head".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog button head".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentary complementary consent contentinfo cookie cookies copyright "
     "disclaimer discussion disqus dropdown footer footnav form gdpr header login masthead menu menus meta modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
@@ -49,26 +50,49 @@ _ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "t
 _WALLS = frozenset("ul ol dl table body article section div main".split())
 
 SMOOTH, UNIT = 0.8, 1000
+#: Cost of a block in hidden elements and in elements of BOILERPLATE_TAGS, the most of all; of one whose own element has a
+#: boilerplate name, and the share of it that is left an element further out; of each outer element of such a name.
+CERTAIN, NAMED, NEARER, OUTER = 8.0, 10.0, 0.85, 1.0
 
 
 class Block:
-    __slots__ = ("links", "path", "score", "tag", "text", "words")
+    __slots__ = ("certain", "depth", "framed", "named", "path", "score", "tag", "text")
 
-    def __init__(self, tag: str, path: tuple, text: str, links: int, boilerplate: bool, content: int):
-        self.tag, self.path, self.text = tag, path, text
+    def __init__(self, tag: str, path: tuple, text: str, links: int, certain: bool, named: tuple, depth: int, content: int):
+        self.tag, self.path, self.text, self.certain, self.named, self.depth, self.framed = tag, path, text, certain, named, depth, content > 0
         n = len(text.split())
         density = min(1.0, links / max(1, len(text)))
         score = 0.5 + 2.5 * min(1, content) + min(n, 40) / 20 - 3 * density
         score += 1.0 if tag in ("p", "blockquote", "pre") else 0.7 if tag in ("h1", "h2", "h3") else 0.0
         score += 0.5 if text[-1] in ".!?…\"”»" else 0.0
         score -= 1.0 if n < 4 and not content else 0.0
-        self.score = score - 8.0 if boilerplate else score
+        self.score = score - CERTAIN if certain else score
+
+
+def _weigh_names(page: list[Block]) -> None:
+    """Take the cost of boilerplate names off the scores of blocks that are not certain.
+
+    An element that holds more than half of the text does not count. The text is that of article, main and content
+    names, or all of it where they have none: comments longer than their article stay comments.
+    """
+    held: dict[int, int] = {}
+    free = [b for b in page if not b.certain]
+    framed = [b for b in free if b.framed]
+    total = sum(len(b.text) for b in framed or free)
+    for b in framed or free:
+        for number, _ in b.named:
+            held[number] = held.get(number, 0) + len(b.text)
+    for b in free:
+        depths = [depth for number, depth in b.named if 2 * held.get(number, 0) <= total]
+        if depths:
+            b.score -= min(CERTAIN, NAMED * NEARER ** (b.depth - depths[-1]) + OUTER * (len(depths) - 1))
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]  # tag, number, boilerplate, content, in a link
+    # tag, number, in a certain element, (number, depth) of elements with boilerplate names, depth, content, in a link
+    stack: list[tuple[str, int, bool, tuple, int, int, bool]] = [("", 0, False, (), 0, 0, False)]
     text: list[str] = []
     linked = number = at = 0
 
@@ -77,7 +101,7 @@ def blocks(page: str) -> list[Block]:
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if stack[-1][4]:
+            if stack[-1][6]:
                 linked += len(piece.strip())
 
     def end_block() -> None:
@@ -87,7 +111,8 @@ def blocks(page: str) -> list[Block]:
             if line:
                 around = [s for s in stack if s[0] not in INLINE]
                 top = around[-1]
-                out.append(Block(top[0], tuple(s[1] for s in around), line, linked, top[2] or stack[-1][2], top[3]))
+                inner = stack[-1]
+                out.append(Block(top[0], tuple(s[1] for s in around), line, linked, inner[2], inner[3], top[4], top[5]))
             text.clear()
         linked = 0
 
@@ -123,17 +148,26 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in INLINE:
             continue
-        _, _, boilerplate, content, link = stack[-1]
+        _, _, certain, named, depth, content, link = stack[-1]
+        depth += tag not in INLINE
+        number += 1
+        bad = good = False
         if attributes:
             names = {p.lower() for x in _NAMES.finditer(attributes) for p in _PARTS.findall(x[2] or x[3] or x[4] or "")}
-            boilerplate = boilerplate or not names.isdisjoint(BOILERPLATE_NAMES) and tag not in ("html", "body") or bool(_HIDDEN.search(attributes))
-            content += tag not in ("html", "body") and not names.isdisjoint(CONTENT_NAMES)
-        content += tag in ("article", "main")
-        boilerplate = boilerplate or tag in BOILERPLATE_TAGS or tag == "header" and not any(s[0] == "article" for s in stack)
-        number += 1
-        stack.append((tag, number, boilerplate, content, link or tag == "a"))
+            certain = certain or bool(_HIDDEN.search(attributes))
+            if tag not in ("html", "body"):
+                bad, good = not names.isdisjoint(BOILERPLATE_NAMES), not names.isdisjoint(CONTENT_NAMES)
+        bad, good = bad or tag == "form", good or tag in ("article", "main")
+        certain = certain or tag in BOILERPLATE_TAGS or tag == "header" and not any(s[0] == "article" for s in stack)
+        content += good and not bad
+        if bad:
+            named = (*named, (number, depth))
+        elif good and tag not in INLINE:
+            named = ()
+        stack.append((tag, number, certain, named, depth, content, link or tag == "a"))
     add(page[at:])
     end_block()
+    _weigh_names(out)
     return out
 
 

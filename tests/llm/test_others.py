@@ -99,6 +99,29 @@ def test_pages(spark):
     assert got[5, "u", ("word " * 50_000).strip(), 249_999] == 1 and sum(got.values()) == len(rows)
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} of the article has quite a few words, more than any block around it has, and ends here.</p>" for i in range(6))
+FRAME = '<nav><a href="/">Home</a></nav>{}<div class="sidebar"><div><p>Read the other texts of this site too, they are all as good.</p></div></div><footer><p>All rights reserved.</p></footer>'
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    ['<div class="content-sidebar-wrap"><div>{}</div></div>', '<div class="has-sidebar">{}</div>', '<div id="page" class="no-comments"><div class="search-content"><div>{}</div></div></div>',
+     '<form id="aspnetForm" action="/">{}</form>', '<div class="widget"><article>{}</article></div>', '<div class="share-page"><div class="inner"><div class="entry">{}</div></div></div>'],
+)
+def test_names_around_the_whole_text(wrapped):
+    text = html.main_text(FRAME.format(wrapped.format(ARTICLE)))
+    assert text.startswith("Paragraph 0") and text.count("ends here.") == 6 and text.endswith("ends here.")
+    whole = html.main_text(wrapped.format(FRAME.format("<div>" + ARTICLE + "</div>")))
+    assert whole.count("ends here.") == 6 and "other texts" not in whole and "rights" not in whole
+
+
+def test_names_around_other_text():
+    comments = '<div class="comments">' + '<div class="comment"><p>I liked this a lot, and I want to say so here, at length, as others do.</p></div>' * 20 + "</div>"
+    text = html.main_text(FRAME.format("<main>" + ARTICLE + "</main>" + comments))
+    assert text.count("ends here.") == 6 and "liked" not in text
+    assert "hidden" not in html.main_text('<div style="display:none"><article><p>' + "hidden words " * 40 + "</p></article></div>" + ARTICLE)
+
+
 @given(st.data())
 def test_minimum_cut(data):
     n = data.draw(st.integers(1, 7))
