@@ -158,10 +158,12 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
     """Learn from the measured rows outside the held-out fold that have a label."""
     truth = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     learned = materialise(measured.where("fold IN (0, 1)").join(truth, "doc_id").select("doc_id", "fold", "x", "y"), "labelled")
-    seen = learned.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).collect()
+    by_fold = lambda rows: rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).collect()
+    seen = by_fold(learned)
     total = sum(r["n"] for r in seen)
     if total > MOST_LABELLED:
         learned = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MOST_LABELLED / total))
+        seen = by_fold(learned)  # the ridge and the balance are those of the rows that are fitted
     rows, hold = learned.where("fold = 0"), learned.where("fold = 1")
     n, good = next(((r["n"], r["good"]) for r in seen if r["fold"] == 0), (0, 0))
     if not n:

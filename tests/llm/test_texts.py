@@ -106,6 +106,18 @@ def test_quality(spark, docs, rows, nothing):
     assert quality.accepted(docs, labels.where("false")).count() == len(rows)
 
 
+def test_quality_of_a_sample_is_that_of_its_rows(spark, monkeypatch):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    measured = quality.measure(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).cache()
+    learned = measured.where("fold IN (0, 1)").join(labels.where("quality IS NOT NULL"), "doc_id").count()
+    most = learned // 4
+    chosen = labels.where(f"pmod(xxhash64(doc_id), {1 << 20}) < {int((1 << 20) * most / learned)}")
+    alone = quality.fit(measured, chosen)
+    monkeypatch.setattr(quality, "MOST_LABELLED", most)
+    sampled = quality.fit(measured, labels)
+    assert np.allclose(sampled.beta, alone.beta, atol=1e-9)
+
+
 @given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 9)), min_size=1, max_size=12))
 def test_isotonic(bins):
     data = [(float(i), w, min(w, y)) for i, (w, y) in enumerate(bins)]
