@@ -117,7 +117,8 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def _decoded(batches):
     for batch in batches:
         for r in batch.to_pylist():
-            ends = EliasFano(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"]).values()
+            coded = EliasFano(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"])
+            ends = np.fromiter(map(coded.select, range(r["n_docs"])), np.int64, r["n_docs"])
             starts = np.concatenate(([0], ends[:-1]))
             flat = np.frombuffer(r["ids"], f"<u{r['id_bytes']}").astype("<u4")
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -41,6 +42,18 @@ def test_binary(spark, docs, rows, nothing):
     assert binary.read_documents(binary.write_segments(nothing, path, 2)).count() == 0
 
 
+def test_reader_selects_boundaries(monkeypatch):
+    ends = np.cumsum(np.arange(1, 201))
+    ef, ids = binary.EliasFano.of(ends), np.arange(ends[-1], dtype="<u2")
+    row = [0, 0, 200, len(ids), 2, ef.low_bits, list(range(200)), ef.low, ef.high, ef.samples, ids.tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, binary._SEGMENT)], schema=binary._SEGMENT)
+    asked, select = [], binary.EliasFano.select
+    monkeypatch.setattr(binary.EliasFano, "select", lambda self, i: asked.append(i) or select(self, i))
+    (got,) = binary._decoded([batch])
+    assert got.column("local_start").to_pylist() == [0, *ends[:-1].tolist()] and got.column("n_tokens").to_pylist() == list(range(1, 201))
+    assert asked == list(range(200))
+
+
 @given(st.lists(st.integers(0, 5000), max_size=300), st.integers(0, 200_000))
 def test_elias_fano(steps, first):
     values = np.cumsum([first, *steps])
