@@ -32,7 +32,7 @@ def rows():
     passage = sentences(draw, 60)
     texts += [sentences(draw, 40) + "\n" + passage + "\n" + sentences(draw, 20) for _ in range(5)]
     texts += [texts[3], texts[3], texts[3].upper(), texts[4].replace(" ", "\n")]
-    texts += [None, "", "   \n\t ", "one", "one", "Two words", "three small words", "a b c d", "x" * 5000, "naïve café ŒUVRE 日本語 text here ﬁn", " ".join(words(draw, 20_000)), "ab " * 3000]
+    texts += [None, "", "   \n\t ", "one", "one", "Two words", "three small words", "a b c d", "x" * 5000, "naïve café ŒUVRE 日本語 text here ﬁn", " ".join(words(draw, 20_000)), "ab " * 3000, "before <|endoftext|> after"]
     out = [(i, t, "en", None if i % 11 == 5 else f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
     out += [(None, texts[1], "en", "s0", 1), (None, None, None, None, None)]  # null ids
     out += [out[2], out[2]]  # repeated rows

@@ -1,6 +1,8 @@
 """Operators on documents against brute force, over nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,17 +16,37 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kinweave.llm import binary, language, minhash, mixing, packing, quality, rules, substring
+from kinweave.llm import binary, language, minhash, mixing, packing, quality, rules, substring, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def token_ids(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], "<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+ODD = "a Bc XYZ the's 'LL . ,; !? ' \" # $$$ word.%%% é ß İ ÿ Ā ɏ ɐ 日本 1 23 — … e\u0301 \x1c \x85 ΑΣ <|endoftext|> <|startoftext|> <|ENDOFTEXT|>".split(" ") + [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\xa0", "\u3000"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "other"])
+def test_encoder_equals_the_library(name, tmp_path, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json" if name == "other" else name)
+    if name == "other":  # a file that splits in another way
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        file["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+        path = str(tmp_path / "other.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(file, f)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 40)  # generations change often
+    encoder, library, draw = tokens.Encoder(path), Tokenizer.from_file(path), random.Random(3)
+    assert encoder.kind == {"b": "byte", "w": "word", "o": "whole"}[name[0]]
+    for _ in range(4000):
+        text = "".join(draw.choice(ODD) for _ in range(draw.randint(0, 10)))
+        assert encoder.ids(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def sort_key(r):
     return tuple((x is not None, x) for x in r)
 
