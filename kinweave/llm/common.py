@@ -46,6 +46,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of a scratch table on disk."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def parts_for(df: DataFrame, each: int = 16 << 20) -> int:
+    """Shuffle partitions for what a scratch table holds: about each bytes of it (compressed) a partition, so tasks do not grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(df) // each))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that no later step reads."""
     for df in tables:

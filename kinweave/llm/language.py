@@ -1,34 +1,38 @@
 """Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
 Counting. A task encodes its documents in blocks: each token as an index into the block's own vocabulary. Only the
-vocabularies travel: their words meet by hash, where counts over all training tokens are summed, and the counts go
-back to the block. Documents are never spread out into tokens across the cluster.
-
-Model. The WORDS most frequent words by their counts over all blocks (ties by hash), the end, and BUCKETS buckets of
-all other words (by their last two bytes) are the classes. The two classes before a token, each by its own vectors,
-add up to a context vector; its products with the class vectors, plus a bias, are the class logits. Training takes
-every training token once, in ROUNDS rounds: tasks descend on their documents from common parameters, which are then averaged by tokens. Scores are normalised
-over all classes, by one matrix product over the distinct contexts of a batch; a word of a bucket has the add-one
-share of its count in the bucket, where one more place is for all unknown words.
-
-Edge cases: null or empty text is one end token; a null doc_id is learned from; repeated rows count each; with no
-training documents N and V are 0 and both models are uniform over what they know; an empty table gives an empty
-result; other columns are ignored.
+vocabularies travel: counts over all training tokens are summed by word, within tasks first, and joined back to the
+blocks' words. Documents are never spread out into tokens across the cluster.
+
+Model. The WORDS most frequent words by their counts over all blocks (ties by the word), the end, and BUCKETS buckets
+of all other words (by their last two bytes) are the classes. The two classes before a token, each by its own
+vectors, add up to a context vector; its products with the class vectors, plus a bias, are the class logits. Scores
+are normalised over all classes, by one matrix product over the distinct contexts of a batch; a word of a bucket has
+the add-one share of its count in the bucket, where one more place is for all unknown words.
+
+Training takes every training token once, in ROUNDS rounds. Documents are dealt into shards of about SHARD_TOKENS
+tokens (more where there would be over MOST_SHARDS) and ordered there by a hash of their id and text; each shard
+descends from common parameters, which are then averaged by tokens. How the input is partitioned has no part in it.
+
+Edge cases: null or empty text is one end token; a null doc_id is learned from; repeated rows count each, and are of
+one shard, which streams; a text longer than a block is a block, one longer than a step a step; ties in the hash of a
+shard are equal rows; with no training documents N and V are 0 and both models are uniform over what they know; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix64, table, texts_of
+from .common import discard, materialise, mix64, parts_for, table, texts_of
 
 BLOCK_BYTES = 16 << 20
 WORDS, BUCKETS = 960, 61
@@ -36,6 +40,8 @@ WORDS, BUCKETS = 960, 61
 END, START = WORDS + BUCKETS, WORDS + BUCKETS + 1
 CLASSES = WORDS + BUCKETS + 1
 VECTOR, ROUNDS, BATCH, NOISE, RATE = 24, 2, 2048, 32, 0.5
+#: Training tokens of a shard, shards at most, and tokens that a step of a shard mixes.
+SHARD_TOKENS, MOST_SHARDS, STEP_TOKENS = 4_000_000, 4096, 1 << 18
 
 _ENCODED = "block long, doc_id long, held_out boolean, ids binary, words string, train array<int>, buckets array<int>"
 
@@ -178,19 +184,33 @@ def contexts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _trained(rows: np.ndarray, unigram: np.ndarray, seed: int):
-    """Per task: the parameters after its documents, times its tokens, by row; the tokens are the row's last value."""
+    """Over rows that come sorted by shard: the shards' parameters times their tokens, summed, by row; the tokens are the row's last value."""
 
-    def run(batches):
-        model, seen = LogBilinear(rows), 0
-        draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
+    def shards(batches):
+        shard, held, size = None, [], 0
         for batch in batches:
-            tokens, one, two, _ = contexts(batch.column("classes").to_pylist())
-            mixed = draw.permutation(len(tokens))
-            model.train(tokens[mixed], one[mixed], two[mixed], unigram, draw)
-            seen += len(tokens)
-        if seen:
-            values = np.column_stack([model.rows(), np.ones(len(rows))]) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(list(values), pa.list_(pa.float64()))], ["i", "row"])
+            for number, classes in zip(batch.column("shard").to_pylist(), batch.column("classes").to_pylist()):
+                if held and (number != shard or size >= STEP_TOKENS):
+                    yield shard, held
+                    held, size = [], 0
+                shard = number
+                held.append(classes)
+                size += len(classes) >> 1
+        if held:
+            yield shard, held
+
+    def run(batches):
+        total = 0
+        for shard, steps in groupby(shards(batches), key=lambda x: x[0]):
+            model, seen, draw = LogBilinear(rows), 0, np.random.default_rng([seed, shard])
+            for _, docs in steps:
+                tokens, one, two, _ = contexts(docs)
+                mixed = draw.permutation(len(tokens))
+                model.train(tokens[mixed], one[mixed], two[mixed], unigram, draw)
+                seen += len(tokens)
+            total = total + np.column_stack([model.rows(), np.ones(len(rows))]) * seen
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
     return run
 
@@ -217,19 +237,17 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     encoded = materialise(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(_encoded, _ENCODED), "encoded")
     own = encoded.where("words IS NOT NULL").select("block", "train", "buckets", F.posexplode(F.split("words", " ", -1)).alias("idx", "word"))
-    own = own.select("block", "idx", "word", F.col("train")[F.col("idx")].alias("n"), F.col("buckets")[F.col("idx")].alias("bucket"))
-
-    by_word = Window.partitionBy("h")
-    counted = own.select("block", "idx", "bucket", "n", F.xxhash64("word").alias("h"))
-    counted = counted.select("block", "idx", "bucket", "h", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("new"))
-    counted = materialise(counted, "counted")
+    counted = own.select("word", F.col("train")[F.col("idx")].alias("n"), F.col("buckets")[F.col("idx")].alias("bucket"))
+    counted = materialise(counted.groupBy("word").agg(F.sum("n").alias("c"), F.min("bucket").alias("bucket")), "counted")  # equal words have equal buckets
 
-    frequent = counted.where("new AND idx > 0 AND c > 0").orderBy(F.desc("c"), "h").select("h").limit(WORDS).collect()  # by the sums over all blocks
-    ranked = spark.createDataFrame([(r["h"], k) for k, r in enumerate(frequent)], "h long, rank int")  # WORDS rows at most
-    cls = F.when(F.col("idx") == 0, END).otherwise(F.coalesce("rank", F.col("bucket") + WORDS))
-    classes = counted.join(F.broadcast(ranked), "h", "left").select("block", "idx", cls.alias("cls"), "c", "new")
+    frequent = counted.where("word <> '' AND c > 0").orderBy(F.desc("c"), "word").select("word").limit(WORDS).collect()
+    ranked = spark.createDataFrame([(r["word"], k) for k, r in enumerate(frequent)], "word string, rank int")  # WORDS rows at most
+    cls = F.when(F.col("word") == "", END).otherwise(F.coalesce("rank", F.col("bucket") + WORDS))
+    known = counted.join(F.broadcast(ranked), "word", "left").select("word", cls.alias("cls"), "c")
+    parts = parts_for(encoded)
+    classes = own.select("block", "idx", "word").join(known, "word").select("block", "idx", "cls", "c")
 
-    sums = classes.where("new").groupBy("cls").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect()  # a row a class
+    sums = known.groupBy("cls").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect()  # a row a class
     total, distinct = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
     bucket_sizes, unigram = np.ones(BUCKETS), np.full(CLASSES, 0.5)
     for r in sums:
@@ -238,15 +256,18 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
             bucket_sizes[r["cls"] - WORDS] = r["n"] + r["v"] + 1
     unigram /= unigram.sum()
 
-    texts = encoded.where("words IS NULL").select("block", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "ids")  # text, as pandas has no long with nulls
-    grouped = texts.groupBy("block").cogroup(classes.select("block", "idx", "cls", "c").groupBy("block"))
+    texts = encoded.where("words IS NULL").select(F.col("block").alias("of"), F.col("doc_id").cast("string").alias("doc_id"), "held_out", "ids")  # text, as pandas has no long with nulls
+    grouped = texts.repartition(parts, "of").groupBy("of").cogroup(classes.repartition(parts, "block").groupBy("block"))
     classed = materialise(grouped.applyInPandas(_classed(total, distinct, bucket_sizes), _CLASSED), "classed")
     discard(encoded, counted)
 
     rows = LogBilinear.start(unigram).rows()
+    shards = min(MOST_SHARDS, -(-total // SHARD_TOKENS))
+    order = F.xxhash64("doc_id", "classes")
+    dealt = classed.where("NOT held_out").select("classes", order.alias("order"), F.pmod(F.shiftright(order, 8), F.lit(max(1, shards))).alias("shard"))
     for k in range(ROUNDS if total else 0):
-        turn = classed.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(ROUNDS)) == k))
-        parts = turn.select("classes").mapInArrow(_trained(rows, unigram, k), "i int, row array<double>")
+        turn = dealt.where(F.pmod("order", F.lit(ROUNDS)) == k).repartition(shards, "shard").sortWithinPartitions("shard", "order")
+        parts = turn.select("shard", "classes").mapInArrow(_trained(rows, unigram, k), "i int, row array<double>")
         some = parts.groupBy("i", F.pmod(F.spark_partition_id(), F.lit(64)).alias("k")).applyInPandas(_row_sum, "i int, row array<double>")
         summed = sorted((r["i"], r["row"]) for r in some.groupBy("i").applyInPandas(_row_sum, "i int, row array<double>").collect())  # a row a class
         if summed:

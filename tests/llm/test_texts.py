@@ -194,6 +194,46 @@ def test_language_ranks_by_counts_over_all_blocks(spark, monkeypatch):
     assert np.allclose(split, whole) and np.allclose(split[:2], 24.5) and np.allclose(split[2:26], 1.5)
 
 
+def test_language_does_not_depend_on_the_partitioning(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language, "SHARD_TOKENS", 150_000)  # a few shards
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: tuple(r)[1:] for r in language.score_texts(docs.repartition(n, "text"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()} for n in (1, 60))
+    assert one.keys() == many.keys() and all(one[i][:4] == many[i][:4] for i in one)
+    assert np.allclose([one[i][4:] for i in one], [many[i][4:] for i in one], rtol=1e-5)
+
+
+def test_language_scores_by_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    learned, scored = [], language._scored
+    monkeypatch.setattr(language, "_scored", lambda rows, total: learned.append(rows) or scored(rows, total))
+    draw = random.Random(8)
+    texts = [" ".join(f"w{min(1200, int(draw.paretovariate(0.4)))}" for _ in range(200)) for _ in range(60)]
+    got = {r["doc_id"]: r["score"] for r in language.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()}
+    c = Counter(w for i, t in enumerate(texts) if i % 5 for w in [*t.split(), ""])
+    ranked = sorted((w for w in c if w), key=lambda w: (-c[w], w))[: language.WORDS]
+    cls = lambda w: language.END if not w else ranked.index(w) if w in ranked else language.WORDS + language.bucket(w.encode())
+    size, kinds = Counter(), Counter()
+    for w in c:
+        size[cls(w)] += c[w]
+        kinds[cls(w)] += 1
+    (rows,) = learned
+    v = language.VECTOR
+    for i, t in enumerate(texts[:12]):
+        before, total = [language.START, language.START], 0.0
+        for w in [*t.split(), ""]:
+            context = rows[before[1], :v] + rows[before[0], v : 2 * v]
+            logits = rows[: language.CLASSES, 2 * v : 3 * v] @ context + rows[: language.CLASSES, 3 * v]
+            k = cls(w)
+            total += (logits[k] - np.log(np.exp(logits).sum())) / np.log(10)
+            if language.WORDS <= k < language.END:
+                total += np.log10((c[w] + 1) / (size[k] + kinds[k] + 1))
+            before = [before[1], k]
+        assert abs(got[i] - total) < 1e-3 * abs(total)
+
+
 def test_log_bilinear_is_normalised_and_learns():
     draw = np.random.default_rng(1)
     unigram = np.full(language.CLASSES, 1 / language.CLASSES)
