@@ -133,7 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of hooking each node to its smallest neighbour, pointer jumping to the root, and renaming the
     edges to roots. A round at least halves the nodes left in a component, so rounds are logarithmic. All
-    state is in tables; a node of very many neighbours only meets partial sums and joins that AQE splits.
+    state is in tables; a node of very many neighbours only meets partial sums and joins that AQE splits. The tables
+    grow with the input, so the joins are shuffled ones.
     """
     label = None
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -142,7 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
         parent = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")).select("node", "root"), "hooks")
         while True:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = materialise(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), "jumped")
+            jumped = materialise(parent.join(up.hint("merge"), "root").select("node", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), "jumped")
             moved = not jumped.where("moved").isEmpty()
             discard(parent)
             parent = jumped
@@ -152,9 +153,9 @@ def components(edges: DataFrame) -> DataFrame:
         if label is None:
             label = roots.select("node", F.col("root").alias("component"))
         else:
-            at = label.join(roots.withColumnRenamed("node", "component"), "component", "left")
+            at = label.join(roots.withColumnRenamed("node", "component").hint("merge"), "component", "left")
             label = materialise(at.select("node", F.coalesce("root", "component").alias("component")), "labels")
-        left = edges.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
+        left = edges.join(roots.toDF("a", "ra").hint("merge"), "a").join(roots.toDF("b", "rb").hint("merge"), "b").where("ra <> rb")
         renamed = materialise(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         discard(edges)
         edges = renamed

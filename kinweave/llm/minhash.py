@@ -1,15 +1,18 @@
 """MinHash near-duplicates by a multi-index Hamming join, confirmed on whole shingle sets.
 
-A signature has CHUNKS x WIDTH min-hashes of 16 bits. By pigeonhole, signatures that differ in at most
-2 * CHUNKS - 1 components have a chunk with at most one error; every chunk therefore gives WIDTH keys, each
-leaving one component out, and all pairs under that distance meet in a key (at similarity 0.8 a pair that meets
-nowhere has a chance of about 1e-7). Documents of equal sets are one class before any key is made. Keys only
-give connectivity: the classes that keys connect form candidate groups, and tiles of a group compare all its
-pairs exactly on the whole sets, so no candidate is capped. A tile returns a spanning forest, not pairs.
+A signature has CHUNKS x WIDTH min-hashes of 16 bits. By pigeonhole, signatures that differ in at most DISTANCE =
+2 * CHUNKS - 1 components have a chunk with at most one error; every chunk therefore gives WIDTH keys, each leaving
+one component out, and all pairs within that distance meet in a key (at similarity 0.8 a pair is further apart with
+a chance of about 1e-7). Documents of equal sets are one class before any key is made. Classes that meet in a key
+are compared by their signatures; those within the distance are joined, by a spanning forest of each key's classes.
+In a key of more than MOST_COMPARED classes all are joined to the least one uncompared, which loses no pair. The
+classes that are so connected form candidate groups, and tiles of a group compare all its pairs exactly on the
+whole sets, so no candidate is capped. A tile returns a spanning forest, not pairs.
 
 Edge cases: null or empty text, or no words: n_shingles 0, linked with nothing. Fewer words than the shingle:
 the whole sequence is the one shingle. A null doc_id can name no component: such a row stays alone
-(component_id null, kept true). Repeated rows link with each other. Other columns are ignored.
+(component_id null, kept true). Repeated rows link with each other; ties go to the smallest doc_id. A very long text
+is a step of its own and one row of a tile. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialise, mix64, rolled, steps, table, texts_of, word_hashes
+from .common import Forest, components, materialise, mix64, parts_for, rolled, steps, table, texts_of, word_hashes
 
 CHUNKS, WIDTH = 12, 5
+DISTANCE = 2 * CHUNKS - 1
+#: Classes of one key that are compared by their signatures in one task.
+MOST_COMPARED = 20_000
 #: A tile of a candidate group holds about so many classes and shingles a side.
 TILE_DOCS, TILE_SHINGLES = 512, 1_000_000
 
 _seeds = mix64(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 #: For each key its components: a chunk without one of its members.
 _KEYS = np.array([[c * WIDTH + k for k in range(WIDTH) if k != out] for c in range(CHUNKS) for out in range(WIDTH)])
-_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"
+_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary, keys array<long>"
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -79,16 +85,61 @@ def _signed(words: int):
             for a, b in steps(texts):
                 sets = shingle_sets(texts[a:b], words)
                 prints = [_fingerprint(s) if len(s) else (None, None) for s in sets]
-                keys = _keys(np.stack([_signature(s) for s in sets]))
-                keys = pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))
+                signatures = np.stack([_signature(s) for s in sets])
+                keys = pa.array([k if len(s) else None for k, s in zip(_keys(signatures), sets)], pa.list_(pa.int64()))
+                packed = pa.array([x.astype("<u2").tobytes() if len(s) else None for x, s in zip(signatures, sets)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), keys],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "keys"],
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), packed, keys],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "signature", "keys"],
                 )
 
     return run
 
 
+def near_forest(signatures: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of signatures that differ in at most distance components."""
+    out, open_ = [], np.arange(len(signatures))
+    while len(open_) > 1:
+        front, open_ = [open_[0]], open_[1:]
+        while front and len(open_):
+            x = front.pop()
+            near = (signatures[open_] != signatures[x]).sum(axis=1) <= distance
+            out += [(int(x), int(y)) for y in open_[near]]
+            front += open_[near].tolist()
+            open_ = open_[~near]
+    return out
+
+
+def _met(batches):
+    """Pairs (a, b) of a spanning forest of each key's classes within DISTANCE; rows come sorted by key."""
+
+    def pairs(keys, cids, signatures):
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(starts, len(keys)))
+        two = starts[sizes == 2]
+        two = two[(signatures[two] != signatures[two + 1]).sum(axis=1) <= DISTANCE]
+        found = [np.stack([cids[two], cids[two + 1]], axis=1)]
+        for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+            tree = near_forest(signatures[s : s + n], DISTANCE)
+            if tree:
+                found.append(cids[s + np.array(tree)])
+        found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    held: list = []
+    for batch in batches:
+        keys, cids = (batch.column(c).to_numpy() for c in ("key", "cid"))
+        signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(len(keys), -1)
+        if held:
+            keys, cids, signatures = (np.concatenate(x) for x in zip(held, (keys, cids, signatures)))
+        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
+        if last:
+            yield pairs(keys[:last], cids[:last], signatures[:last])
+        held = [keys[last:], cids[last:], signatures[last:]]
+    if held and len(held[0]):
+        yield pairs(*held)
+
+
 def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int):
     """Union-find over the sets of a tile; yields the unions, of all pairs with 100 I >= percent U. side: 0, 1, or all 0."""
     n, cross = len(sets), side.any()
@@ -135,24 +186,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) per row: components of links with 100 I >= percent U on shingle sets."""
     rows = materialise(docs.select("doc_id", "text").mapInArrow(_signed(words), _SCHEMA), "signed")
     named = rows.where("doc_id IS NOT NULL AND fp1 IS NOT NULL")
-    classes = materialise(named.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.any_value("keys").alias("keys")), "classes")
+    classes = materialise(named.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.any_value("signature").alias("signature"), F.any_value("keys").alias("keys")), "classes")
 
-    keyed = classes.select("cid", F.explode("keys").alias("key"))
-    least = materialise(keyed.groupBy("key").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "buckets")
-    groups = components(keyed.join(least, "key").select("a", F.col("cid").alias("b")))
+    keyed = classes.select("cid", "fp1", F.explode("keys").alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    met = keyed.join(shared.where(f"n <= {MOST_COMPARED}").select("key").hint("merge"), "key")
+    met = materialise(met, "met")
+    signed = met.join(classes.select("fp1", "signature").hint("merge"), "fp1").repartition(parts_for(met, 4 << 20), "key").sortWithinPartitions("key")
+    large = keyed.join(shared.where(f"n > {MOST_COMPARED}").select("key", "least").hint("merge"), "key").select(F.col("least").alias("a"), F.col("cid").alias("b"))
+    groups = components(signed.select("key", "cid", "signature").mapInArrow(_met, "a long, b long").union(large))
 
-    members = materialise(groups.join(classes.select(F.col("cid").alias("node"), "n_shingles", "fp1"), "node"), "members")
+    members = materialise(groups.join(classes.select(F.col("cid").alias("node"), "n_shingles", "fp1").hint("merge"), "node"), "members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     sizes = materialise(sizes, "group-sizes")
-    placed = members.join(sizes, "component").select(F.col("node").alias("cid"), "fp1", "component", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) AS int)").alias("block"))
-    with_text = docs.select(F.col("doc_id").alias("cid"), "text").where("cid IS NOT NULL AND text IS NOT NULL").join(placed, "cid")
+    placed = members.join(sizes.hint("merge"), "component").select(F.col("node").alias("cid"), "fp1", "component", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) AS int)").alias("block"))
+    with_text = docs.select(F.col("doc_id").alias("cid"), "text").where("cid IS NOT NULL AND text IS NOT NULL").join(placed.hint("merge"), "cid")
     tiles = with_text.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("cid", "fp1", "text", "component", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     links = tiles.groupBy("component", "bi", "bj").applyInPandas(_tile(words, percent), "a long, b long")
 
     label = components(links).select(F.col("node").alias("cid"), "component")
-    classed = materialise(classes.drop("keys").join(label, "cid", "left").select("fp1", "fp2", F.coalesce("component", "cid").alias("component_id")), "classed")
-    linked = named.select("doc_id", "n_shingles", "fp1", "fp2").join(classed, ["fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
+    classed = materialise(classes.select("fp1", "fp2", "cid").join(label.hint("merge"), "cid", "left").select("fp1", "fp2", F.coalesce("component", "cid").alias("component_id")), "classed")
+    linked = named.select("doc_id", "n_shingles", "fp1", "fp2").join(classed.hint("merge"), ["fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("doc_id IS NULL OR fp1 IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, over nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -386,3 +387,57 @@ def test_signatures_meet_at_the_threshold():
         b = a.copy()
         b[0, draw.choice(a.shape[1], 2 * minhash.CHUNKS - 1, replace=False)] += np.uint64(1)
         assert (minhash._keys(a) == minhash._keys(b)).any()
+
+
+def test_classes_of_a_key_meet_by_distance():
+    draw = np.random.default_rng(6)
+    keys, cids, signatures, want = [], [], [], set()
+    for key in range(40):
+        n = int(draw.choice([2, 2, 3, 9]))
+        own = np.repeat(draw.integers(0, 9, (1, 60)), n, axis=0)
+        for x in own:
+            at = draw.choice(60, int(draw.integers(0, 24)), replace=False)
+            x[at] = draw.integers(10, 1 << 16, len(at))
+        ids = draw.permutation(1000)[:n]
+        reach = {int(i): {int(i)} for i in ids}
+        for i, j in itertools.combinations(range(n), 2):
+            if (own[i] != own[j]).sum() <= minhash.DISTANCE:
+                both = reach[int(ids[i])] | reach[int(ids[j])]
+                for k in both:
+                    reach[k] = both
+        want |= {(key, frozenset(x)) for x in reach.values()}
+        keys += [key] * n
+        cids += ids.tolist()
+        signatures += [x.astype("<u2").tobytes() for x in own]
+    got = set()
+    for key in range(40):  # components of one key at a time, over batches of five rows
+        rows = [(k, c, s) for k, c, s in zip(keys, cids, signatures) if k == key]
+        batches = [pa.RecordBatch.from_pydict({"key": [r[0] for r in b], "cid": [r[1] for r in b], "signature": [r[2] for r in b]}) for b in (rows[i : i + 5] for i in range(0, len(rows), 5))]
+        pairs = [(a, b) for out in minhash._met(batches) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+        reach = {r[1]: {r[1]} for r in rows}
+        for a, b in pairs:
+            both = reach[a] | reach[b]
+            for k in both:
+                reach[k] = both
+        got |= {(key, frozenset(x)) for x in reach.values()}
+        assert len(pairs) == len(rows) - len({frozenset(x) for x in reach.values()})
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [minhash.MOST_COMPARED, 1])
+def test_minhash_loses_no_pair_near_the_threshold(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "MOST_COMPARED", most)
+    draw = random.Random(9)
+    texts = []
+    for i in range(120):
+        base = [f"w{draw.randrange(400)}" for _ in range(300)]
+        copy = list(base)
+        for k in draw.sample(range(20), draw.randint(6, 10)):  # single words far apart: each changes four shingles
+            copy[15 * k + 3] = f"other{i}"
+        texts += [" ".join(base), " ".join(copy)]
+    rows = list(enumerate(texts))
+    want = brute_components([(i, t) for i, t in rows], 4, 80)
+    linked = sum(c != i for i, _, c in want)
+    assert 40 < linked < 120  # on both sides of the threshold
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(tuple(r)[:3] for r in got) == want
