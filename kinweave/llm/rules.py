@@ -2,10 +2,14 @@
 
 Each rule votes good (1), bad (0) or abstains (null). Expectation-maximisation over the counts of vote patterns
 (at most 3 ** rules of them, whatever the corpus) estimates each rule's accuracy in either class and the share of
-good documents; a document's posterior is then a sum of log-odds. No rule can reject a document by itself.
-
-Edge cases: null or empty text has no words and fails the base rule; a rule without evidence abstains; repeated
-rows get equal verdicts; an empty table gives an empty result; other columns are ignored.
+good documents; a document's posterior is then a sum of log-odds. The accuracies have Beta priors: rules are made to
+fire on few good documents, so a vote for bad is strong evidence, and where the rules are as good as that, one such
+vote outweighs the others' votes for good. The priors weigh in proportion to the documents, so that a corpus of any
+size with the same shares of patterns gets the same estimates.
+
+Edge cases: null or empty text has no words and fails the base rule; a rule without evidence abstains; a posterior
+equal to the limit is kept; repeated rows get equal verdicts; a very long text is one row of arrays in one task; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from .common import materialise, table
 from .mixing import word_list
 
 GRAM = 8
-#: Bounds of the estimates: a rule votes good on so many good documents at least, and on so many bad ones at most.
-LEAST_GOOD, MOST_BAD = 0.995, 0.9
+#: Beta priors of P(vote good | good) and P(vote good | bad): the mean, and the weight in documents for each document judged.
+PRIORS = ((0.998, 20.0), (0.75, 0.2))
+START_SHARE = 0.8
 
 
 def _repeated_words(words: Column, n: Column, hashes: Column) -> Column:
@@ -82,20 +87,16 @@ def votes() -> dict[str, Column]:
 
 def fit(patterns: list[tuple[tuple, int]], rounds: int = 50) -> tuple[float, list[list[float]]]:
     """Share of good documents, and for each rule P(vote good | good) and P(vote good | bad), by EM over patterns."""
-    rules = len(patterns[0][0]) if patterns else 0
-    # junk comes in kinds, so a bad document still gets most rules' votes for good: one vote against must weigh more
-    share, good = 0.8, [[0.995, 0.75] for _ in range(rules)]
-    for _ in range(rounds):
+    rules, total = len(patterns[0][0]) if patterns else 0, sum(n for _, n in patterns)
+    share, good = START_SHARE, [[mean for mean, _ in PRIORS] for _ in range(rules)]
+    for _ in range(rounds if total else 0):
         posterior = [1 / (1 + math.exp(-max(-50.0, min(50.0, log_odds(p, share, good))))) for p, _ in patterns]
-        total = sum(n for _, n in patterns)
-        share = min(0.99, max(0.01, sum(q * n for q, (_, n) in zip(posterior, patterns)) / total)) if total else share
+        share = min(0.99, max(0.01, sum(q * n for q, (_, n) in zip(posterior, patterns)) / total))
         for r in range(rules):
-            for k, weight in enumerate((posterior, [1 - q for q in posterior])):
-                cast = sum(q * n for q, (p, n) in zip(weight, patterns) if p[r] is not None)
-                yes = sum(q * n for q, (p, n) in zip(weight, patterns) if p[r] == 1)
-                good[r][k] = (yes + (2, 1)[k]) / (cast + 3)
-        # rules are made to fire on few good documents, and junk of other kinds mostly passes them
-        good = [[max(g, LEAST_GOOD), min(b, MOST_BAD)] for g, b in good]
+            for k, (member, (mean, weight)) in enumerate(zip((posterior, [1 - q for q in posterior]), PRIORS)):
+                cast = sum(q * n for q, (p, n) in zip(member, patterns) if p[r] is not None)
+                yes = sum(q * n for q, (p, n) in zip(member, patterns) if p[r] == 1)
+                good[r][k] = (yes + mean * weight * total) / (cast + weight * total)
     return share, good
 
 

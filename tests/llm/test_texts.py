@@ -284,7 +284,25 @@ def test_rules_find_junk_and_keep_the_rest(spark):
     assert got.where("quality = 1 AND NOT kept").count() <= 0.01 * got.where("quality = 1").count()
 
 
+def test_posteriors_by_brute_force(spark):
+    """The same estimation with a row a document, in numpy."""
+    got = rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    votes = np.array([[np.nan if r[f"vote_{k}"] is None else r[f"vote_{k}"] for k in rules.votes()] for r in got])
+    n, share, p = len(votes), rules.START_SHARE, np.array([[m for m, _ in rules.PRIORS]] * votes.shape[1]).T
+    for _ in range(51):
+        like = [np.nansum(np.where(votes == 1, np.log(x), np.where(votes == 0, np.log(1 - x), np.nan)), axis=1) for x in p]
+        post = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + like[0] - like[1])))
+        last, share = share, np.clip(post.mean(), 0.01, 0.99)
+        for k, member in enumerate((post, 1 - post)):
+            mean, weight = rules.PRIORS[k]
+            p[k] = (((votes == 1) * member[:, None]).sum(axis=0) + mean * weight * n) / ((~np.isnan(votes) * member[:, None]).sum(axis=0) + weight * n)
+    assert np.allclose(post, [r["posterior"] for r in got], atol=1e-6) and 0.5 < last < 0.95
+    assert [r["kept"] for r in got] == [bool(q >= 0.5 and not r["base_failed"]) for q, r in zip(post, got)]
+
+
 def test_estimation_needs_patterns():
+    many, few = (rules.fit([((1, 1, 1), 90 * k), ((0, 1, 1), 5 * k), ((1, 0, None), 5 * k)]) for k in (1, 1000))
+    assert np.allclose(many[1], few[1]) and abs(many[0] - few[0]) < 1e-9  # alike at every size
     assert rules.fit([]) == (0.8, [])
     share, good = rules.fit([((1, 1, 1), 90), ((0, 1, 1), 5), ((1, 0, None), 5)])
     assert rules.log_odds((1, 1, 1), share, good) > 0 > rules.log_odds((0, 0, 1), share, good)
