@@ -1,14 +1,19 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page falls into blocks: runs of text between block-level tags. A linear classifier on a block's words, links, tags
-and the names of the elements around it gives the costs of calling it content or boilerplate; they are capacities to
-the two terminals. A boilerplate name (or a form) costs less the further out its element is, nothing within an inner
-article, main or content name, and nothing where its element holds most of the page's text. Blocks next to each other, and blocks next to each other under one parent, are joined by edges
-whose capacity grows with the share of their path that is common. The minimum cut is the cheapest labelling.
+A page falls into blocks: runs of text between block-level tags. Its graph has a node for each block and for each
+element that tells something about what it encloses: tags and names of boilerplate or content, and hidden elements.
+A linear classifier on a block's own words, links and tag gives the costs of calling it content or boilerplate; they
+are capacities to the two terminals, as are the costs of the elements. Edges of DOM proximity join a block to the
+innermost element of each kind around it (the capacity falls with the distance to a boilerplate name), and blocks
+next to each other in the page or under one parent (it grows with the share of their path that is common). The
+minimum cut is the cheapest labelling of all of them. What an element of a boilerplate name costs as content is the
+content that the page has outside it, so an element around most of a page turns into content with it, and one
+around a part of the page takes that part out, however much like an article it reads.
 
 Edge cases: null or empty html, and pages without content, give empty text; cut-off tags, comments and scripts end
 with the page; unknown character references stay as written; white space of any kind inside a block is one space;
-a page of very many blocks is one graph of linear size; repeated rows give equal texts; other columns are ignored.
+of labellings that cost the same, the one with more content; a page of very many blocks is one graph of linear size;
+repeated rows give equal texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,50 +54,47 @@ _ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "t
 #: Elements that such an implied end does not reach beyond.
 _WALLS = frozenset("ul ol dl table body article section div main".split())
 
+#: Parts of a name that say what a page has or lacks, not what the element is.
+STATES = frozenset("no not has with without hide".split())
+
 SMOOTH, UNIT = 0.8, 1000
-#: Cost of a block in hidden elements and in elements of BOILERPLATE_TAGS, the most of all; of one whose own element has a
-#: boilerplate name, and the share of it that is left an element further out; of each outer element of such a name.
-CERTAIN, NAMED, NEARER, OUTER = 8.0, 10.0, 0.85, 1.0
+#: Capacities from a block to the element around it: of certain boilerplate; of a boilerplate name, the share of it that is
+#: left an element further out, and what each outer one adds; of a content name.
+CERTAIN, NAMED, NEARER, OUTER, CONTENT = 8.0, 10.0, 0.85, 1.0, 2.5
+#: What no cut goes through.
+FIXED = 1 << 40
 
 
 class Block:
-    __slots__ = ("certain", "depth", "framed", "named", "path", "score", "tag", "text")
+    """A run of text, its own score, and the numbers (0: none) of the innermost elements around it: certain, of a boilerplate name, of content."""
 
-    def __init__(self, tag: str, path: tuple, text: str, links: int, certain: bool, named: tuple, depth: int, content: int):
-        self.tag, self.path, self.text, self.certain, self.named, self.depth, self.framed = tag, path, text, certain, named, depth, content > 0
-        n = len(text.split())
-        density = min(1.0, links / max(1, len(text)))
-        score = 0.5 + 2.5 * min(1, content) + min(n, 40) / 20 - 3 * density
-        score += 1.0 if tag in ("p", "blockquote", "pre") else 0.7 if tag in ("h1", "h2", "h3") else 0.0
-        score += 0.5 if text[-1] in ".!?…\"”»" else 0.0
-        score -= 1.0 if n < 4 and not content else 0.0
-        self.score = score - CERTAIN if certain else score
+    __slots__ = ("bond", "certain", "framed", "named", "path", "score", "tag", "text")
 
+    def __init__(self, tag: str, path: tuple, text: str, links: int, certain: int, named: tuple[int, int, int], depth: int, framed: int):
+        self.tag, self.path, self.text, self.certain, self.framed = tag, path, text, certain, framed
+        self.named, name_depth, outer = named
+        self.bond = NAMED * NEARER ** (depth - name_depth) + OUTER * outer
+        n = len(text.split())
+        self.score = 0.5 + min(n, 40) / 20 - 3 * min(1.0, links / max(1, len(text)))
+        self.score += 1.0 if tag in ("p", "blockquote", "pre") else 0.7 if tag in ("h1", "h2", "h3") else 0.0
+        self.score += 0.5 if text[-1] in ".!?…\"”»" else 0.0
+        self.score -= 1.0 if n < 4 and not framed else 0.0
 
-def _weigh_names(page: list[Block]) -> None:
-    """Take the cost of boilerplate names off the scores of blocks that are not certain.
 
-    An element that holds more than half of the text does not count. The text is that of article, main and content
-    names, or all of it where they have none: comments longer than their article stay comments.
-    """
-    held: dict[int, int] = {}
-    free = [b for b in page if not b.certain]
-    framed = [b for b in free if b.framed]
-    total = sum(len(b.text) for b in framed or free)
-    for b in framed or free:
-        for number, _ in b.named:
-            held[number] = held.get(number, 0) + len(b.text)
-    for b in free:
-        depths = [depth for number, depth in b.named if 2 * held.get(number, 0) <= total]
-        if depths:
-            b.score -= min(CERTAIN, NAMED * NEARER ** (b.depth - depths[-1]) + OUTER * (len(depths) - 1))
+def _boilerplate(value: str) -> bool:
+    """Whether one of the names of an attribute is of boilerplate."""
+    for name in value.split():
+        parts = {p.lower() for p in _PARTS.findall(name)}
+        if not parts.isdisjoint(BOILERPLATE_NAMES) and parts.isdisjoint(STATES):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order."""
     out: list[Block] = []
-    # tag, number, in a certain element, (number, depth) of elements with boilerplate names, depth, content, in a link
-    stack: list[tuple[str, int, bool, tuple, int, int, bool]] = [("", 0, False, (), 0, 0, False)]
+    # tag, number, number of a certain element, (number, depth, others around it) of one with a boilerplate name, depth, number of a content element, in a link
+    stack: list[tuple[str, int, int, tuple[int, int, int], int, int, bool]] = [("", 0, 0, (0, 0, 0), 0, 0, False)]
     text: list[str] = []
     linked = number = at = 0
 
@@ -148,26 +150,28 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in INLINE:
             continue
-        _, _, certain, named, depth, content, link = stack[-1]
+        _, _, certain, named, depth, framed, link = stack[-1]
         depth += tag not in INLINE
         number += 1
-        bad = good = False
+        bad = good = hidden = False
         if attributes:
-            names = {p.lower() for x in _NAMES.finditer(attributes) for p in _PARTS.findall(x[2] or x[3] or x[4] or "")}
-            certain = certain or bool(_HIDDEN.search(attributes))
+            hidden = bool(_HIDDEN.search(attributes))
             if tag not in ("html", "body"):
-                bad, good = not names.isdisjoint(BOILERPLATE_NAMES), not names.isdisjoint(CONTENT_NAMES)
+                values = [x[2] or x[3] or x[4] or "" for x in _NAMES.finditer(attributes)]
+                bad = any(map(_boilerplate, values))
+                good = any(p.lower() in CONTENT_NAMES for v in values for p in _PARTS.findall(v))
         bad, good = bad or tag == "form", good or tag in ("article", "main")
-        certain = certain or tag in BOILERPLATE_TAGS or tag == "header" and not any(s[0] == "article" for s in stack)
-        content += good and not bad
+        if not certain and (hidden or tag in BOILERPLATE_TAGS or tag == "header" and not any(s[0] == "article" for s in stack)):
+            certain = number
+        if good and not bad:
+            framed = number
         if bad:
-            named = (*named, (number, depth))
+            named = (number, depth, named[2] + (named[0] > 0))
         elif good and tag not in INLINE:
-            named = ()
-        stack.append((tag, number, certain, named, depth, content, link or tag == "a"))
+            named = (0, 0, 0)
+        stack.append((tag, number, certain, named, depth, framed, link or tag == "a"))
     add(page[at:])
     end_block()
-    _weigh_names(out)
     return out
 
 
@@ -238,12 +242,40 @@ def minimum_cut(content: list[int], boilerplate: list[int], edges: list[tuple[in
                 left[i] += flow
 
 
+def graph(page: list[Block]) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """Costs of the labels content and boilerplate of the blocks, then of the elements around them, and the edges of all."""
+    cost = lambda x: round(UNIT * math.log1p(math.exp(min(x, 30.0))))
+    content, boilerplate, edges = [cost(-b.score) for b in page], [cost(b.score) for b in page], smoothness(page)
+    evidence = [max(0.0, b.score + CONTENT * (b.framed > 0)) for b in page]
+    free = [i for i, b in enumerate(page) if not b.certain]
+    # the page's content is that of content elements, or all of it where there are none: comments longer than their article stay comments
+    own = [i for i in free if page[i].framed] or free
+    total, held = sum(evidence[i] for i in own), defaultdict(float)
+    for i in own:
+        held[page[i].named] += evidence[i]
+    nodes: dict[tuple[str, int], int] = {}
+
+    def join(i: int, kind: str, number: int, bond: float, as_content: int, as_boilerplate: int) -> None:
+        node = nodes.setdefault((kind, number), len(content))
+        if node == len(content):
+            content.append(as_content)
+            boilerplate.append(as_boilerplate)
+        edges.append((i, node, round(UNIT * bond)))
+
+    for i, b in enumerate(page):
+        if b.certain:
+            join(i, "certain", b.certain, CERTAIN, FIXED, 0)
+        elif b.named:
+            join(i, "named", b.named, b.bond, round(UNIT * (total - held[b.named])) if held[b.named] else FIXED, 0)
+        if b.framed:
+            join(i, "framed", b.framed, CONTENT, 0, FIXED)
+    return content, boilerplate, edges
+
+
 def main_text(page: str) -> str:
     """Content blocks of a page, joined by one space."""
     found = blocks(page)
-    cost = lambda x: round(UNIT * math.log1p(math.exp(min(x, 30.0))))
-    labels = minimum_cut([cost(-b.score) for b in found], [cost(b.score) for b in found], smoothness(found))
-    return " ".join(b.text for b, keep in zip(found, labels) if keep)
+    return " ".join(b.text for b, keep in zip(found, minimum_cut(*graph(found))) if keep)
 
 
 def _extracted(batches):

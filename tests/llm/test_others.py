@@ -115,6 +115,41 @@ def test_names_around_the_whole_text(wrapped):
     assert whole.count("ends here.") == 6 and "other texts" not in whole and "rights" not in whole
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="content no-sidebar">', '<div class="has-header">', '<div class="page-with-comments">', '<main class="search-results">', '<div class="layout comments">'])
+def test_wrappers_of_a_plain_article(wrapper):
+    assert html.main_text(wrapper + ARTICLE + "</div>").count("ends here.") == 6
+
+
+def test_the_cut_corrects_labels_of_single_blocks(spark):
+    short = '<article><h2>Parts</h2><p>' + "The article begins with a sentence of some length. " * 3 + '</p><ul><li><a href="/a">One linked part</a></li><li><a href="/b">Two linked parts</a></li></ul><p>' + "It ends with one more sentence. " * 3 + "</p></article>"
+    comment = '<div class="comments"><p>' + "This comment reads like any sentence of the article above. " * 2 + "</p></div>"
+    page = html.blocks(short + comment)
+    labels = html.minimum_cut(*html.graph(page))[: len(page)]
+    wrong = {b.text[:12] for b, keep in zip(page, labels) if (b.score >= 0) != keep}
+    assert wrong == {"One linked p", "Two linked p", "This comment"}
+    assert [b.text[:12] for b, keep in zip(page, labels) if keep] == ["Parts", "The article ", "One linked p", "Two linked p", "It ends with"]
+    # without edges every block stands for itself, also on real pages
+    changed = 0
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        page = html.blocks(r["html"] or "")
+        changed += sum((b.score >= 0) != keep for b, keep in zip(page, html.minimum_cut(*html.graph(page))))
+    assert changed > 0
+
+
+@given(st.lists(st.sampled_from(["<p>Some words of an article, and more.", '<div class="sidebar">', "</div>", "<article>", "</article>", '<a href="/">link text</a><hr>', "<nav>a menu</nav>", '<div class="comments no-menu">', "short<hr>"]), max_size=9))
+def test_pages_by_brute_force(parts):
+    content, boiler, edges = html.graph(html.blocks("".join(parts)))
+    total = lambda keep: sum(c if k else b for k, c, b in zip(keep, content, boiler)) + sum(w for i, j, w in edges if keep[i] != keep[j])
+    assert total(html.minimum_cut(content, boiler, edges)) == min(total(k) for k in itertools.product([True, False], repeat=len(content)))
+
+
+def test_wide_page_and_empty_table(spark):
+    wide = "<main>" + "<p>one two three four five six seven eight.</p>" * 20_000 + "</main>"
+    pages = spark.createDataFrame([(1, "u", wide)], "page_id long, url string, html string")
+    assert html.extract(pages).first()["text"].count("eight.") == 20_000
+    assert html.extract(pages.where("false")).count() == 0
+
+
 def test_names_around_other_text():
     comments = '<div class="comments">' + '<div class="comment"><p>I liked this a lot, and I want to say so here, at length, as others do.</p></div>' * 20 + "</div>"
     text = html.main_text(FRAME.format("<main>" + ARTICLE + "</main>" + comments))
