@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import canonical
+from .lineage import cut
 
 #: Characters of a block; blocks overlap by k - 1, so that no long sequence is scanned from its start for each k-mer.
 BLOCK = 256
@@ -25,6 +28,69 @@ def kmers(sequences: DataFrame, k: int, dna: bool = True, canonicalise: bool = T
     return out.select("genome", "contig", (F.col("at") + F.col("i")).cast("long").alias("pos"), kmer.alias("kmer"))
 
 
+#: The number of each letter, 4 for all others.
+_NUMBERS = np.full(256, 4, np.uint8)
+_NUMBERS[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3] * 2
+#: Letters of a contig that are numbered at once.
+STRETCH = 1 << 20
+
+
+def numbers(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and canonical numbers of all k-mers of the letters A, C, G, T in a stretch."""
+    x = _NUMBERS[np.frombuffer(seq, np.uint8)]
+    n = len(x) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    forward, backward, odd = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(k):
+        at = x[i : i + n]
+        odd |= at > 3
+        forward = forward << 2 | (at & 3)
+        backward = backward << 2 | (3 - (x[k - 1 - i : k - 1 - i + n] & 3))
+    good = np.flatnonzero(~odd)
+    return good, np.minimum(forward, backward)[good]
+
+
+def _numbered(k: int):
+    def run(batches):
+        for batch in batches:
+            rows: list[np.ndarray] = []
+            places: list[np.ndarray] = []
+            codes: list[np.ndarray] = []
+            size = 0
+
+            def flush():
+                of = pa.array(np.concatenate(rows))
+                return pa.RecordBatch.from_arrays([batch.column("genome").take(of), batch.column("contig").take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(codes))], ["genome", "contig", "pos", "kmer"])
+
+            for i, seq in enumerate(batch.column("seq").cast(pa.binary()).to_pylist()):
+                for a in range(0, max(1, len(seq or b"") - k + 1), STRETCH):
+                    at, code = numbers((seq or b"")[a : a + STRETCH + k - 1], k)
+                    rows.append(np.full(len(at), i))
+                    places.append(at + a)
+                    codes.append(code)
+                    size += len(at)
+                    if size >= STRETCH:
+                        yield flush()
+                        rows, places, codes, size = [], [], [], 0
+            if size:
+                yield flush()
+
+    return run
+
+
+def numbered_kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """kmers with each k-mer as one number, of two bits a letter: the order is that of the canonical letters. k is at most 31."""
+    if not 0 < k <= 31:
+        raise ValueError("a k-mer of more than 31 letters is no 64-bit number")
+    return sequences.select("genome", "contig", "seq").mapInArrow(_numbered(k), "genome string, contig string, pos long, kmer long")
+
+
+def letters(kmer: str, k: int) -> Column:
+    """The letters of a k-mer's number."""
+    return F.translate(F.lpad(F.conv(F.col(kmer).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def kmer_counts(found: DataFrame) -> DataFrame:
     """Occurrences by genome."""
     return found.groupBy("genome", "kmer").agg(F.count(F.lit(1)).alias("n"))
@@ -49,5 +115,16 @@ def within_limit(hits: DataFrame, limit: int) -> DataFrame:
 
 def named(core: DataFrame) -> DataFrame:
     """K-mers with ids c1..cN in their order."""
-    numbered = core.select("kmer").orderBy("kmer").rdd.zipWithIndex()
-    return numbered.map(lambda x: (f"c{x[1] + 1}", x[0][0])).toDF("id string, kmer string")
+    return ranked(core.select("kmer"), "kmer").select(F.concat(F.lit("c"), (F.col("rank") + 1).cast("string")).alias("id"), "kmer")
+
+
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """rows with their rank from 0 in the order of by, a column of distinct values.
+
+    Range partitions are ranked on their own; the rows of the partitions before, one number each, are added.
+    """
+    placed = cut(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return placed.join(sizes.select("part", before.alias("before")), "part").select(*rows.columns, (F.col("before") + within).cast("long").alias("rank"))

@@ -21,7 +21,7 @@ def fasta(spark: SparkSession, path: str, extension: str = r"\.(fa|fasta)(\.gz)?
 
 
 def genomes(spark: SparkSession, folder: str) -> DataFrame:
-    """(genome, path) of the .fa files of a folder, without results (.deduce.fa style doubles are files with a second extension)."""
+    """(genome, path) of the .fa files of a folder, without results (files with a second extension before .fa)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fa").load(folder).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(~name.rlike(r"\.[^.]+\.fa$")).select(F.regexp_replace(name, r"\.fa$", "").alias("genome"), "path")
