@@ -9,12 +9,21 @@ from ..functions.sequences import contains_either_strand, reverse_complement
 from .kmers import kmers
 
 
+def short_windows(sequences: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, window) of the distinct parts of some lengths, all below a block, of sequences (id, seq)."""
+    sized = sequences.select("id", "seq", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("seq") >= F.col("n"))
+    return sized.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("n") + 1), lambda i: F.substring(F.col("seq"), i, F.col("n")))).alias("window")).distinct()
+
+
+def _lengths_below(sequences: DataFrame, block: int) -> list[int]:
+    return sorted(r["n"] for r in sequences.select(F.length("seq").alias("n")).where(F.col("n") < block).distinct().collect())  # block values at most
+
+
 def contained_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     """(id_a, id_b) where the shorter of two sequences, or its reverse complement, is part of the longer.
 
     Two such sequences share the first block characters of the shorter on one strand, so candidates meet by them;
-    sequences shorter than block are compared with all, as they have no such key (a broadcast only if Spark knows
-    them to be few).
+    sequences shorter than block meet the parts of their own length. Empty sequences are part of nothing.
     """
     pairs = None
     for x, y, flip in ((a, b, False), (b, a, True)):
@@ -23,11 +32,11 @@ def contained_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
         places = kmers(y.select(F.lit("").alias("genome"), F.col("id").alias("contig"), "seq"), block, dna=False, canonicalise=False).select("contig", "kmer").distinct()
         found = key.join(places, "kmer").select("id_s", F.col("contig").alias("id_l")).distinct()
         found = found.join(small.toDF(*[f"{c}_s" if c != "id" else "id_s" for c in small.columns]).select("id_s", "seq_s"), "id_s").join(y.select(F.col("id").alias("id_l"), F.col("seq").alias("seq_l")), "id_l")
-        tiny = x.where(F.length("seq") < block).select(F.col("id").alias("id_s"), F.col("seq").alias("seq_s"))
-        tiny = tiny.join(y.select(F.col("id").alias("id_l"), F.col("seq").alias("seq_l")), F.contains(F.col("seq_l"), F.col("seq_s")) | F.contains(F.col("seq_l"), reverse_complement(F.col("seq_s"))))
-        both = found.select("id_s", "seq_s", "id_l", "seq_l").union(tiny.select("id_s", "seq_s", "id_l", "seq_l"))
-        both = both.where((F.length("seq_s") <= F.length("seq_l")) & contains_either_strand(F.col("seq_s"), F.col("seq_l")))
-        out = both.select(F.col("id_l" if flip else "id_s").alias("id_a"), F.col("id_s" if flip else "id_l").alias("id_b"))
+        found = found.where((F.length("seq_s") <= F.length("seq_l")) & contains_either_strand(F.col("seq_s"), F.col("seq_l"))).select("id_s", "id_l")
+        x = x.where(F.length("seq") > 0)
+        tiny = x.where(F.length("seq") < block).select(F.col("id").alias("id_s"), F.explode(F.array_distinct(F.array("seq", reverse_complement(F.col("seq"))))).alias("window"))
+        found = found.union(tiny.join(short_windows(y, _lengths_below(x, block)).withColumnRenamed("id", "id_l"), "window").select("id_s", "id_l"))
+        out = found.select(F.col("id_l" if flip else "id_s").alias("id_a"), F.col("id_s" if flip else "id_l").alias("id_b"))
         pairs = out if pairs is None else pairs.union(out)
     return pairs.distinct()
 
@@ -45,7 +54,8 @@ def minimal_set(elements: DataFrame, block: int) -> DataFrame:
     small = single.select(F.col("id").alias("small"), F.col("seq").alias("seq_s"))
     big = single.select(F.col("id").alias("big"), F.col("seq").alias("seq_b"))
     candidates = key.join(places, "kmer").where("small <> big").select("small", "big").distinct().join(small, "small").join(big, "big")
-    tiny = small.where(F.length("seq_s") < block).join(big, (F.length("seq_b") > F.length("seq_s")) & F.contains(F.col("seq_b"), F.col("seq_s")))
+    windows = short_windows(single, _lengths_below(single.where("seq <> ''"), block)).select(F.col("id").alias("big"), F.col("window").alias("seq_s"))
+    tiny = small.where(F.length("seq_s") < block).join(windows.groupBy("seq_s").agg(F.min("big").alias("one"), F.max("big").alias("other")), "seq_s").where("one <> small OR other <> small")
     gone = candidates.where(F.contains(F.col("seq_b"), F.col("seq_s"))).select("small").union(tiny.select("small")).distinct()
     return single.join(gone, single["id"] == gone["small"], "left_anti")
 

@@ -146,8 +146,11 @@ SELECT genome, contig, CAST(length(a) - hamming(a, b) AS BIGINT) AS equal, CAST(
   round(greatest(length(a) - hamming(a, b), length(a) - hamming(a, {RC.format('b')})) / length(a), 6) AS homology FROM m"""
 )
 def c3_c5_homology(spark, d):
-    w = Window.partitionBy("genome").orderBy(F.col("contig").cast("long"))
-    n = sequences(spark, d).withColumn("nxt", F.lead("seq").over(w)).where("nxt IS NOT NULL").withColumn("m", F.least(F.length("seq"), F.length("nxt"))).where("m > 0")
+    s = sequences(spark, d)
+    at = kmers.ranked(s.select("genome", "contig", F.struct("genome", F.col("contig").cast("long").alias("c")).alias("key")), "key")
+    near = at.select("genome", F.col("contig").alias("behind"), (F.col("rank") + 1).alias("rank")).join(at.select("genome", "contig", "rank"), ["genome", "rank"])
+    n = near.join(s.select("genome", F.col("contig").alias("behind"), "seq"), ["genome", "behind"]).join(s.select("genome", "contig", F.col("seq").alias("nxt")), ["genome", "contig"])
+    n = n.select("genome", F.col("behind").alias("contig"), "seq", "nxt", F.least(F.length("seq"), F.length("nxt")).alias("m")).where("m > 0")
     n = n.select("genome", "contig", F.substring(F.col("seq"), F.lit(1), F.col("m")).alias("a"), F.substring(F.col("nxt"), F.lit(1), F.col("m")).alias("b"))
     a, b = F.col("a"), F.col("b")
     return rounded(n.select("genome", "contig", S.matches(a, b).alias("equal"), S.mismatches(a, b).alias("differing"), S.homology(a, b).alias("homology")))
@@ -206,7 +209,8 @@ SELECT id, round(max(greatest(length(small) - hamming(small, part), length(small
 def n_best_homology(spark, d):
     """Neighbouring benchmark texts as sequences: the best place of the shorter along the longer."""
     rows = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), S.dna(F.coalesce("text", F.lit(""))).alias("x"))
-    near = rows.withColumn("y", F.lead("x").over(Window.orderBy("id"))).where("y IS NOT NULL")
+    at = kmers.ranked(rows, "id")
+    near = at.join(at.select((F.col("rank") - 1).alias("rank"), F.col("x").alias("y")), "rank").select("id", "x", "y")
     return rounded(locate.best_homology(near))
 
 
@@ -235,12 +239,21 @@ def j2_benchmark_places(spark, d):
     return found.groupBy("id", "genome", "contig").agg(F.min("start").cast("long").alias("start"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT source AS genome, CAST(doc_id AS VARCHAR) AS contig, text FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS id, text AS q FROM benchmark WHERE length(text) > 0),
+both_strands AS (SELECT id, '+' AS strand, q FROM b UNION ALL SELECT id, '-', reverse(translate(q, 'ACGT', 'TGCA')) FROM b),
+seeds AS (SELECT id, strand, q, CAST(part * (length(q) // 4) AS BIGINT) AS off, substring(q, CAST(part * (length(q) // 4) + 1 AS BIGINT), 16) AS kmer FROM both_strands, range(4) t(part)),
+w AS (SELECT genome, contig, text, unnest(range(length(text) - 15)) AS pos FROM s WHERE length(text) >= 16),
+d AS (SELECT DISTINCT id, strand, q, genome, contig, text, pos - off AS start FROM w JOIN seeds ON substring(text, pos + 1, 16) = kmer WHERE pos >= off AND pos - off + length(q) <= length(text)),
+m AS (SELECT *, (SELECT count(*) FROM range(length(q)) r(i) WHERE substring(q, i + 1, 1) <> substring(text, start + i + 1, 1)) AS mismatches FROM d)
+SELECT id, genome, contig, start, start + length(q) AS "end", strand, mismatches FROM m WHERE mismatches <= 3"""
+)
 def j3_benchmark_mismatches(spark, d):
     """Places of benchmark texts with at most three mismatches, either strand."""
     docs = _table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("genome"), F.col("doc_id").cast("string").alias("contig"), F.col("text").alias("seq"))
     known = _table(spark, d, "benchmark").where("length(text) > 0").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("seq"))
-    return locate.locate_all(known, docs, 3, seed=24)
+    return rounded(locate.locate_all(known, docs, 3, seed=24))
 
 
 # ---- alignments ------------------------------------------------------------------------------------------------
@@ -451,13 +464,33 @@ def g4_f13_paths(spark, d):
     return graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2).select("contigs", F.array_join("path", ",").alias("path"))
 
 
-@query()
+@query(
+    PATHS
+    + """, ranked AS (SELECT path, row_number() OVER (ORDER BY -len(path), path) AS k FROM (SELECT DISTINCT path FROM paths WHERE len(path) >= 2)),
+greedy AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR[]) AS path
+  UNION ALL SELECT r.k, CASE WHEN list_has_any(g.used, r.path) THEN g.used ELSE list_concat(g.used, r.path) END, CASE WHEN list_has_any(g.used, r.path) THEN NULL ELSE r.path END FROM greedy g JOIN ranked r ON r.k = g.k + 1)
+SELECT array_to_string(path, ',') AS path FROM greedy WHERE path IS NOT NULL"""
+)
 def g5_disjoint_cover(spark, d):
     """t4 and g5: the longest-first disjoint blocks among all collinear ones."""
     return order.syntenic_blocks(by_status(spark, d), 1.0, 2, minimise=True).select(F.array_join("path", ",").alias("path"))
 
 
-@query()
+def _closed(steps: int) -> str:
+    """For each two nodes of a combination the path whose weakest rank is greatest, by doubling."""
+    out = ", b0 AS (SELECT contigs, src, dst, r FROM w)"
+    for i in range(steps):
+        out += f", b{i + 1} AS (SELECT contigs, src, dst, max(r) AS r FROM (SELECT * FROM b{i} UNION ALL SELECT x.contigs, x.src, y.dst, least(x.r, y.r) FROM b{i} x JOIN b{i} y ON x.contigs = y.contigs AND x.dst = y.src) GROUP BY contigs, src, dst)"
+    return out
+
+
+# the edges up to the weakest rank of the cycle that lasts longest go
+@query(
+    PAIRS.replace(">= 4", ">= 3")
+    + ", w AS (SELECT contigs, src, dst, support, CASE WHEN support = 5 THEN 1000000000 ELSE row_number() OVER (PARTITION BY contigs ORDER BY support, src, dst) END AS r FROM pairs)"
+    + _closed(6)
+    + " SELECT contigs, src, dst, support FROM w LEFT JOIN (SELECT contigs, max(r) AS t FROM b6 WHERE src = dst GROUP BY contigs) USING (contigs) WHERE r > coalesce(t, 0)"
+)
 def g2_reduce_until_acyclic(spark, d):
     """Order pairs of at least three genomes without the weakest ones that close cycles."""
     return graph.reduce_until_acyclic(pairs(spark, d, 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst", F.col("support").cast("long").alias("support"))
@@ -592,8 +625,8 @@ def w5_collinear_runs(spark, d):
 
 SETS = f"""
 WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, upper(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '[^ACGTacgt]+', '', 'g')) AS seq FROM documents),
-a AS (SELECT md5(seq) AS id, seq FROM x WHERE length(seq) >= {K} GROUP BY seq),
-b AS (SELECT CAST(item_id AS VARCHAR) AS id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]+', '', 'g')) AS seq FROM benchmark),
+a AS (SELECT md5(seq) AS id, seq FROM x WHERE seq <> '' GROUP BY seq),
+b AS (SELECT CAST(item_id AS VARCHAR) AS id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]+', '', 'g')) AS seq FROM benchmark WHERE regexp_matches(text, '[ACGTacgt]')),
 m AS (SELECT a.id AS id_a, b.id AS id_b FROM a JOIN b ON contains(CASE WHEN length(a.seq) < length(b.seq) THEN b.seq ELSE a.seq END, CASE WHEN length(a.seq) < length(b.seq) THEN a.seq ELSE b.seq END)
   OR contains(CASE WHEN length(a.seq) < length(b.seq) THEN b.seq ELSE a.seq END, {RC.format("CASE WHEN length(a.seq) < length(b.seq) THEN a.seq ELSE b.seq END")}))
 """
@@ -601,8 +634,8 @@ m AS (SELECT a.id AS id_a, b.id AS id_b FROM a JOIN b ON contains(CASE WHEN leng
 
 def element_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Distinct lines of all documents, and the benchmark texts, as sequences."""
-    lines = _table(spark, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(S.dna(F.col("line")).alias("seq")).where(F.length("seq") >= K).distinct()
-    known = _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), S.dna(F.coalesce("text", F.lit(""))).alias("seq"))
+    lines = _table(spark, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(S.dna(F.col("line")).alias("seq")).where("seq <> ''").distinct()
+    known = _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), S.dna(F.coalesce("text", F.lit(""))).alias("seq")).where("seq <> ''")
     return lines.select(F.md5("seq").alias("id"), "seq"), known
 
 
@@ -624,7 +657,7 @@ def k12_recall_precision(spark, d):
     return rounded(compare.recall_precision(compare.contained_pairs(a, b, K), a, b))
 
 
-@query()
+@query(SETS.split(",\nm AS")[0] + " SELECT id, seq FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE length(y.seq) > length(x.seq) AND contains(y.seq, x.seq))")
 def j7_minimal_set(spark, d):
     """Lines of documents that are not part of another line."""
     a, _ = element_sets(spark, d)
