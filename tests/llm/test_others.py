@@ -10,7 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from kinweave.llm import common, embeddings, html
+from kinweave.llm import common, embeddings, html, queries
 
 from .test_texts import brute_components
 
@@ -216,3 +216,46 @@ def test_pipeline_on_an_empty_table(spark, nothing, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.count() == 0
+
+
+CONTRACT = {
+    "op1_binary": ("documents", ["doc_id", "start", "n_tokens", "ids_crc32"]),
+    "op2_quality": ("documents", ["doc_id", "held_out", "score", "predicted"]),
+    "op3_language": ("documents", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
+    "op4_packing": (None, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]),
+    "op5_rules": ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
+    "op6_html": ("pages", ["page_id", "url", "text", "n_chars"]),
+    "op7_embeddings": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
+    "op8_substring": ("documents", ["doc_id", "n_words", "n_removed", "kept_sha256"]),
+    "op9_mixing": ("documents", ["doc_id", "size", "source_size", "target", "taken"]),
+    "op10_minhash": ("documents", ["doc_id", "n_shingles", "component_id", "kept"]),
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_registered_query(spark, name):
+    source, columns = CONTRACT[name]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.columns[: len(columns)] == columns
+    rows = got.collect()
+    if source:
+        assert len(rows) == spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").count()
+        assert Counter(r[0] for r in rows) == Counter(r[0] for r in spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").select(columns[0]).collect())
+    else:
+        ends = defaultdict(int)
+        for r in rows:
+            ends[r["doc_id"]] = max(ends[r["doc_id"]], r["start"] + r["length"])
+        assert all(ends[r["doc_id"]] == r["doc_tokens"] for r in rows)
+
+
+def test_registered_pipeline_over_odd_rows(spark, docs, rows, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns go through all five stages."""
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(r[0], int("other" not in (r[1] or "")), 0) for r in rows if r[0] is not None and r[0] % 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert pieces and {p["doc_id"] for p in pieces} <= {r[0] for r in rows}
+    filled = Counter()
+    for p in pieces:
+        filled[p["sequence_id"]] += p["length"]
+    assert max(filled.values()) <= 2048
