@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import canonical
+from ..functions.sequences import canonical, reverse_complement
 from .lineage import cut
 
 #: Characters of a block; blocks overlap by k - 1, so that no long sequence is scanned from its start for each k-mer.
@@ -36,12 +36,15 @@ _NUMBERS[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3] * 2
 STRETCH = 1 << 20
 
 
-def numbers(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and canonical numbers of all k-mers of the letters A, C, G, T in a stretch."""
+def numbers(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, canonical numbers and directions of all k-mers of the letters A, C, G, T in a stretch.
+
+    The direction is 1 where the k-mer itself is canonical, -1 where its reverse complement is, 0 where they are equal.
+    """
     x = _NUMBERS[np.frombuffer(seq, np.uint8)]
     n = len(x) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     forward, backward, odd = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     for i in range(k):
         at = x[i : i + n]
@@ -49,31 +52,34 @@ def numbers(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
         forward = forward << 2 | (at & 3)
         backward = backward << 2 | (3 - (x[k - 1 - i : k - 1 - i + n] & 3))
     good = np.flatnonzero(~odd)
-    return good, np.minimum(forward, backward)[good]
+    return good, np.minimum(forward, backward)[good], np.sign(backward - forward)[good].astype(np.int32)
 
 
-def _numbered(k: int):
+def _numbered(k: int, oriented: bool):
     def run(batches):
         for batch in batches:
             rows: list[np.ndarray] = []
             places: list[np.ndarray] = []
             codes: list[np.ndarray] = []
+            dirs: list[np.ndarray] = []
             size = 0
 
             def flush():
                 of = pa.array(np.concatenate(rows))
-                return pa.RecordBatch.from_arrays([batch.column("genome").take(of), batch.column("contig").take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(codes))], ["genome", "contig", "pos", "kmer"])
+                columns = [batch.column("genome").take(of), batch.column("contig").take(of), *[pa.array(np.concatenate(x)) for x in (places, codes, *([dirs] if oriented else []))]]
+                return pa.RecordBatch.from_arrays(columns, ["genome", "contig", "pos", "kmer", "dir"][: len(columns)])
 
             for i, seq in enumerate(batch.column("seq").cast(pa.binary()).to_pylist()):
                 for a in range(0, max(1, len(seq or b"") - k + 1), STRETCH):
-                    at, code = numbers((seq or b"")[a : a + STRETCH + k - 1], k)
+                    at, code, direction = numbers((seq or b"")[a : a + STRETCH + k - 1], k)
                     rows.append(np.full(len(at), i))
                     places.append(at + a)
                     codes.append(code)
+                    dirs.append(direction)
                     size += len(at)
                     if size >= STRETCH:
                         yield flush()
-                        rows, places, codes, size = [], [], [], 0
+                        rows, places, codes, dirs, size = [], [], [], [], 0
             if size:
                 yield flush()
 
@@ -84,7 +90,17 @@ def numbered_kmers(sequences: DataFrame, k: int) -> DataFrame:
     """kmers with each k-mer as one number, of two bits a letter: the order is that of the canonical letters. k is at most 31."""
     if not 0 < k <= 31:
         raise ValueError("a k-mer of more than 31 letters is no 64-bit number")
-    return sequences.select("genome", "contig", "seq").mapInArrow(_numbered(k), "genome string, contig string, pos long, kmer long")
+    return sequences.select("genome", "contig", "seq").mapInArrow(_numbered(k, False), "genome string, contig string, pos long, kmer long")
+
+
+def oriented_kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """(genome, contig, pos, kmer, dir): canonical k-mers with their direction as in numbers; kmer is a number up to k = 31."""
+    if k <= 31:
+        return sequences.select("genome", "contig", "seq").mapInArrow(_numbered(k, True), "genome string, contig string, pos long, kmer long, dir int")
+    found = kmers(sequences, k, canonicalise=False)
+    one = canonical(F.col("kmer"))
+    direction = F.when(F.col("kmer") < reverse_complement(F.col("kmer")), 1).when(F.col("kmer") > one, -1).otherwise(0)
+    return found.select("genome", "contig", "pos", one.alias("kmer"), direction.alias("dir"))
 
 
 def letters(kmer: str, k: int) -> Column:
@@ -105,7 +121,7 @@ def core_kmers(found: DataFrame, min_support: int) -> DataFrame:
 
 def core_hits(found: DataFrame, core: DataFrame) -> DataFrame:
     """Places of core k-mers."""
-    return found.join(core.select("kmer"), "kmer", "left_semi").select("genome", "contig", "pos", "kmer")
+    return found.join(core.select("kmer"), "kmer", "left_semi").select(found.columns)
 
 
 def within_limit(hits: DataFrame, limit: int) -> DataFrame:

@@ -112,6 +112,77 @@ def test_element_of_very_many_places(spark):
     assert count(hits)["a"] == 1005 * count(kept)["a"] and count(kept)["b"] == count(hits)["b"]
 
 
+def scanned(texts, p, support):
+    """Elements from each reference, by searching whole texts for every window."""
+    k, n = p.kmer, p.min_length
+    canonical = lambda s: min(s, rc(s))
+    has = lambda w, g: any(w in s or rc(w) in s for h, _, s in texts if h == g)
+    genomes = {g for g, _, _ in texts}
+    kmers_of = {g: {canonical(s[i : i + k]) for h, _, s in texts if h == g for i in range(len(s) - k + 1)} for g in genomes}
+    core = {x for g in genomes for x in kmers_of[g] if sum(x in kmers_of[h] for h in genomes) >= support}
+    shared = lambda w: sum(has(w, g) for g in genomes) >= support
+    out = set()
+    for g, _, s in texts:
+        if g not in p.references(sorted(genomes)):
+            continue
+        at = [i for i in range(len(s) - k + 1) if canonical(s[i : i + k]) in core]
+        cuts = [0, *[j for j in range(1, len(at)) if at[j] - at[j - 1] > k], len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            own, i = at[a:b], 0
+            while i < len(own):
+                end, start = own[i] + n, own[i]
+                if end > len(s) or not shared(s[start:end]):
+                    i += 1
+                    continue
+                while end < len(s) and shared(s[start : end + 1]):
+                    end += 1
+                out.add(canonical(s[start:end]))
+                failed = next((q for q in own if q > end - k), end - k + 1)
+                i = next((j for j, q in enumerate(own) if q > failed), len(own))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "k", "length"), [(1, 4, 7), (2, 5, 9), (3, 4, 6), (4, 33, 40)])
+def test_exact_search_against_brute_force(spark, seed, k, length):
+    r = random.Random(seed)
+    letters = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    passages = [letters(30 if k < 30 else 60) for _ in range(3)]
+    texts = []
+    for g in "abcde":
+        for c in "12":
+            parts = [r.choice([x, rc(x), x[: len(x) // 2] + letters(1) + x[len(x) // 2 + 1 :], letters(9)]) for x in r.sample(passages, 2)]
+            texts.append((g, c, letters(5).join(parts)))
+    texts.append(("a", "3", ""))
+    df = spark.createDataFrame(texts, "genome string, contig string, seq string")
+    p = Params(min_length=length, kmer=k, kmer_threshold=0.6)
+    found = {x["seq"] for x in find.find_shared(df, p).collect()}
+    assert found == scanned(texts, p, 3) and found
+    hits = kmers.kmers(df, k)
+    general = search.shared_elements(df, kmers.core_hits(hits, kmers.core_kmers(hits, 3)), p.references(list("abcde")), p, 3)
+    assert {min(x["seq"], rc(x["seq"])) for x in general.collect()} == found
+
+
+def test_kmers_with_mismatches(spark):
+    texts = {"a": SMALL["a"], "b": SMALL["b"], "d": SMALL["a"].replace("CCGCGG", "CCGGGG")}
+    p = Params(min_length=40, min_homology=0.95, kmer=20, kmer_threshold=0.6)
+    missed = find.find_shared(frame(spark, texts), p)  # a and d, which share the flanks as well
+    met = find.find_shared(frame(spark, texts), Params(min_length=40, min_homology=0.95, kmer=20, kmer_mismatches=1, kmer_threshold=0.6))
+    assert any(U[1:] in s or rc(U[1:]) in s for s in (r["seq"] for r in met.collect())) and missed.count() > 0
+
+
+@pytest.mark.parametrize(("hits", "alike"), [(range(0, 41), True), (range(0, 40, 2), False)])
+def test_coverage_of_the_best_contig(hits, alike):
+    """A genome counts only where its best contig has hits at enough of a window's positions."""
+    text, p = (U * 3)[:100], Params(min_length=50, min_homology=0.98, kmer=10)
+    others = search.Others()
+    others.add_text("b", "c", 0, text)
+    window = search.Window(others, p)
+    for i in hits:
+        others.add_place(f"k{i}", "b", "c", i)
+        window.add([f"k{i}"])
+    assert window.supported(text[:50].encode(), 2) is alike
+
+
 def test_locate_against_brute_force(spark):
     text = "ACGTTGCAAGGCTTACCGATCGGATTACAGGCATCCGATAGCTTGACCATG"
     queries = {"x": text[5:25], "y": rc(text[20:40]), "z": "C" * 20}
