@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import binary, embeddings, html, language, minhash, mixing, packing, quality, rules, substring
+from . import audit, binary, embeddings, html, language, licenses, manifest, minhash, mixing, packing, quality, rules, substring
 
 QUERIES = {
     "op1_binary": binary.op1_binary,
@@ -13,8 +13,14 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_mixing": mixing.op9_mixing,
     "op10_minhash": minhash.op10_minhash,
+    "op11_audit": audit.op11_audit,
+    "op12_licenses": licenses.op12_licenses,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 ORACLE_SQL = {
     "op9_mixing": mixing.SQL,
+    "op11_audit": audit.SQL,
+    "op12_licenses": licenses.SQL,
+    "op13_manifest": manifest.SQL,
 }
