@@ -2,12 +2,13 @@
 
 A signature has CHUNKS x WIDTH min-hashes of 16 bits. By pigeonhole, signatures that differ in at most DISTANCE =
 2 * CHUNKS - 1 components have a chunk with at most one error; every chunk therefore gives WIDTH keys, each leaving
-one component out, and all pairs within that distance meet in a key (at similarity 0.8 a pair is further apart with
-a chance of about 1e-7). Documents of equal sets are one class before any key is made. Classes that meet in a key
-are compared by their signatures; those within the distance are joined, by a spanning forest of each key's classes.
-In a key of more than MOST_COMPARED classes all are joined to the least one uncompared, which loses no pair. The
-classes that are so connected form candidate groups, and tiles of a group compare all its pairs exactly on the
-whole sets, so no candidate is capped. A tile returns a spanning forest, not pairs.
+one component out, and all pairs within that distance meet in a key. A pair of similarity 0.8 is further apart, and
+then lost, with a chance of 2.1e-7 (the tail of a binomial distribution; less above 0.8). Documents of equal sets are
+one class before any key is made. Classes that meet in a key are compared by their signatures, in tiles of at most
+MOST_COMPARED a side where a key has more of them, so one rule holds for keys of every size; those within the distance
+are joined, by a spanning forest of each tile. The classes that are so connected form candidate groups, and tiles of a
+group compare all its pairs exactly on the whole sets, so no candidate is capped. A tile returns a spanning forest,
+not pairs.
 
 Edge cases: null or empty text, or no words: n_shingles 0, linked with nothing. Fewer words than the shingle:
 the whole sequence is the one shingle. A null doc_id can name no component: such a row stays alone
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import Forest, components, materialise, mix64, parts_for, rolled, steps, table, texts_of, word_hashes
 
-CHUNKS, WIDTH = 12, 5
+CHUNKS, WIDTH = 15, 4
 DISTANCE = 2 * CHUNKS - 1
-#: Classes of one key that are compared by their signatures in one task.
-MOST_COMPARED = 20_000
+#: A tile of a key holds about so many classes a side.
+MOST_COMPARED = 4096
 #: A tile of a candidate group holds about so many classes and shingles a side.
 TILE_DOCS, TILE_SHINGLES = 512, 1_000_000
 
@@ -111,7 +112,7 @@ def near_forest(signatures: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def _met(batches):
-    """Pairs (a, b) of a spanning forest of each key's classes within DISTANCE; rows come sorted by key."""
+    """Pairs (a, b) of a spanning forest of the classes within DISTANCE of each key or tile of one; rows come sorted by key."""
 
     def pairs(keys, cids, signatures):
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -189,12 +190,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialise(named.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.any_value("signature").alias("signature"), F.any_value("keys").alias("keys")), "classes")
 
     keyed = classes.select("cid", "fp1", F.explode("keys").alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
-    met = keyed.join(shared.where(f"n <= {MOST_COMPARED}").select("key").hint("merge"), "key")
-    met = materialise(met, "met")
-    signed = met.join(classes.select("fp1", "signature").hint("merge"), "fp1").repartition(parts_for(met, 4 << 20), "key").sortWithinPartitions("key")
-    large = keyed.join(shared.where(f"n > {MOST_COMPARED}").select("key", "least").hint("merge"), "key").select(F.col("least").alias("a"), F.col("cid").alias("b"))
-    groups = components(signed.select("key", "cid", "signature").mapInArrow(_met, "a long, b long").union(large))
+    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    met = materialise(keyed.join(shared.hint("merge"), "key").select("key", "cid", "fp1", F.ceil(F.col("n") / MOST_COMPARED).cast("int").alias("blocks")), "met")
+    one = met.where("blocks = 1").select("key", "cid", "fp1")
+    own = F.expr("cast(pmod(xxhash64(cid), blocks) AS int)")
+    split = met.where("blocks > 1").select("*", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = split.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "cid", "fp1")  # tiles that chance gives one hash are compared too
+    signed = one.union(split).join(classes.select("fp1", "signature").hint("merge"), "fp1").repartition(parts_for(met, 4 << 20), "key").sortWithinPartitions("key")
+    groups = components(signed.select("key", "cid", "signature").mapInArrow(_met, "a long, b long"))
 
     members = materialise(groups.join(classes.select(F.col("cid").alias("node"), "n_shingles", "fp1").hint("merge"), "node"), "members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
