@@ -8,7 +8,8 @@ innermost element of each kind around it (the capacity falls with the distance t
 next to each other in the page or under one parent (it grows with the share of their path that is common). The
 minimum cut is the cheapest labelling of all of them. What an element of a boilerplate name costs as content is the
 content that the page has outside it, so an element around most of a page turns into content with it, and one
-around a part of the page takes that part out, however much like an article it reads.
+around a part of the page takes that part out, however much like an article it reads. Where a text of its own stands
+before the element, its cost has no limit: comments may be longer than their article.
 
 Edge cases: null or empty html, and pages without content, give empty text; cut-off tags, comments and scripts end
 with the page; unknown character references stay as written; white space of any kind inside a block is one space;
@@ -45,8 +46,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog button head".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentary complementary consent contentinfo cookie cookies copyright "
-    "disclaimer discussion disqus dropdown footer footnav form gdpr header login masthead menu menus meta modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
-    "promotion promoted recommended related replies reply respond rss search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+    "disclaimer discussion disqus dropdown feedback footer footnav form gdpr header login masthead menu menus meta modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
+    "promotion promoted reactions recommended related replies reply respond responses rss search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
 #: Elements whose start ends an open one of the same kinds.
@@ -54,13 +55,12 @@ _ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "t
 #: Elements that such an implied end does not reach beyond.
 _WALLS = frozenset("ul ol dl table body article section div main".split())
 
-#: Parts of a name that say what a page has or lacks, not what the element is.
-STATES = frozenset("no not has with without hide".split())
-
 SMOOTH, UNIT = 0.8, 1000
 #: Capacities from a block to the element around it: of certain boilerplate; of a boilerplate name, the share of it that is
 #: left an element further out, and what each outer one adds; of a content name.
 CERTAIN, NAMED, NEARER, OUTER, CONTENT = 8.0, 10.0, 0.85, 1.0, 2.5
+#: With so much content of no boilerplate name before it, about three paragraphs, an element of one is no part of the text.
+BEFORE = 8.0
 #: What no cut goes through.
 FIXED = 1 << 40
 
@@ -85,7 +85,7 @@ def _boilerplate(value: str) -> bool:
     """Whether one of the names of an attribute is of boilerplate."""
     for name in value.split():
         parts = {p.lower() for p in _PARTS.findall(name)}
-        if not parts.isdisjoint(BOILERPLATE_NAMES) and parts.isdisjoint(STATES):
+        if not parts.isdisjoint(BOILERPLATE_NAMES):
             return True
     return False
 
@@ -251,8 +251,12 @@ def graph(page: list[Block]) -> tuple[list[int], list[int], list[tuple[int, int,
     # the page's content is that of content elements, or all of it where there are none: comments longer than their article stay comments
     own = [i for i in free if page[i].framed] or free
     total, held = sum(evidence[i] for i in own), defaultdict(float)
+    plain, before = 0.0, {}
     for i in own:
-        held[page[i].named] += evidence[i]
+        named = page[i].named
+        held[named] += evidence[i]
+        before.setdefault(named, plain)
+        plain += 0.0 if named else evidence[i]
     nodes: dict[tuple[str, int], int] = {}
 
     def join(i: int, kind: str, number: int, bond: float, as_content: int, as_boilerplate: int) -> None:
@@ -266,7 +270,7 @@ def graph(page: list[Block]) -> tuple[list[int], list[int], list[tuple[int, int,
         if b.certain:
             join(i, "certain", b.certain, CERTAIN, FIXED, 0)
         elif b.named:
-            join(i, "named", b.named, b.bond, round(UNIT * (total - held[b.named])) if held[b.named] else FIXED, 0)
+            join(i, "named", b.named, b.bond, round(UNIT * (total - held[b.named])) if held[b.named] and before[b.named] < BEFORE else FIXED, 0)
         if b.framed:
             join(i, "framed", b.framed, CONTENT, 0, FIXED)
     return content, boilerplate, edges

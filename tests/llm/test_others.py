@@ -120,6 +120,23 @@ def test_wrappers_of_a_plain_article(wrapper):
     assert html.main_text(wrapper + ARTICLE + "</div>").count("ends here.") == 6
 
 
+COMMENT = "<p>I liked this article a lot, and I want to say so here, at length, as others do.</p>"
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+@pytest.mark.parametrize("name", ["comments-with-replies", "ads-hide-on-print", "widget-has-title", "share-without-count", "no-js comments", "comments", "feedback"])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div>{}</div>"])
+def test_names_of_states_beside_an_article(frame, name, n):
+    text = html.main_text(frame.format(ARTICLE) + f'<section class="{name}">' + f"<div>{COMMENT}</div>" * n + "</section>")
+    assert text.count("ends here.") == 6 and "liked" not in text
+
+
+@pytest.mark.parametrize("wrapper", ["no-sidebar", "has-header", "page-with-comments", "layout comments"])
+def test_wrappers_of_an_article_and_its_comments(wrapper):
+    text = html.main_text(f'<div class="{wrapper}"><article>{ARTICLE}</article><div class="comments">{COMMENT * 5}</div></div>')
+    assert text.count("ends here.") == 6 and "liked" not in text
+
+
 def test_the_cut_corrects_labels_of_single_blocks(spark):
     short = '<article><h2>Parts</h2><p>' + "The article begins with a sentence of some length. " * 3 + '</p><ul><li><a href="/a">One linked part</a></li><li><a href="/b">Two linked parts</a></li></ul><p>' + "It ends with one more sentence. " * 3 + "</p></article>"
     comment = '<div class="comments"><p>' + "This comment reads like any sentence of the article above. " * 2 + "</p></div>"
