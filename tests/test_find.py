@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import Params
 from kinweave import queries as Q
 from kinweave.functions import sequences as S
-from kinweave.operators import kmers, locate, regions, search
+from kinweave.operators import exact, kmers, locate, regions, search
 from kinweave.plans import find
 
 SIMPLE = {"A": "GCCACATGGCTTTCTTGTTCTGGTCGGATCCATCGTT", "B": "ACCACATGGCAAACTTGTTCTGGTCGGATCCATCGTT", "C": "GCCACATGGCGTTCTTGTTCTGGTCCGATCCATCGTA"}
@@ -162,6 +162,32 @@ def test_exact_search_against_brute_force(spark, seed, k, length):
     assert {min(x["seq"], rc(x["seq"])) for x in general.collect()} == found
 
 
+@pytest.mark.parametrize(("seed", "k", "length"), [(1, 4, 9), (2, 5, 12), (3, 6, 9), (4, 8, 16), (5, 3, 12)])
+def test_exact_search_over_repeats(spark, seed, k, length):
+    """Repeats of few letters, of lengths that are equal, longer or shorter, with equal and unequal letters beside them, on both strands."""
+    r = random.Random(seed)
+    texts = []
+    for g in "abcde":
+        for c in "123":
+            parts = []
+            for _ in range(r.randint(2, 5)):
+                unit = r.choice(["A", "A", "AC", "AT", "ACG", "AATT"])
+                parts += [r.choice(["G", "GC", "GTTC", "T", "GATTACAG"]), (unit * 30)[r.randint(0, 2) :][: r.choice([length, length + 3, length + 3, length + 8])]]
+            text = "".join(parts)
+            texts.append((g, c, r.choice([text, rc(text)])))
+    df = spark.createDataFrame(texts, "genome string, contig string, seq string")
+    p = Params(min_length=length, kmer=k, kmer_threshold=0.6)
+    assert {x["seq"] for x in find.find_shared(df, p).collect()} == scanned(texts, p, 3)
+
+
+@pytest.mark.parametrize(("unit", "period"), [("A", 1), ("AC", 2), ("ACGT", 4), ("ACGTA", 5)])
+def test_periodic_anchors(spark, unit, period):
+    text = (unit * 12)[:12]
+    number = int("".join(str("ACGT".index(x)) for x in text), 4)
+    got = spark.createDataFrame([(number,)], "kmer long").select(exact.periodic(F.col("kmer"), 12)).head()[0]
+    assert got is (period <= 4)
+
+
 def test_kmers_with_mismatches(spark):
     texts = {"a": SMALL["a"], "b": SMALL["b"], "d": SMALL["a"].replace("CCGCGG", "CCGGGG")}
     p = Params(min_length=40, min_homology=0.95, kmer=20, kmer_threshold=0.6)
