@@ -13,6 +13,9 @@ from .lineage import cut
 #: Characters of a block; blocks overlap by k - 1, so that no long sequence is scanned from its start for each k-mer.
 BLOCK = 256
 
+#: Genomes whose presence one number holds.
+BITS = 63
+
 
 def kmers(sequences: DataFrame, k: int, dna: bool = True, canonicalise: bool = True, stride: int = 1) -> DataFrame:
     """(genome, contig, pos, kmer) of sequences (genome, contig, seq) at the multiples of stride, a power of two below
@@ -113,10 +116,22 @@ def kmer_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("genome", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def core_kmers(found: DataFrame, min_support: int) -> DataFrame:
-    """K-mers in at least min_support genomes; presence is made distinct per genome before genomes are counted."""
-    present = found.select("genome", "kmer").distinct()
-    return present.groupBy("kmer").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+def core_kmers(found: DataFrame, min_support: int, genomes: list[str] | None = None) -> DataFrame:
+    """K-mers in at least min_support genomes, with their support.
+
+    Where all genomes' names are given, presence is a bit for each in one aggregation, which combines before it shuffles;
+    without them, presence is made distinct per genome before genomes are counted.
+    """
+    if genomes is None:
+        present = found.select("genome", "kmer").distinct()
+        return present.groupBy("kmer").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    names = [F.lit(g) for g in genomes if g is not None]
+    number = F.coalesce(F.array_position(F.array(*names), F.col("genome")), F.lit(0)) if names else F.lit(0).cast("long")  # 0: a genome without a name
+    words = range(len(names) // BITS + 1)
+    bit = lambda w: F.bit_or(F.when(F.floor(F.col("number") / BITS) == w, F.expr(f"shiftleft(1L, cast(number % {BITS} AS int))")))
+    counted = found.select("kmer", number.alias("number")).groupBy("kmer").agg(*[bit(w).alias(f"w{w}") for w in words])
+    support = sum((F.coalesce(F.bit_count(f"w{w}"), F.lit(0)) for w in words), F.lit(0)).cast("long")
+    return counted.select("kmer", support.alias("support")).where(F.col("support") >= min_support)
 
 
 def core_hits(found: DataFrame, core: DataFrame) -> DataFrame:

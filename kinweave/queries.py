@@ -69,18 +69,22 @@ def found_kmers(spark: SparkSession, d: str) -> DataFrame:
     return kmers.numbered_kmers(sequences(spark, d), K)
 
 
+def genomes(spark: SparkSession, d: str) -> list[str]:
+    return [r["source"] for r in _table(spark, d, "documents").select("source").distinct().collect()]
+
+
 def lettered(df: DataFrame) -> DataFrame:
     return df.withColumn("kmer", kmers.letters("kmer", K))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     found = found_kmers(spark, d)
-    return kmers.core_hits(found, kmers.core_kmers(found, SUPPORT))
+    return kmers.core_hits(found, kmers.core_kmers(found, SUPPORT, genomes(spark, d)))
 
 
 @query(HITS + "SELECT kmer, support FROM core")
 def a3_core_kmers(spark, d):
-    return lettered(kmers.core_kmers(found_kmers(spark, d), SUPPORT))
+    return lettered(kmers.core_kmers(found_kmers(spark, d), SUPPORT, genomes(spark, d)))
 
 
 @query(HITS + "SELECT genome, kmer, count(*) AS n FROM f GROUP BY ALL")
@@ -214,16 +218,59 @@ def n_best_homology(spark, d):
     return rounded(locate.best_homology(near))
 
 
-@query()
+#: The search spelled out: every position's longest stretch of enough genomes, one letter more at a time, then from each
+#: first start to the next behind the position at which the element could not grow.
+SHARED_K, SHARED_LENGTH, SHARED_SHARE = K, 24, 0.25
+SHARED = (
+    SEQ.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", n AS (SELECT CAST(ceil({SHARED_SHARE} * count(DISTINCT genome)) AS BIGINT) AS support, count(DISTINCT genome) AS genomes FROM s),
+refs AS (SELECT genome FROM (SELECT genome, row_number() OVER (ORDER BY genome) AS i FROM (SELECT DISTINCT genome FROM s)), n WHERE i <= genomes - support + 1),
+c AS (SELECT genome, contig, seq, {RC.format("seq")} AS back, length(seq) AS size, CAST(unnest(range(length(seq) - {SHARED_K - 1})) AS BIGINT) AS pos FROM s WHERE length(seq) >= {SHARED_K}),
+f AS (SELECT genome, contig, pos, least(substring(seq, pos + 1, {SHARED_K}), substring(back, size - pos - {SHARED_K} + 1, {SHARED_K})) AS kmer FROM c),
+core AS (SELECT genome, contig, pos FROM f WHERE kmer IN (SELECT kmer FROM f GROUP BY kmer HAVING count(DISTINCT genome) >= (SELECT support FROM n))),
+first_grown AS (
+  SELECT genome, contig, seq, back, size, pos, {SHARED_LENGTH} AS len, least(substring(seq, pos + 1, {SHARED_LENGTH}), substring(back, size - pos - {SHARED_LENGTH} + 1, {SHARED_LENGTH})) AS x FROM c WHERE pos + {SHARED_LENGTH} <= size),
+grown AS (
+  SELECT * FROM first_grown WHERE x IN (SELECT x FROM first_grown GROUP BY x HAVING count(DISTINCT genome) >= (SELECT support FROM n))
+  UNION ALL
+  SELECT genome, contig, seq, back, size, pos, len, x FROM (
+    SELECT *, len(list_distinct(list(genome) OVER (PARTITION BY x))) AS held FROM (
+      SELECT genome, contig, seq, back, size, pos, len + 1 AS len, least(substring(seq, pos + 1, len + 1), substring(back, size - pos - len, len + 1)) AS x FROM grown WHERE pos + len + 1 <= size))
+  WHERE held >= (SELECT support FROM n)),
+starts AS (SELECT genome, contig, pos AS start, pos + max(len) AS stop FROM grown WHERE genome IN (SELECT genome FROM refs) GROUP BY genome, contig, pos),
+failed AS (
+  SELECT t.*, CASE WHEN c.pos - (stop - {SHARED_K}) <= {SHARED_K} THEN c.pos ELSE stop - {SHARED_K - 1} END AS failed
+  FROM (SELECT *, stop - {SHARED_K - 1} AS least FROM starts) t ASOF LEFT JOIN core c ON t.genome = c.genome AND t.contig = c.contig AND t.least <= c.pos),
+linked AS (
+  SELECT f.genome, f.contig, f.start, f.stop, g.start AS following
+  FROM (SELECT *, failed + 1 AS behind FROM failed) f ASOF LEFT JOIN starts g ON f.genome = g.genome AND f.contig = g.contig AND f.behind <= g.start),
+taken AS (
+  SELECT * FROM linked WHERE (genome, contig, start) IN (SELECT (genome, contig, min(start)) FROM starts GROUP BY genome, contig)
+  UNION ALL SELECT l.* FROM taken t JOIN linked l ON l.genome = t.genome AND l.contig = t.contig AND l.start = t.following),
+texts AS (SELECT DISTINCT substring(seq, start + 1, stop - start) AS seq FROM taken JOIN s USING (genome, contig)),
+shared AS (SELECT DISTINCT least(seq, {RC.format("seq")}) AS seq FROM texts)
+"""
+)
+
+
+@query(SHARED + "SELECT seq FROM shared")
 def q_shared_elements(spark, d):
-    """Q1 to Q3 with exact homology over all documents, from one reference a run."""
-    return find.find_shared(sequences(spark, d), Params(min_length=24, kmer=K, kmer_threshold=0.25))
+    """Q1 to Q3 with exact homology over all documents, from as many reference genomes as one of any supporting set is among."""
+    return find.find_shared(sequences(spark, d), Params(min_length=SHARED_LENGTH, kmer=SHARED_K, kmer_threshold=SHARED_SHARE))
 
 
-@query()
+@query(
+    SHARED
+    + f""", named AS (SELECT CAST(row_number() OVER (ORDER BY seq) - 1 AS VARCHAR) AS id, seq FROM shared),
+turned AS (SELECT id, '+' AS strand, seq AS q FROM named UNION ALL SELECT id, '-', {RC.format("seq")} FROM named),
+places AS (
+  SELECT id, genome, contig, pos AS start, pos + length(q) AS stop, strand FROM turned JOIN c ON left(q, {SHARED_K}) = substring(seq, pos + 1, {SHARED_K}) WHERE substring(seq, pos + 1, length(q)) = q)
+SELECT id, genome, contig, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", strand, 0 AS mismatches, CAST(1 AS DOUBLE) AS homology
+FROM places WHERE id NOT IN (SELECT id FROM places GROUP BY id, genome HAVING count(*) > 3)"""
+)
 def q_instances(spark, d):
     """F8, F9: places of the shared elements, of those that occur at most three times in a genome."""
-    return find.find_instances(sequences(spark, d), Params(min_length=24, kmer=K, kmer_threshold=0.25, max_occurrences=3))
+    return find.find_instances(sequences(spark, d), Params(min_length=SHARED_LENGTH, kmer=SHARED_K, kmer_threshold=SHARED_SHARE, max_occurrences=3))
 
 
 @query(
