@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinweave import Params
@@ -200,13 +203,79 @@ def test_kmers_with_mismatches(spark):
 def test_coverage_of_the_best_contig(hits, alike):
     """A genome counts only where its best contig has hits at enough of a window's positions."""
     text, p = (U * 3)[:100], Params(min_length=50, min_homology=0.98, kmer=10)
-    others = search.Others()
+    others = search.Others(text.encode())
     others.add_text("b", "c", 0, text)
     window = search.Window(others, p)
     for i in hits:
         others.add_place(f"k{i}", "b", "c", i)
         window.add([f"k{i}"])
-    assert window.supported(text[:50].encode(), 2) is alike
+    assert window.supported(0, 50, 2) is alike
+
+
+@given(st.text("ACG", min_size=1, max_size=40), st.text("ACG", max_size=30), st.lists(st.tuples(st.integers(0, 39), st.integers(1, 20)), min_size=1, max_size=8), st.sampled_from([0.5, 0.75, 0.9]))
+def test_diagonals_of_moving_windows(own, other, windows, homology):
+    """Counts kept over any moves against counts from the start, for every part of the other text."""
+    diagonals = search.Diagonals(*(np.frombuffer(x.encode(), np.uint8) for x in (own, other)))
+    for start, size in windows:
+        start, end = min(start, len(own) - 1), min(start + size, len(own))
+        end = max(end, start + 1)
+        diagonals.move(start, end)
+        for first in range(len(other) + 1):
+            for last in range(first, len(other) + 1):
+                stretches = [other[i : i + end - start] for i in range(first, last - (end - start) + 1)]
+                want = any(sum(x == y for x, y in zip(s, own[start:end])) / (end - start) >= homology for s in stretches)
+                assert diagonals.alike(first, last, homology) is want
+
+
+def inexact(texts, p, support):
+    """The search with mismatches, window by window and place by place, in plain loops: regions of one run of k-mers."""
+    def core():
+        held = {}
+        for g, t in texts.items():
+            for i in range(len(t) - p.kmer + 1):
+                x = t[i : i + p.kmer]
+                held.setdefault(min(x, rc(x)), set()).add(g)
+        return {x for x, g in held.items() if len(g) >= support}
+
+    kept = core()
+    at = {g: [i for i in range(len(t) - p.kmer + 1) if min(t[i : i + p.kmer], rc(t[i : i + p.kmer])) in kept] for g, t in texts.items()}
+    others = lambda name: search.Others(texts[name].encode())
+    out = set()
+    for name in p.references(list(texts)):
+        runs = []
+        for i in at[name]:
+            if runs and i - runs[-1][-1] <= p.kmer + p.gap:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        for run in runs:
+            if run[-1] - run[0] + p.kmer + p.gap < p.min_length:
+                continue
+            region, text = others(name), texts[name]
+            for g in texts:
+                if g != name:
+                    region.add_text(g, "1", 0, texts[g])
+                    for i in at[g]:
+                        region.add_place(min(texts[g][i : i + p.kmer], rc(texts[g][i : i + p.kmer])), g, "1", i)
+            found = search.elements({i: [min(text[i : i + p.kmer], rc(text[i : i + p.kmer]))] for i in run}, 0, text[: run[-1] + 2 * p.kmer], region, p, support)
+            out |= {min(x, rc(x)) for _, x in found}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_inexact_search_over_tables(spark, seed):
+    r = random.Random(seed)
+    passage = "".join(r.choice("ACGT") for _ in range(90))
+    texts = {}
+    for g in "abcd":
+        copy = "".join(x if r.random() > 0.04 else r.choice("ACGT") for x in passage)
+        texts[g] = "".join(r.choice("ACGT") for _ in range(20)) + r.choice([copy, rc(copy)]) + "".join(r.choice("ACGT") for _ in range(20))
+    p = Params(min_length=30, min_homology=0.9, kmer=8, kmer_threshold=0.75)
+    found = {x["seq"] for x in find.find_shared(frame(spark, texts), p).collect()}
+    assert found == inexact(texts, p, 3)
+    for x in found:  # each is so alike in enough genomes
+        alike = lambda t: any(sum(a == b for a, b in zip(s, t[i : i + len(x)])) >= 0.9 * len(x) for s in (x, rc(x)) for i in range(len(t) - len(x) + 1))
+        assert len(x) >= 30 and sum(alike(t) for t in texts.values()) >= 3
 
 
 def test_locate_against_brute_force(spark):
