@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -26,21 +23,25 @@ def connected(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _cycle_free(edges: dict[str, set[str]]) -> bool:
-    degree: dict[str, int] = defaultdict(int)
-    for ends in edges.values():
-        for d in ends:
-            degree[d] += 1
-    free = [n for n in edges if not degree[n]]
-    seen = 0
-    while free:
-        n = free.pop()
-        seen += 1
-        for d in edges.get(n, ()):
-            degree[d] -= 1
-            if not degree[d]:
-                free.append(d)
-    return seen == len(set(edges) | set(degree))
+def cyclic_part(edges: DataFrame, by: list[str]) -> DataFrame:
+    """The edges (by..., src, dst, ...) on cycles of their graph or on ways between them, for all values of by at once.
+
+    Edges out of nodes that none enters, and into nodes that none leaves, go in rounds, from both ends; a round is two
+    semi-joins, and there are about half as many as the longest way that leads to or from a cycle has edges.
+    """
+    left, n = cut(edges), None
+    while n != (count := left.count()):
+        n = count
+        entered = left.select(*by, F.col("dst").alias("src")).distinct()
+        leaving = left.select(*by, F.col("src").alias("dst")).distinct()
+        left = cut(left.join(entered, [*by, "src"], "left_semi").join(leaving, [*by, "dst"], "left_semi").select(edges.columns))
+    return left
+
+
+def is_acyclic(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., acyclic) for each graph of edges (by..., src, dst)."""
+    cyclic = cyclic_part(edges.select(*by, "src", "dst"), by).select(*by).distinct().withColumn("cyclic", F.lit(True))
+    return edges.select(*by).distinct().join(cyclic, by, "left").select(*by, F.col("cyclic").isNull().alias("acyclic"))
 
 
 def reduce_until_acyclic(pairs: DataFrame, genomes: int, policy: str = "weakest_first", use_distance: bool = False) -> DataFrame:
@@ -48,54 +49,48 @@ def reduce_until_acyclic(pairs: DataFrame, genomes: int, policy: str = "weakest_
 
     Edges that all genomes support stay. The next to go is the one of least support (and, with use_distance, of the
     greatest distance); policy 'reference' takes them from the strong end instead. Raises where that is not enough.
+    How many have to go is found by bisection over the edges' ranks, for all combinations at once and on their cyclic
+    parts only: as many steps as the logarithm of the largest one's edges.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges: dict[str, set[str]] = defaultdict(set)
-        for r in pdf.itertuples():
-            edges[r.src].add(r.dst)
-        rank = ["support", "far", "src", "dst"] if use_distance else ["support", "src", "dst"]
-        weak = pdf[pdf["support"] < genomes].assign(far=-pdf["dist"]).sort_values(rank, ascending=policy != "reference")
-        gone = set()
-        for r in weak.itertuples():
-            if _cycle_free(edges):
-                break
-            edges[r.src].discard(r.dst)
-            gone.add((r.src, r.dst))
-        if not _cycle_free(edges):
-            raise ValueError("cycles remain among unanimous edges")
-        return pdf[[(s, d) not in gone for s, d in zip(pdf["src"], pdf["dst"])]]
-
-    return pairs.groupBy("contigs").applyInPandas(run, pairs.schema)
+    by = ["contigs"]
+    strength = [F.col("support"), *([-F.col("dist")] if use_distance else []), F.col("src"), F.col("dst")]
+    order = [c.desc() if policy == "reference" else c.asc() for c in strength]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    ranked = cut(pairs.where(F.col("support") < genomes).withColumn("rank", rank).unionByName(pairs.where(F.col("support") >= genomes).withColumn("rank", F.lit(None).cast("int"))))
+    looped = cyclic_part(ranked.select(*by, "src", "dst", "rank"), by)
+    if not cyclic_part(looped.where("rank IS NULL"), by).isEmpty():
+        raise ValueError("cycles remain among unanimous edges")
+    spans = cut(looped.groupBy(*by).agg(F.lit(0).alias("low"), F.max("rank").alias("high")))
+    while not (open_ := spans.where("low < high")).isEmpty():
+        halves = open_.select(*by, F.expr("(low + high) div 2").cast("int").alias("half"))
+        without = looped.join(halves, by).where("rank IS NULL OR rank > half").drop("half")
+        cyclic = cyclic_part(without, by).select(*by).distinct().withColumn("cyclic", F.lit(True))
+        met = spans.join(halves, by, "left").join(cyclic, by, "left")
+        spans = cut(met.select(*by, F.when(F.col("half").isNotNull() & F.col("cyclic"), F.col("half") + 1).otherwise(F.col("low")).alias("low"), F.when(F.col("half").isNotNull() & F.col("cyclic").isNull(), F.col("half")).otherwise(F.col("high")).alias("high")))
+    gone = spans.select(*by, F.col("low").alias("upto"))
+    return ranked.join(gone, by, "left").where("rank IS NULL OR rank > coalesce(upto, 0)").select(pairs.columns)
+
+
+def reachable(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., src, dst) of all nodes that are joined by a way; known ways double in length each round. As large as what it returns."""
+    known = cut(edges.select(*by, "src", "dst").distinct())
+    n = None
+    while n != (count := known.count()):
+        n = count
+        ways = known.select(*by, "src", F.col("dst").alias("mid")).join(known.select(*by, F.col("src").alias("mid"), "dst"), [*by, "mid"]).select(*by, "src", "dst")
+        known = cut(known.union(ways).distinct())
+    return known
 
 
 def transitive_reduction(edges: DataFrame, by: list[str], transitive: bool = False) -> DataFrame:
     """Edges of acyclic graphs (one for each value of by) that no longer path replaces.
 
-    With transitive (every path has its edge, as when all genomes must agree), a path of two edges decides; else the
-    paths of each edge's source are followed within its group.
+    With transitive (every path has its edge, as when all genomes must agree), a path of two edges decides; else an edge
+    and a way of any length.
     """
-    if transitive:
-        first = edges.select(*by, "src", F.col("dst").alias("mid"))
-        second = edges.select(*by, F.col("src").alias("mid"), "dst")
-        return edges.join(first.join(second, [*by, "mid"]).select(*by, "src", "dst").distinct(), [*by, "src", "dst"], "left_anti")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, set[str]] = defaultdict(set)
-        for s, d in zip(pdf["src"], pdf["dst"]):
-            out[s].add(d)
-        keep = []
-        for s, d in zip(pdf["src"], pdf["dst"]):
-            todo, seen = [x for x in out[s] if x != d], set()
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo.extend(out.get(x, ()))
-            keep.append(d not in seen)
-        return pdf[keep]
-
-    return edges.groupBy(*by).applyInPandas(run, edges.schema)
+    first = edges.select(*by, "src", F.col("dst").alias("mid"))
+    second = (edges if transitive else reachable(edges, by)).select(*by, F.col("src").alias("mid"), "dst")
+    return edges.join(first.join(second, [*by, "mid"]).select(*by, "src", "dst").distinct(), [*by, "src", "dst"], "left_anti")
 
 
 def source_to_sink_paths(edges: DataFrame, by: list[str], min_length: int = 1, longest: int = 10_000) -> DataFrame:

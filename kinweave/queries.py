@@ -523,11 +523,12 @@ def g5_disjoint_cover(spark, d):
     return order.syntenic_blocks(by_status(spark, d), 1.0, 2, minimise=True).select(F.array_join("path", ",").alias("path"))
 
 
-def _closed(steps: int) -> str:
+def _closed(steps: int, edges: str = "w", name: str = "b") -> str:
     """For each two nodes of a combination the path whose weakest rank is greatest, by doubling."""
-    out = ", b0 AS (SELECT contigs, src, dst, r FROM w)"
+    out = f", {name}0 AS (SELECT contigs, src, dst, r FROM {edges})"
     for i in range(steps):
-        out += f", b{i + 1} AS (SELECT contigs, src, dst, max(r) AS r FROM (SELECT * FROM b{i} UNION ALL SELECT x.contigs, x.src, y.dst, least(x.r, y.r) FROM b{i} x JOIN b{i} y ON x.contigs = y.contigs AND x.dst = y.src) GROUP BY contigs, src, dst)"
+        k = f"{name}{i}"
+        out += f", {name}{i + 1} AS (SELECT contigs, src, dst, max(r) AS r FROM (SELECT * FROM {k} UNION ALL SELECT x.contigs, x.src, y.dst, least(x.r, y.r) FROM {k} x JOIN {k} y ON x.contigs = y.contigs AND x.dst = y.src) GROUP BY contigs, src, dst)"
     return out
 
 
@@ -543,6 +544,32 @@ def g2_reduce_until_acyclic(spark, d):
     return graph.reduce_until_acyclic(pairs(spark, d, 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst", F.col("support").cast("long").alias("support"))
 
 
+@query(
+    PAIRS.replace(">= 4", ">= 3")
+    + ", w AS (SELECT contigs, src, dst, 1 AS r FROM pairs)"
+    + _closed(6)
+    + " SELECT contigs, count(*) FILTER (WHERE src = dst) = 0 AS acyclic FROM b6 GROUP BY contigs"
+)
+def g1_acyclic(spark, d):
+    """Whether the order pairs of at least three genomes have no cycle, for each combination of contigs."""
+    return graph.is_acyclic(pairs(spark, d, 3).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst"), ["contigs"])
+
+
+# the closure of what g2 leaves; an edge stays if no other edge of its source has a way to its end
+@query(
+    PAIRS.replace(">= 4", ">= 3")
+    + ", w AS (SELECT contigs, src, dst, support, CASE WHEN support = 5 THEN 1000000000 ELSE row_number() OVER (PARTITION BY contigs ORDER BY support, src, dst) END AS r FROM pairs)"
+    + _closed(6)
+    + ", e AS (SELECT contigs, src, dst, 1 AS r FROM w LEFT JOIN (SELECT contigs, max(r) AS t FROM b6 WHERE src = dst GROUP BY contigs) USING (contigs) WHERE r > coalesce(t, 0))"
+    + _closed(6, "e", "k")
+    + " SELECT contigs, src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e f JOIN k6 k ON k.contigs = f.contigs AND k.src = f.dst WHERE f.contigs = e.contigs AND f.src = e.src AND k.dst = e.dst)"
+)
+def g3_reduction_by_ways(spark, d):
+    """Order pairs of at least three genomes, acyclic and reduced by ways of any length."""
+    left = graph.reduce_until_acyclic(pairs(spark, d, 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst")
+    return graph.transitive_reduction(left, ["contigs"])
+
+
 @query(
     PATHS
     + """, b AS (SELECT DISTINCT array_to_string(path, ',') AS block, path FROM paths WHERE len(path) >= 2),

@@ -4,6 +4,7 @@ import itertools
 import random
 import sys
 
+import pytest
 
 from kinweave.operators import align, graph, synteny
 from kinweave.plans import order
@@ -56,6 +57,51 @@ def test_cycles_are_broken(spark):
     assert left("reference") == {("b", "d"), ("d", "a")}
 
 
+def closure(edges):
+    ways = set(edges)
+    while True:
+        more = {(a, d) for a, b in ways for c, d in ways if b == c} - ways
+        if not more:
+            return ways
+        ways |= more
+
+
+@pytest.mark.parametrize(("policy", "use_distance"), [("weakest_first", False), ("weakest_first", True), ("reference", False), ("reference", True)])
+def test_cycles_of_many_graphs(spark, policy, use_distance):
+    """Edges go one at a time in plain loops, for each graph on its own; ties by distance and names."""
+    r = random.Random(3)
+    rows = []
+    for c in "pqrst":
+        for s, d in r.sample([(a, b) for a in "abcdefg" for b in "abcdefg" if a != b], 14):
+            rows.append((c, s, d, 3 if s < d and r.random() < 0.4 else r.randint(1, 2), float(r.randint(1, 3))))
+    rows += [("whole", "a", "b", 3, 1.0), ("whole", "b", "c", 1, 1.0), ("loop", "a", "a", 1, 1.0)]
+    df = spark.createDataFrame(rows, "contigs string, src string, dst string, support int, dist double")
+    want, acyclic = set(), {}
+    for c in {x[0] for x in rows}:
+        left = [x[1:] for x in rows if x[0] == c]
+        free = lambda: not any(a == b for a, b in closure({x[:2] for x in left}))  # noqa: E731, B023
+        acyclic[c] = free()
+        weak = sorted((x for x in left if x[2] < 3), key=lambda x: (x[2], -x[3] if use_distance else 0, x[0], x[1]), reverse=policy == "reference")
+        while not free():
+            left.remove(weak.pop(0))
+        want |= {(c, *x) for x in left}
+    assert {tuple(x) for x in graph.reduce_until_acyclic(df, 3, policy, use_distance).collect()} == want and len(want) < len(rows)
+    assert {x["contigs"]: x["acyclic"] for x in graph.is_acyclic(df, ["contigs"]).collect()} == acyclic and len(set(acyclic.values())) == 2
+    kept = spark.createDataFrame(sorted(want), df.schema).select("contigs", "src", "dst")
+    reduced = set()
+    for c in acyclic:
+        edges = {x[1:3] for x in want if x[0] == c}
+        ways = closure(edges)
+        reduced |= {(c, a, b) for a, b in edges if not any((a, m) in edges and (m, b) in ways for m in "abcdefg")}
+    assert {tuple(x) for x in graph.transitive_reduction(kept, ["contigs"]).collect()} == reduced and len(reduced) < len(want)
+
+
+def test_unanimous_cycles(spark):
+    rows = [("c", "a", "b", 3, 1.0), ("c", "b", "a", 3, 1.0)]
+    with pytest.raises(ValueError, match="unanimous"):
+        graph.reduce_until_acyclic(spark.createDataFrame(rows, "contigs string, src string, dst string, support int, dist double"), 3)
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(30)] + [(40, 50), (50, 40), (60, 45)]
     got = {r["node"]: r["component"] for r in graph.connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
