@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,10 +11,36 @@ def missing(known: DataFrame, hits: DataFrame) -> DataFrame:
     return known.select("id").join(hits.select("id"), "id", "left_anti")
 
 
-def described(x: str) -> list[Column]:
-    """Mean, median, population deviation, least, most and interquartile range of a column; null without values."""
-    spread = F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
-    return [f.alias(f"{x}_{n}") for n, f in (("mean", F.avg(x)), ("median", F.median(x)), ("sd", F.stddev_pop(x)), ("min", F.min(x)), ("max", F.max(x)), ("iqr", spread))]
+def quantiles(rows: DataFrame, by: str, x: str) -> DataFrame:
+    """(key, <x>_q25, <x>_q50, <x>_q75) of the values of x by key, between neighbours in proportion; null without values.
+
+    Values are counted first, so what is sorted are the distinct values of a key with their counts, not its rows.
+    """
+    counts = rows.groupBy(F.col(by).alias("key"), F.col(x).alias("x")).agg(F.count(x).alias("n"))
+    w = Window.partitionBy("key")
+    placed = counts.select("key", "x", F.sum("n").over(w.orderBy(F.col("x").asc_nulls_first())).alias("upto"), (F.sum("n").over(w) - 1).alias("last"))
+
+    def at(share: float) -> Column:
+        place = share * F.col("last")
+        value = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+        below, above = value(F.floor(place)), value(F.ceil(place))
+        return below + (above - below) * (F.max(place) - F.floor(F.max(place)))
+
+    return placed.groupBy("key").agg(*[at(share).alias(f"{x}_q{round(100 * share)}") for share in (0.25, 0.5, 0.75)])
+
+
+def measured(x: str) -> list[Column]:
+    """Mean, population deviation, least and most of a column; null without values."""
+    return [f.alias(f"{x}_{n}") for n, f in (("mean", F.avg(x)), ("sd", F.stddev_pop(x)), ("min", F.min(x)), ("max", F.max(x)))]
+
+
+def with_quantiles(summary: DataFrame, rows: DataFrame, by: str, *values: str) -> DataFrame:
+    """summary (by, ...) with the median of values as <x>_median and their interquartile range as <x>_iqr."""
+    for x in values:
+        found = quantiles(rows, by, x)
+        summary = summary.join(found, F.col(by).eqNullSafe(F.col("key"))).withColumns({f"{x}_median": F.col(f"{x}_q50"), f"{x}_iqr": F.col(f"{x}_q75") - F.col(f"{x}_q25")})
+        summary = summary.drop("key", f"{x}_q25", f"{x}_q50", f"{x}_q75")
+    return summary
 
 
 def best_per_element(hits: DataFrame) -> DataFrame:
@@ -27,14 +53,17 @@ def completeness(known: DataFrame, hits: DataFrame) -> DataFrame:
     """For each assembly: known elements hit, hit exactly and missing, and how their mismatches and scores are spread."""
     best = best_per_element(hits.join(known.select("id").distinct(), "id", "left_semi"))
     total = known.select("id").distinct().agg(F.count(F.lit(1)).alias("total"))
-    counts = best.groupBy("assembly").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("mismatches") == 0).alias("exact"), *described("mismatches"), *described("score"))
+    counts = best.groupBy("assembly").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("mismatches") == 0).alias("exact"), *measured("mismatches"), *measured("score"))
+    counts = with_quantiles(counts, best, "assembly", "mismatches", "score")
     return counts.join(F.broadcast(total)).withColumn("missing", F.col("total") - F.col("hits")).drop("total")  # one row
 
 
 def block_summary(spans: DataFrame) -> DataFrame:
     """For each assembly: how many blocks, and mean, median, least and most of their lengths and scores."""
-    of = lambda x: [F.avg(x).alias(f"{x}_mean"), F.median(x).alias(f"{x}_median"), F.min(x).alias(f"{x}_min"), F.max(x).alias(f"{x}_max")]
-    return spans.groupBy("genome").agg(F.count(F.lit(1)).alias("n_blocks"), *of("path_len"), *of("score"))
+    of = lambda x: [F.avg(x).alias(f"{x}_mean"), F.min(x).alias(f"{x}_min"), F.max(x).alias(f"{x}_max")]
+    counts = spans.groupBy("genome").agg(F.count(F.lit(1)).alias("n_blocks"), *of("path_len"), *of("score"))
+    columns = ["genome", "n_blocks", *[f"{x}_{n}" for x in ("path_len", "score") for n in ("mean", "median", "min", "max")]]
+    return with_quantiles(counts, spans, "genome", "path_len", "score").select(columns)
 
 
 def contiguity(checked: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import contains_either_strand, reverse_complement
 from .kmers import kmers
+from .lineage import cut
 
 
 def short_windows(sequences: DataFrame, lengths: list[int]) -> DataFrame:
@@ -19,18 +20,33 @@ def _lengths_below(sequences: DataFrame, block: int) -> list[int]:
     return sorted(r["n"] for r in sequences.select(F.length("seq").alias("n")).where(F.col("n") < block).distinct().collect())  # block values at most
 
 
+def _rarest_parts(small: DataFrame, places: DataFrame, block: int) -> DataFrame:
+    """(id_s, id_l): sequences of at least block characters, and the others that hold the rarest of their parts.
+
+    small: (id_s, strand, text); places: (contig, kmer), distinct. A text's parts of block characters lie side by side;
+    all are in whatever holds the text, so its rarest one is enough, and a part that nothing holds rules the text out.
+    Common beginnings so are no hot keys.
+    """
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / block).cast("int") - 1), lambda i: F.substring(F.col("text"), i * block + 1, F.lit(block)))
+    parts = small.select("id_s", "strand", F.explode(cut_up).alias("kmer"))
+    held = cut(places.join(parts.select("kmer").distinct(), "kmer", "left_semi"))
+    counts = held.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(counts, "kmer", "left").groupBy("id_s", "strand").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kmer")).alias("part"))
+    return rarest.where("part.n > 0").select("id_s", F.col("part.kmer").alias("kmer")).join(held, "kmer").select("id_s", F.col("contig").alias("id_l")).distinct()
+
+
 def contained_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     """(id_a, id_b) where the shorter of two sequences, or its reverse complement, is part of the longer.
 
-    Two such sequences share the first block characters of the shorter on one strand, so candidates meet by them;
-    sequences shorter than block meet the parts of their own length. Empty sequences are part of nothing.
+    Two such sequences share every part of block characters of the shorter on one strand, so candidates meet by the
+    rarest of them; sequences shorter than block meet the parts of their own length. Empty sequences are part of nothing.
     """
     pairs = None
     for x, y, flip in ((a, b, False), (b, a, True)):
         small = x.where(F.length("seq") >= block)
-        key = small.select(F.col("id").alias("id_s"), F.col("seq").alias("seq_s"), F.explode(F.array(F.substring(F.col("seq"), F.lit(1), F.lit(block)), F.substring(reverse_complement(F.col("seq")), F.lit(1), F.lit(block)))).alias("kmer"))
+        both = small.select(F.col("id").alias("id_s"), F.posexplode(F.array("seq", reverse_complement(F.col("seq")))).alias("strand", "text"))
         places = kmers(y.select(F.lit("").alias("genome"), F.col("id").alias("contig"), "seq"), block, dna=False, canonicalise=False).select("contig", "kmer").distinct()
-        found = key.join(places, "kmer").select("id_s", F.col("contig").alias("id_l")).distinct()
+        found = _rarest_parts(both, places, block)
         found = found.join(small.toDF(*[f"{c}_s" if c != "id" else "id_s" for c in small.columns]).select("id_s", "seq_s"), "id_s").join(y.select(F.col("id").alias("id_l"), F.col("seq").alias("seq_l")), "id_l")
         found = found.where((F.length("seq_s") <= F.length("seq_l")) & contains_either_strand(F.col("seq_s"), F.col("seq_l"))).select("id_s", "id_l")
         x = x.where(F.length("seq") > 0)
@@ -49,11 +65,11 @@ def first_match(pairs: DataFrame) -> DataFrame:
 def minimal_set(elements: DataFrame, block: int) -> DataFrame:
     """Elements (id, seq) that are not part of another on the same strand; of equal ones the last id stays."""
     single = elements.groupBy("seq").agg(F.max("id").alias("id")).select("id", "seq")
-    key = single.where(F.length("seq") >= block).select(F.col("id").alias("small"), F.substring(F.col("seq"), F.lit(1), F.lit(block)).alias("kmer"))
-    places = kmers(single.select(F.lit("").alias("genome"), F.col("id").alias("contig"), "seq"), block, dna=False, canonicalise=False).select(F.col("contig").alias("big"), "kmer").distinct()
+    long = single.where(F.length("seq") >= block).select(F.col("id").alias("id_s"), F.lit(0).alias("strand"), F.col("seq").alias("text"))
+    places = kmers(single.select(F.lit("").alias("genome"), F.col("id").alias("contig"), "seq"), block, dna=False, canonicalise=False).select("contig", "kmer").distinct()
     small = single.select(F.col("id").alias("small"), F.col("seq").alias("seq_s"))
     big = single.select(F.col("id").alias("big"), F.col("seq").alias("seq_b"))
-    candidates = key.join(places, "kmer").where("small <> big").select("small", "big").distinct().join(small, "small").join(big, "big")
+    candidates = _rarest_parts(long, places, block).toDF("small", "big").where("small <> big").join(small, "small").join(big, "big")
     windows = short_windows(single, _lengths_below(single.where("seq <> ''"), block)).select(F.col("id").alias("big"), F.col("window").alias("seq_s"))
     tiny = small.where(F.length("seq_s") < block).join(windows.groupBy("seq_s").agg(F.min("big").alias("one"), F.max("big").alias("other")), "seq_s").where("one <> small OR other <> small")
     gone = candidates.where(F.contains(F.col("seq_b"), F.col("seq_s"))).select("small").union(tiny.select("small")).distinct()

@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def student_p(t: float, df: float) -> float:
-    """One-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
-    if df <= 0 or math.isnan(t):
-        return math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x in (0.0, 1.0):
-        half = 0.5 * x
-    else:
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-        half = 0.5 * (front * _beta_fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(1 - x, b, a) / b)
-    return half if t > 0 else 1 - half
-
-
-def _beta_fraction(x: float, a: float, b: float) -> float:
-    c, d = 1.0, 1 / _away(1 - (a + b) * x / (a + 1))
-    out = d
-    for m in range(1, 300):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 / _away(1 + k * d), _away(1 + k / c)
-            out *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return out
-
-
-def _away(x: float) -> float:
-    return x if abs(x) > 1e-300 else 1e-300
-
-
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, r, n, t) of all pairs of columns, in one pass over the rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -2,15 +2,16 @@
 
 import math
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
 from kinweave import queries as Q
 from kinweave.operators import alignments, assess, compare, stats
 from kinweave.sources import readers, writers
-from kinweave.streaming import support
 
 SMALLEST = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -79,8 +80,6 @@ def test_containment_against_brute_force(spark):
 
 
 def test_statistics(spark):
-    assert math.isclose(stats.student_p(2.0, 10), 0.036694, abs_tol=1e-6)
-    assert math.isclose(stats.student_p(-1.5, 4), 1 - 0.104000, abs_tol=1e-6)
     df = spark.createDataFrame([("g", float(x), 2.0 * x + 1, float(x * x)) for x in range(8)], "k string, a double, y double, b double")
     fit = stats.regression(df, "y", ["a", "b"], ["k"]).first()
     assert math.isclose(fit["slope1"], 2, abs_tol=1e-9) and math.isclose(fit["slope2"], 0, abs_tol=1e-9) and math.isclose(fit["r2"], 1)
@@ -92,13 +91,32 @@ def test_completeness_without_hits(spark):
     assert assess.completeness(known, hits).count() == 0 and assess.missing(known, hits).count() == 2
 
 
-def test_streaming_islands(spark, tmp_path):
-    spark.sql("SELECT 'k' AS key, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,s) AS ts FROM VALUES (0), (5), (60), (63), (4000) t(s)").coalesce(1).write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "e"))
-    job = support.streaming_islands(stream, "10 seconds", "1 minute").writeStream.format("memory").queryName("runs").outputMode("append").start()
-    job.processAllAvailable()
-    job.stop()
-    assert sorted(r["n"] for r in spark.table("runs").collect())[:2] == [2, 2]
+def test_common_beginnings(spark):
+    """Thousands of sequences that begin alike: only those that hold the rest of one are its candidates."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    start = letters(48)
+    short = [start + letters(20) for _ in range(1500)]
+    long = [letters(5) + r.choice([x, sequences_rc(x)]) + letters(9) if i % 3 else start + letters(40) for i, x in enumerate(short)]
+    a, b = (spark.createDataFrame([(f"{k}{i}", x) for i, x in enumerate(rows)], "id string, seq string") for k, rows in (("a", short), ("b", long)))
+    want = {(f"a{i}", f"b{j}") for i, x in enumerate(short) for j, y in enumerate(long) if x in y or sequences_rc(x) in y}
+    assert {tuple(x) for x in compare.contained_pairs(a, b, 16).collect()} == want and len(want) >= 1000
+    both = a.union(b)
+    gone = {f"a{i}" for i, x in enumerate(short) if any(x in y for y in long)}
+    assert {x["id"] for x in compare.minimal_set(both, 16).collect()} == {f"a{i}" for i in range(1500)} - gone | {f"b{i}" for i in range(1500)}
+
+
+def sequences_rc(x):
+    return x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_quantiles(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, r.randint(0, 9), r.randint(0, 9)])) for _ in range(200)] + [("one", 4), ("none", None)]
+    got = {x[0]: tuple(x)[1:] for x in assess.quantiles(spark.createDataFrame(rows, "g string, x long"), "g", "x").collect()}
+    for g in {x[0] for x in rows}:
+        values = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == (None,) * 3 if not values else np.allclose(got[g], np.percentile(values, [25, 50, 75]))
 
 
 @pytest.fixture(scope="module")
