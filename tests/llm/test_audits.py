@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from kinweave.llm import audit, licenses, manifest
+from kinweave.llm import audit, licenses, manifest, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id long, quality int, toxic int, part string"
@@ -196,3 +197,13 @@ def test_proofs(spark, rows, nothing, n):
         assert not all(x[-1] for x in want) and any(x[-1] for x in want)
     if n == 1:
         assert manifest.proofs(nothing).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_audit", "op12_licenses", "op13_manifest"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001"), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted((tuple(r) for r in got.select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
