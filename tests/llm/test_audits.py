@@ -199,6 +199,13 @@ def test_proofs(spark, rows, nothing, n):
         assert manifest.proofs(nothing).count() == 0
 
 
+@pytest.mark.parametrize("langs", [["a", "b", "c"], [None, "b"], ["a", "a", None], [f"l{i}" for i in range(10)]])
+def test_proofs_of_small_trees(spark, langs):
+    rows = [(i, f"Text {i}", x, "s", i) for i, x in enumerate(langs)]
+    got = manifest.proofs(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute_proofs(rows), key=repr)
+
+
 @pytest.mark.parametrize("name", ["op11_audit", "op12_licenses", "op13_manifest"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
