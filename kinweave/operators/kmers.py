@@ -17,19 +17,19 @@ BLOCK = 256
 BITS = 63
 
 
-def kmers(sequences: DataFrame, k: int, dna: bool = True, canonicalise: bool = True, stride: int = 1) -> DataFrame:
-    """(genome, contig, pos, kmer) of sequences (genome, contig, seq) at the multiples of stride, a power of two below
-    BLOCK; with dna, k-mers of other letters are left out."""
+def kmers(sequences: DataFrame, k: int, dna: bool = True, canonicalise: bool = True, stride: int = 1, by: tuple[str, ...] = ("genome", "contig")) -> DataFrame:
+    """(by..., pos, kmer) of sequences (by..., seq) at the multiples of stride, a power of two below BLOCK; with dna, k-mers
+    of other letters are left out."""
     length = F.length("seq")
     starts = F.when(length >= k, F.sequence(F.lit(0), length - k, F.lit(BLOCK)))
-    blocks = sequences.select("genome", "contig", F.col("seq"), F.explode(starts).alias("at"))
-    blocks = blocks.select("genome", "contig", "at", F.substring(F.col("seq"), F.col("at") + 1, F.lit(BLOCK + k - 1)).alias("block"))  # of k characters at least
+    blocks = sequences.select(*by, F.col("seq"), F.explode(starts).alias("at"))
+    blocks = blocks.select(*by, "at", F.substring(F.col("seq"), F.col("at") + 1, F.lit(BLOCK + k - 1)).alias("block"))  # of k characters at least
     cut = F.transform(F.sequence(F.lit(1), F.length("block") - k + 1, F.lit(stride)), lambda i: F.substring(F.col("block"), i, F.lit(k)))
-    out = blocks.select("genome", "contig", "at", F.posexplode(cut).alias("i", "kmer"))
+    out = blocks.select(*by, "at", F.posexplode(cut).alias("i", "kmer"))
     if dna:
         out = out.withColumn("kmer", F.upper("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
     kmer = canonical(F.col("kmer")) if canonicalise else F.col("kmer")
-    return out.select("genome", "contig", (F.col("at") + F.col("i") * stride).cast("long").alias("pos"), kmer.alias("kmer"))
+    return out.select(*by, (F.col("at") + F.col("i") * stride).cast("long").alias("pos"), kmer.alias("kmer"))
 
 
 #: The number of each letter, 4 for all others.

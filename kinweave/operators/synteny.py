@@ -30,9 +30,12 @@ def everywhere(anchors: DataFrame, genomes: list[str]) -> DataFrame:
     return anchors.join(ids, "id", "left_semi")
 
 
-def contig_combinations(anchors: DataFrame, genomes: list[str]) -> DataFrame:
-    """(id, contigs, starts) for each choice of one contig a genome on which the id is; starts are the first ones there."""
-    first = everywhere(anchors, genomes).groupBy("id", "genome", "contig").agg(F.min("start").alias("start"))
+def contig_combinations(anchors: DataFrame, genomes: list[str], first_by: str = "start") -> DataFrame:
+    """(id, contigs, starts) for each choice of one contig a genome on which the id is.
+
+    Of several anchors there the smallest start is taken, or that of the smallest first_by (anchor_id: first in the file).
+    """
+    first = everywhere(anchors, genomes).groupBy("id", "genome", "contig").agg(F.min(F.struct(first_by, F.col("start").alias("at"))).alias("x")).select("id", "genome", "contig", F.col("x.at").alias("start"))
     out = None
     for i, g in enumerate(genomes):
         own = first.where(F.col("genome") == g).select("id", F.array("contig").alias(f"c{i}"), F.array("start").alias(f"s{i}"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
-from .operators import alignments, align, assess, compare, graph, kmers, locate, regions, stats, synteny
+from .operators import alignments, align, assess, chunks, compare, gapped, graph, kmers, locate, regions, stats, synteny
 from .operators.lineage import cut
 from .params import Params
 from .plans import find, order
@@ -162,8 +162,10 @@ def c3_c5_homology(spark, d):
 
 @query(SEQ + "SELECT genome, contig, md5(substring(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4 + 10)) AS slice FROM s")
 def s6_slices(spark, d):
+    rows = sequences(spark, d)
     n = F.length("seq")
-    return sequences(spark, d).select("genome", "contig", F.md5(S.sliced(F.col("seq"), F.floor(n / 4), F.floor(n / 2), 10)).alias("slice"))
+    spans = rows.select(F.lit(0).alias("id"), "genome", "contig", F.floor(n / 4).alias("start"), (F.floor(n / 2) + 10).alias("end"))
+    return chunks.subsequences(spans, rows).select("genome", "contig", F.md5("seq").alias("slice"))
 
 
 @query(SEQ + "SELECT genome, CAST(sum(length(seq)) AS BIGINT) AS size FROM s GROUP BY genome")
@@ -185,7 +187,7 @@ def s18_subsequences(spark, d):
     rows = sequences(spark, d)
     n = F.length("seq")
     spans = rows.select(F.col("contig").alias("id"), "genome", "contig", F.floor(n / 3).alias("start"), F.floor(n / 2).alias("end"))
-    return rounded(locate.subsequences(spans, rows))
+    return rounded(chunks.subsequences(spans, rows))
 
 
 @query(HITS + "SELECT genome, contig, count(DISTINCT pos) AS covered FROM hits GROUP BY ALL")
@@ -303,6 +305,25 @@ def j3_benchmark_mismatches(spark, d):
     return rounded(locate.locate_all(known, docs, 3, seed=24))
 
 
+@query(
+    """WITH s AS (SELECT source AS genome, CAST(doc_id AS VARCHAR) AS contig, text FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS id, text AS q FROM benchmark WHERE length(text) > 2),
+both_strands AS (SELECT id, '+' AS strand, q FROM b UNION SELECT id, '-', reverse(translate(q, 'ACGT', 'TGCA')) FROM b WHERE q <> reverse(translate(q, 'ACGT', 'TGCA'))),
+seeds AS (SELECT id, strand, q, CAST(part * (length(q) // 3) AS BIGINT) AS off, substring(q, CAST(part * (length(q) // 3) + 1 AS BIGINT), 16) AS kmer FROM both_strands, range(3) t(part)),
+w AS (SELECT genome, contig, text, unnest(range(length(text) - 15)) AS pos FROM s WHERE length(text) >= 16),
+d AS (SELECT DISTINCT id, strand, q, genome, contig, text, pos - off AS start FROM w JOIN seeds ON substring(text, pos + 1, 16) = kmer),
+spans AS (SELECT DISTINCT id, strand, q, genome, contig, text, start + x AS a, start + length(q) + y AS z FROM d, range(-2, 3) t(x), range(-2, 3) u(y) WHERE start + x >= 0 AND start + length(q) + y <= length(text)),
+e AS (SELECT id, strand, genome, contig, z, min(levenshtein(q, substring(text, a + 1, z - a))) AS edits FROM spans GROUP BY ALL HAVING min(levenshtein(q, substring(text, a + 1, z - a))) <= 2),
+r AS (SELECT *, z - row_number() OVER (PARTITION BY id, strand, genome, contig ORDER BY z) AS run FROM e)
+SELECT id, genome, contig, CAST(arg_min(z, (edits, z)) AS BIGINT) AS "end", strand, min(edits) AS edits FROM r GROUP BY id, strand, genome, contig, run"""
+)
+def j2_gapped_places(spark, d):
+    """Ends of the places of benchmark texts (of more than two characters) with at most two edits, either strand."""
+    docs = _table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("genome"), F.col("doc_id").cast("string").alias("contig"), F.col("text").alias("seq"))
+    known = _table(spark, d, "benchmark").where("length(text) > 2").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("seq"))
+    return rounded(gapped.locate_gapped_all(known, docs, 2, seed=24).select("id", "genome", "contig", "end", "strand", "edits"))
+
+
 # ---- alignments ------------------------------------------------------------------------------------------------
 
 ALN = """

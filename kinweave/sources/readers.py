@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunks import CHUNK, assembled
+
 
 def _stem(extension: str) -> Column:
     """File name without folder and extension."""
@@ -20,6 +24,92 @@ def fasta(spark: SparkSession, path: str, extension: str = r"\.(fa|fasta)(\.gz)?
     return out.withColumn("length", F.length("seq").cast("long"))
 
 
+def _parts(size: int | None):
+    """Parts of records (genome, file, block, record, contig, at, text) in the lines of splits; without a size, their lengths.
+
+    Lines lie side by side in an Arrow batch, so the letters between two headers are one stretch of its buffer. A record
+    is numbered within its split; number 0, without a name, goes on from the split before.
+    """
+
+    def run(batches):
+        split, record, contig, at = None, 0, None, 0
+        for batch in batches:
+            lines = batch.column("value").cast(pa.large_binary())
+            n = len(lines)
+            if not n:
+                continue
+            offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + n + 1]
+            data = lines.buffers()[2]
+            data = memoryview(data) if data is not None else memoryview(b"")
+            raw = np.frombuffer(data, np.uint8)
+            full = np.flatnonzero(np.diff(offsets) > 0)
+            heads = set(full[raw[offsets[full]] == ord(">")].tolist())
+            blocks = np.asarray(batch.column("block"))
+            files = batch.column("file").dictionary_encode()
+            names, genomes = files.dictionary.to_pylist(), batch.column("genome")
+            codes = np.asarray(files.indices)
+            turns = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(codes) != 0)) + 1
+            begins = sorted({0, *turns.tolist(), *heads})
+            rows = []
+            for a, b in zip(begins, [*begins[1:], n]):
+                of = (names[codes[a]], int(blocks[a]))
+                if of != split:
+                    split, record, contig, at = of, 0, None, 0
+                body = a
+                if a in heads:
+                    body, record, at = a + 1, record + 1, 0
+                    words = bytes(data[offsets[a] + 1 : offsets[a + 1]]).split(None, 1)
+                    contig = words[0].decode("utf-8", "replace") if words else ""
+                letters = bytes(data[offsets[body] : offsets[b]]).translate(None, b" \t\n\r\v\f")
+                key = (genomes[a].as_py(), *of, record, contig)
+                if size is None:
+                    rows.append((*key, at, len(letters)))
+                else:
+                    rows.extend((*key, at + i, letters[i : i + size].decode("ascii", "replace")) for i in range(0, max(1, len(letters)), size))
+                at += len(letters)
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64() if size is None else pa.string()]
+            fields = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(fields, ["genome", "file", "block", "record", "contig", "at", "text"])
+
+    return run
+
+
+def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK, extension: str = r"\.(fa|fasta)(\.gz)?") -> DataFrame:
+    """Chunks (genome, contig, chunk, seq) of FASTA files, read by split: a record goes on over as many splits as it needs.
+
+    A first pass finds, a row a split, the last header and the letters behind it; summed in file order they tell each split
+    in what record, and how far in it, it begins. The second pass reads the letters. A line is one row, so a record on one
+    line is read by one task. Letters are ASCII, any other byte counts as one unknown letter; text before a file's first
+    header is no record. Contig names are unique in a genome.
+    """
+    lines = spark.read.text(path).select(_stem(extension).alias("genome"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    schema = "genome string, file string, block long, record long, contig string, at long, text "
+    sizes = lines.mapInArrow(_parts(None), schema + "long")
+    records = sizes.groupBy("file", "block", "record").agg(F.max("contig").alias("contig"), F.sum("text").alias("n"))
+    last = F.max_by(F.struct("contig", "n"), "record")
+    splits = records.groupBy("file", "block").agg(F.max("record").alias("records"), last.alias("last"))
+    order = Window.partitionBy("file").orderBy("block")  # a row a split
+    splits = splits.withColumn("name", F.last(F.when(F.col("records") > 0, F.col("last.contig")), True).over(order)).withColumn("of", F.sum(F.when(F.col("records") > 0, 1).otherwise(0)).over(order))
+    splits = splits.withColumn("behind", F.sum("last.n").over(Window.partitionBy("file", "of").orderBy("block")))
+    begins = splits.select("file", "block", F.lag("name").over(order).alias("carried"), F.lag("behind").over(order).alias("before"), F.lit(0).cast("long").alias("record"))
+    parts = lines.mapInArrow(_parts(size), schema + "string").join(begins, ["file", "block", "record"], "left")
+    whole = parts.select("genome", F.coalesce("contig", "carried").alias("contig"), (F.col("at") + F.coalesce("before", F.lit(0))).alias("start"), "text")
+    return assembled(whole.where("contig IS NOT NULL"), size)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (file, block, i, ...), i rising within a split, with line, from 0 in each file, in place of these three.
+
+    A split's rows have ids without gaps, so a row's number in it is its id less the least; the lines of the splits before
+    are added. A row a split is joined back, no line is sorted.
+    """
+    splits = rows.groupBy("file", "block").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    at = rows.join(splits, ["file", "block"]).withColumn("line", F.col("before") + F.col("i") - F.col("first"))
+    return at.drop("file", "block", "i", "first", "before")
+
+
 def genomes(spark: SparkSession, folder: str) -> DataFrame:
     """(genome, path) of the .fa files of a folder, without results (files with a second extension before .fa)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fa").load(folder).select("path")
@@ -42,9 +132,12 @@ def bed(spark: SparkSession, path: str, tags: tuple[str, ...] = ("name", "score"
 
 
 def anchors(spark: SparkSession, path: str) -> DataFrame:
-    """(genome, contig, start, end, id, identity) from BED files of placed elements."""
-    rows = bed(spark, path, ("id", "identity"))
-    return rows.withColumn("identity", F.col("identity").cast("double"))
+    """(genome, contig, start, end, id, identity, anchor_id) of placed elements in BED files; anchor_id is the line in the
+    file, from 0."""
+    schema = "contig string, start long, end long, id string, identity string"
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")]
+    rows = spark.read.schema(schema).option("sep", "\t").csv(path).select(*place, _stem(r"\.bed").alias("genome"), "contig", "start", "end", "id", F.col("identity").cast("double").alias("identity"))
+    return _numbered(rows).withColumnRenamed("line", "anchor_id")
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:

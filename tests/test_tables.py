@@ -33,7 +33,7 @@ def test_fasta_round_trip(spark, tmp_path):
 def test_bed_and_graph_round_trips(spark, tmp_path):
     (tmp_path / "h.bed").write_text("chr1\t5\t9\tu1\t100.0\nchr1\t20\t24\tu2\t99.5\n")
     placed = readers.anchors(spark, str(tmp_path / "h.bed"))
-    assert {tuple(r) for r in placed.collect()} == {("h", "chr1", 5, 9, "u1", 100.0), ("h", "chr1", 20, 24, "u2", 99.5)}
+    assert {tuple(r) for r in placed.collect()} == {("h", "chr1", 5, 9, "u1", 100.0, 0), ("h", "chr1", 20, 24, "u2", 99.5, 1)}
     edges = readers.order_map(spark, str(tmp_path / "h.bed"), "bed")
     assert [tuple(r) for r in edges.collect()] == [("u1", "u2", 1.0)]
     writers.gexf(edges, str(tmp_path / "m.gexf"))
