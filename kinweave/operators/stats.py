@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Steps of the integral behind a p value, and after how many of its widths the density counts as nothing.
+STEPS, WIDTHS = 2000, 40
+
+
+def p_value(t: Column, df: Column, alternative: str = "two-sided") -> Column:
+    """The chance of a t statistic at least as far out, with df degrees of freedom; greater and less look to one side.
+
+    With t = sqrt(df) tan(x), Student's density becomes cos(x) to the power of df - 1, of which Simpson's rule takes the
+    area beyond t over the whole. A column expression, meant for rows of aggregates. Null for null t.
+    """
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(f"unknown alternative: {alternative}")
+    top = F.least(F.lit(math.pi / 2), WIDTHS / F.sqrt(df))
+
+    def area(begin: Column) -> Column:
+        step = (top - begin) / STEPS
+        weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        height = lambda i: F.pow(F.greatest(F.cos(begin + i * step), F.lit(0.0)), df - 1)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda s, i: s + weight(i) * height(i)) * step / 3
+
+    begin = F.atan(F.abs(t) / F.sqrt(df))
+    beyond = F.when(begin < top, area(begin) / (2 * area(F.lit(0.0)))).when(begin.isNotNull(), 0.0)
+    if alternative == "two-sided":
+        return 2 * beyond
+    return F.when((t >= 0) == F.lit(alternative == "greater"), beyond).otherwise(1 - beyond)
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, r, n, t) of all pairs of columns, in one pass over the rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -16,6 +44,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 
 
+def marked(correlated: DataFrame, p: float = 0.001, r: float = 0.7) -> DataFrame:
+    """correlations with p, two-sided, and marked: p is below and the size of r at least the given one."""
+    out = correlated.withColumn("p", p_value(F.col("t"), F.col("n") - 2))
+    return out.withColumn("marked", (F.col("p") < p) & (F.abs("r") >= r))
+
+
 def one_sample_t(df: DataFrame, x: str, by: list[str], mean: float) -> DataFrame:
     """(by..., n, t) against a fixed mean."""
     out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))

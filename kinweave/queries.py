@@ -794,6 +794,53 @@ def a15_correlations(spark, d):
     return out.select("x", "y", F.round("r", 6).alias("r"), "n", F.round("t", 3).alias("t"))
 
 
+def _beyond(t: str, v: str, by: str, rows: str) -> str:
+    """SQL: (by, tail), the area of Student's density beyond t, in place of its angle x, with v degrees of freedom."""
+    weight = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""ang AS (SELECT {by}, {v} AS v, atan({t} / sqrt({v})) AS x FROM {rows}),
+tails AS (SELECT {by}, exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(pi()) * sum({weight} * pow(greatest(cos(x + i * (pi() / 2 - x) / 20000), 0), v - 1)) * (pi() / 2 - x) / 60000 AS tail FROM ang, range(20001) q(i) GROUP BY {by}, v, x)\n"""
+
+
+@query(
+    """WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS r1, corr(l_quantity, l_discount) AS r2, corr(l_quantity, l_tax) AS r3, corr(l_extendedprice, l_discount) AS r4, corr(l_extendedprice, l_tax) AS r5, corr(l_discount, l_tax) AS r6, count(*) AS n FROM lineitem),
+u AS (SELECT unnest(['l_quantity', 'l_quantity', 'l_quantity', 'l_extendedprice', 'l_extendedprice', 'l_discount']) AS x0, unnest(['l_extendedprice', 'l_discount', 'l_tax', 'l_discount', 'l_tax', 'l_tax']) AS y0, unnest([r1, r2, r3, r4, r5, r6]) AS r, n FROM c),
+"""
+    + _beyond("(abs(r) * sqrt((n - 2) / (1 - r * r)))", "(n - 2)", "x0, y0", "u")
+    + "SELECT x0 AS x, y0 AS y, round(r, 6) AS r, round(2 * tail, 6) AS p, 2 * tail < 0.001 AND abs(r) >= 0.7 AS marked FROM u JOIN tails USING (x0, y0)"
+)
+def a15_p_values(spark, d):
+    """Correlations of the numbers of line items with their p values, the strong ones marked."""
+    out = stats.marked(stats.correlations(_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return rounded(out.select("x", "y", "r", "p", "marked"))
+
+
+@query(
+    "WITH g AS (SELECT c_mktsegment, count(c_acctbal) AS n, (avg(c_acctbal) - 4500) / (stddev_samp(c_acctbal) / sqrt(count(c_acctbal))) AS t FROM customer GROUP BY c_mktsegment),\n"
+    + _beyond("t", "(n - 1)", "c_mktsegment", "g")
+    + "SELECT c_mktsegment, round(t, 6) AS t, round(tail, 6) AS p_greater, round(2 * least(tail, 1 - tail), 6) AS p FROM g JOIN tails USING (c_mktsegment)"
+)
+def a16_one_sample_p(spark, d):
+    """Whether a segment's balances are above 4500 on average: one-sided and two-sided p values."""
+    out = stats.one_sample_t(_table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"], 4500)
+    df = F.col("n") - 1
+    return rounded(out.select("c_mktsegment", "t", stats.p_value(F.col("t"), df, "greater").alias("p_greater"), stats.p_value(F.col("t"), df).alias("p")))
+
+
+@query(
+    """WITH g AS (SELECT o_orderpriority, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(x) FILTER (f) AS m1, avg(x) FILTER (NOT f) AS m2, var_samp(x) FILTER (f) AS v1, var_samp(x) FILTER (NOT f) AS v2
+FROM (SELECT o_orderpriority, o_totalprice AS x, o_orderstatus = 'F' AS f FROM orders) GROUP BY o_orderpriority),
+h AS (SELECT o_orderpriority, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS df FROM g),
+"""
+    + _beyond("t", "df", "o_orderpriority", "h")
+    + "SELECT o_orderpriority, df, round(tail, 6) AS p_greater, round(1 - tail, 6) AS p_less FROM h JOIN tails USING (o_orderpriority)"
+)
+def a16_two_sample_p(spark, d):
+    """Whether finished orders are dearer, or cheaper, than the others of their priority: one-sided p values."""
+    out = stats.two_sample_t(_table(spark, d, "orders"), "o_totalprice", F.col("o_orderstatus") == "F", ["o_orderpriority"])
+    sides = [stats.p_value(F.col("t"), F.col("df"), side).alias(f"p_{side}") for side in ("greater", "less")]
+    return rounded(out.select("o_orderpriority", "df", *sides))
+
+
 @query("SELECT c_mktsegment, count(c_acctbal) AS n, round((avg(c_acctbal) - 4500) / (stddev_samp(c_acctbal) / sqrt(count(c_acctbal))), 6) AS t FROM customer GROUP BY c_mktsegment")
 def a16_one_sample_t(spark, d):
     return rounded(stats.one_sample_t(_table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"], 4500))

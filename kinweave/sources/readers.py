@@ -184,17 +184,29 @@ def log(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", pattern, 1).cast("timestamp_ntz").alias("ts"), F.regexp_extract("value", pattern, 2).alias("message"))
 
 
-def order_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Edges (src, dst, weight) of an order map: a GEXF graph, or placed elements (bed, sam) whose neighbours are edges."""
+def order_map(spark: SparkSession, path: str, kind: str, elements: DataFrame | None = None, seed: int = 24) -> DataFrame:
+    """Edges (src, dst, weight) of an order map: a GEXF graph, or placed elements whose neighbours are edges.
+
+    Elements are placed already (bed, sam; .bam files count as sam), or elements (id, seq) are placed in an assembly
+    (fasta) without mismatch. Of several places of an element the last one counts, as in alignments.
+    """
     from ..operators.alignments import last_positions
+    from ..operators.locate import locate_all
     from ..operators.synteny import adjacency, consensus, unique_ids
+    from .bam import bam
 
     if kind == "gexf":
         return gexf(spark, path)
     if kind == "bed":
         placed = anchors(spark, path).select("genome", "contig", "start", "id")
     elif kind == "sam":
-        placed = last_positions(sam(spark, path)).select(F.lit("").alias("genome"), "contig", "start", F.col("query").alias("id"))
+        records = bam(spark, path) if path.endswith(".bam") else sam(spark, path)
+        placed = last_positions(records).select(F.lit("").alias("genome"), "contig", "start", F.col("query").alias("id"))
+    elif kind == "fasta":
+        if elements is None:
+            raise ValueError("a map from FASTA needs elements")
+        places = locate_all(elements, fasta_chunks(spark, path), 0, seed)
+        placed = places.groupBy("genome", "id").agg(F.max(F.struct("contig", "start")).alias("x")).select("genome", "x.contig", "x.start", "id")
     else:
         raise ValueError(f"unknown kind of map: {kind}")
     return consensus(adjacency(unique_ids(placed))).select("src", "dst", F.col("weight").cast("double").alias("weight"))

@@ -97,3 +97,14 @@ def test_line_numbers(spark, tmp_path):
     fields = [x.split("\t") for x in lines]
     at = lambda order, u, c: next(int(f[1]) for f in order if f[3] == u and f[0] == c)
     assert first and all(list(r["starts"]) == [at(fields, r["id"], r["contigs"][0]), at(fields[::-1], r["id"], r["contigs"][1])] for r in first)
+
+
+def test_map_of_an_assembly(spark, tmp_path):
+    text = letters(11, 2000)
+    elements = {"u1": text[100:160], "u2": text[400:470], "u3": text[900:950], "u4": text[1500:1530], "absent": letters(12, 50)}
+    turned = text[860:1000][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    (tmp_path / "a.fa").write_text(f">c1\n{text[:600]}\n{turned}\n{text[1000:1600]}\n>c2\n{text[380:480]}\n{text[90:170]}\n")
+    edges = readers.order_map(spark, str(tmp_path / "a.fa"), "fasta", spark.createDataFrame(list(elements.items()), "id string, seq string"), 12)
+    assert sorted(tuple(r) for r in edges.collect()) == [("u2", "u1", 1.0), ("u3", "u4", 1.0)]  # u1 and u2 count on the last contig
+    with pytest.raises(ValueError):
+        readers.order_map(spark, str(tmp_path / "a.fa"), "fasta")

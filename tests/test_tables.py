@@ -7,6 +7,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinweave import queries as Q
@@ -85,6 +86,22 @@ def test_statistics(spark):
     assert math.isclose(fit["slope1"], 2, abs_tol=1e-9) and math.isclose(fit["slope2"], 0, abs_tol=1e-9) and math.isclose(fit["r2"], 1)
 
 
+def test_p_values(spark):
+    rows = [(t, v) for t in (-3.0, -0.4, 0.0, 0.7, 2.5, 60.0) for v in (1, 2, 5000000)] + [(None, 4)]
+    found = spark.createDataFrame(rows, "t double, v long").select("t", "v", *[stats.p_value(F.col("t"), F.col("v"), a).alias(a) for a in ("greater", "less", "two-sided")]).collect()
+    beyond = {1: lambda t: 0.5 - math.atan(t) / math.pi, 2: lambda t: 0.5 - t / 2 / math.sqrt(2 + t * t), 5000000: lambda t: math.erfc(t / math.sqrt(2)) / 2}
+    for r in found:
+        if r["t"] is None:
+            assert r["two-sided"] is None
+            continue
+        p = beyond[r["v"]](r["t"])
+        assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in ((r["greater"], p), (r["less"], 1 - p), (r["two-sided"], 2 * min(p, 1 - p))))
+    with pytest.raises(ValueError):
+        stats.p_value(F.col("t"), F.col("v"), "other")
+    close = spark.createDataFrame([(float(x), float(-2 * x + x % 3), float(x * 7 % 5)) for x in range(40)], "a double, b double, c double")
+    assert {(r["x"], r["y"]) for r in stats.marked(stats.correlations(close, ["a", "b", "c"])).where("marked").collect()} == {("a", "b")}
+
+
 def test_completeness_without_hits(spark):
     known = spark.createDataFrame([("a",), ("b",)], "id string")
     hits = spark.createDataFrame([], "assembly string, id string, contig string, pos long, score long, mismatches long")
