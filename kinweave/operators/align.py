@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,38 +13,64 @@ from .lineage import cut
 SHARE = 2000
 
 
-def solve(path: list[str], nodes: list[str], before: dict[str, list[str]], match: int, mismatch: int, insertion: int) -> tuple[int, list[str]]:
+class Steps:
+    """The edges of a graph part by node number: predecessors of one node lie side by side, in the order of their names."""
+
+    def __init__(self, edges: list[tuple[str, str]]):
+        self.names = sorted({x for e in edges for x in e})
+        self.number = {x: i for i, x in enumerate(self.names)}
+        ordered = np.array(sorted({(self.number[d], self.number[s]) for s, d in edges}))
+        self.sources = ordered[:, 1]
+        self.nodes, self.begins = np.unique(ordered[:, 0], return_index=True)
+        self.sizes = np.diff([*self.begins, len(ordered)])
+
+    def best(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the best score of its predecessors, 0 without one, and the first that has it, else -1."""
+        at = scores[self.sources]
+        most = np.maximum.reduceat(at, self.begins)
+        first = np.minimum.reduceat(np.where(at == np.repeat(most, self.sizes), np.arange(len(at)), len(at)), self.begins)
+        best, back = np.zeros(len(scores), np.int64), np.full(len(scores), -1)
+        best[self.nodes], back[self.nodes] = most, self.sources[first]
+        return best, back
+
+
+def solve(path: list[str], steps: Steps, match: int, mismatch: int, insertion: int, deletion: int | None = None) -> tuple[int, list[str]]:
     """Best score and the nodes of the best alignment, first to last.
 
     Cell (i, s): match or mismatch of path[i] and s, plus the best predecessor of s in row i - 1 (0 without one), or
-    the cell above plus insertion; the diagonal wins ties, among predecessors the first, among best cells the last row.
+    the cell above plus insertion; with a deletion, also the best cell of s in any row above plus deletion, so that a gap of
+    any length costs once. The step along an edge wins ties, then the insertion; among predecessors the first, among equal
+    rows above the first, among best cells the last row and the first node.
     """
-    rows: list[dict[str, tuple[int, tuple[int, str] | None]]] = []
+    n = len(steps.names)
+    rows, backs = [], []  # a back pointer: row times n plus node, or -1
+    most, most_row = np.full(n, -(1 << 40)), np.zeros(n, np.int64)
     for i, t in enumerate(path):
-        row: dict[str, tuple[int, tuple[int, str] | None]] = {}
-        for s in nodes:
-            own, best, back = match if s == t else mismatch, 0, None
-            if i:
-                above = rows[-1]
-                preds = before.get(s, ())
-                if preds:
-                    best = max(above[p][0] for p in preds)
-                    back = (i - 1, next(p for p in preds if above[p][0] == best))
-                if above[s][0] + insertion > own + best:
-                    row[s] = (above[s][0] + insertion, (i - 1, s))
-                    continue
-            row[s] = (own + best, back)
+        row = np.full(n, mismatch, np.int64)
+        if t in steps.number:
+            row[steps.number[t]] = match
+        back = np.full(n, -1)
+        if i:
+            best, source = steps.best(rows[-1])
+            row += best
+            back = np.where(source >= 0, (i - 1) * n + source, -1)
+            gaps = [(rows[-1] + insertion, np.full(n, i - 1))] + ([] if deletion is None else [(most + deletion, most_row)])
+            for score, at in gaps:
+                better = score > row
+                row, back = np.where(better, score, row), np.where(better, at * n + np.arange(n), back)
+        more = row > most
+        most, most_row = np.where(more, row, most), np.where(more, i, most_row)
         rows.append(row)
-    score, i, s = max(((v, i, s) for i, row in enumerate(rows) for s, (v, _) in row.items()), key=lambda x: (x[0], x[1]))
-    out, at = [], (i, s)
-    while at is not None:
-        if not out or out[-1] != at[1]:
-            out.append(at[1])
-        at = rows[at[0]][at[1]][1]
+        backs.append(back)
+    score, i, s = max(((int(row.max()), i, int(row.argmax())) for i, row in enumerate(rows)), key=lambda x: (x[0], x[1]))
+    out, at = [], i * n + s
+    while at >= 0:
+        out.append(steps.names[at % n])
+        at = int(backs[at // n][at % n])
     return score, list(dict.fromkeys(out[::-1]))
 
 
-def align(paths: DataFrame, edges: DataFrame, members: DataFrame, match: int = 7, mismatch: int = -3, insertion: int = -1) -> DataFrame:
+def align(paths: DataFrame, edges: DataFrame, members: DataFrame, match: int = 7, mismatch: int = -3, insertion: int = -1, deletion: int | None = None) -> DataFrame:
     """(genome, contig, score, path_len, path): the best alignment of each path (genome, contig, path) to edges (src, dst).
 
     members (node, component) are the graph's parts: steps stay within a part, so a path is aligned to each part that
@@ -59,11 +84,10 @@ def align(paths: DataFrame, edges: DataFrame, members: DataFrame, match: int = 7
     parts = parts.join(shares.withColumnRenamed("component", "part"), "part").select("part", "src", "dst", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def run(graph: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        before: dict[str, list[str]] = defaultdict(list)
-        for s, d in sorted(zip(graph["src"], graph["dst"])):
-            before[d].append(s)
-        nodes = sorted({*graph["src"], *graph["dst"]})
-        out = [(g, c, *solve(list(p), nodes, before, match, mismatch, insertion)) for g, c, p in zip(targets["genome"], targets["contig"], targets["path"])]
+        if not len(graph) or not len(targets):
+            return pd.DataFrame({"genome": [], "contig": [], "score": [], "path_len": [], "path": []})
+        steps = Steps(list(zip(graph["src"], graph["dst"])))
+        out = [(g, c, *solve(list(p), steps, match, mismatch, insertion, deletion)) for g, c, p in zip(targets["genome"], targets["contig"], targets["path"])]
         return pd.DataFrame([(g, c, s, len(p), p) for g, c, s, p in out], columns=["genome", "contig", "score", "path_len", "path"])
 
     found = parts.groupBy("part", "share").cogroup(own.groupBy("component", "share")).applyInPandas(run, "genome string, contig string, score long, path_len long, path array<string>")

@@ -671,7 +671,25 @@ def g8_contig_paths(spark, d):
     return synteny.contig_paths(synteny.unique_ids(event_anchors(spark, d))).select("genome", "contig", F.array_join("path", ",").alias("path"))
 
 
-@query()
+ALIGNED = (
+    STRONG
+    + """, paths AS (SELECT genome, contig, list(id ORDER BY start, id) AS p FROM u WHERE n = 1 GROUP BY ALL),
+both_ways AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+near AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT n.a, x.b FROM near n JOIN both_ways x ON x.a = n.b),
+parts AS (SELECT a AS node, min(b) AS part FROM near GROUP BY a),
+own AS (SELECT DISTINCT genome, contig, p, part FROM (SELECT genome, contig, p, unnest(p) AS node FROM paths) JOIN parts USING (node)),
+cells AS (SELECT genome, contig, part, p, 1 AS i, node, CASE WHEN p[1] = node THEN 7 ELSE -3 END AS score, [node] AS way FROM own JOIN parts USING (part)
+  UNION ALL SELECT genome, contig, part, p, i + 1, node, CASE WHEN above > step THEN above ELSE step END, CASE WHEN above > step THEN way_above WHEN way_before IS NULL THEN [node] WHEN list_contains(way_before, node) THEN way_before ELSE list_append(way_before, node) END
+  FROM (SELECT c.genome, c.contig, c.part, c.p, c.i, t.node, CASE WHEN c.p[c.i + 1] = t.node THEN 7 ELSE -3 END + coalesce(max(c.score) FILTER (e.src IS NOT NULL), 0) AS step, arg_min(c.way, (-c.score, c.node)) FILTER (e.src IS NOT NULL) AS way_before,
+    max(c.score) FILTER (c.node = t.node) - 1 AS above, arg_min(c.way, c.node) FILTER (c.node = t.node) AS way_above
+    FROM cells c JOIN parts t ON t.part = c.part LEFT JOIN e ON e.src = c.node AND e.dst = t.node WHERE c.i < len(c.p) GROUP BY c.genome, c.contig, c.part, c.p, c.i, t.node)),
+ends AS (SELECT genome, contig, part, max(score) AS score, arg_min(way, (-score, -i, node)) AS way FROM cells GROUP BY ALL),
+aligned AS (SELECT genome, contig, arg_max({'score': score, 'way': way}, (score, len(way), way)) AS x FROM ends GROUP BY ALL)
+"""
+)
+
+
+@query(ALIGNED + "SELECT genome, contig, CAST(x.score AS BIGINT) AS score, len(x.way) AS path_len, array_to_string(x.way, ',') AS path FROM aligned")
 def g9_g10_alignment(spark, d):
     """Each user's day aligned to the strong part of the consensus."""
     edges = strong_edges(spark, d)
@@ -679,7 +697,11 @@ def g9_g10_alignment(spark, d):
     return found.withColumn("path", F.array_join("path", ","))
 
 
-@query()
+@query(
+    ALIGNED
+    + """, spans AS (SELECT a.genome, CAST(a.x.score AS BIGINT) AS score, len(a.x.way) AS path_len FROM aligned a JOIN u f ON f.n = 1 AND f.genome = a.genome AND f.id = a.x.way[1] JOIN u l ON l.n = 1 AND l.genome = a.genome AND l.id = a.x.way[-1] WHERE f.contig = l.contig)
+SELECT genome, count(*) AS n_blocks, avg(path_len) AS path_len_mean, median(path_len) AS path_len_median, min(path_len) AS path_len_min, max(path_len) AS path_len_max, avg(score) AS score_mean, median(score) AS score_median, min(score) AS score_min, max(score) AS score_max FROM spans GROUP BY genome"""
+)
 def g11_a11_block_summary(spark, d):
     """Summary of the spans of all users' days."""
     edges = strong_edges(spark, d)

@@ -124,7 +124,7 @@ def test_intact_blocks(spark):
     assert {tuple(r) for r in out.collect()} == {("g", 1, 0), ("h", 0, 1)}
 
 
-def brute(path, nodes, before):
+def brute(path, nodes, before, deletion=None):
     """Best score over all ways to walk the graph along a path, by plain recursion."""
 
     def cell(i, s):
@@ -132,7 +132,8 @@ def brute(path, nodes, before):
         if i == 0:
             return own
         best = max((cell(i - 1, p) for p in before.get(s, ())), default=0)
-        return max(own + best, cell(i - 1, s) - 1)
+        gaps = [] if deletion is None else [cell(j, s) + deletion for j in range(i)]
+        return max(own + best, cell(i - 1, s) - 1, *gaps)
 
     return max(cell(i, s) for i in range(len(path)) for s in nodes)
 
@@ -154,6 +155,20 @@ def test_alignment(spark):
     assert [(r["start"], r["end"], r["score"]) for r in spans.collect()] == [(0, 34, 21)] and summary.first()["n_blocks"] == 1
 
 
+@pytest.mark.parametrize("deletion", [None, -4, -1])
+def test_alignment_with_gaps_of_any_length(spark, deletion):
+    edges = [("1", "3"), ("1", "2"), ("3", "6"), ("6", "5"), ("5", "3"), ("3", "4"), ("4", "8"), ("2", "4")]  # has a cycle
+    before = {d: sorted(s for s, e in edges if e == d) for _, d in edges}
+    draw = random.Random(5)
+    paths = [list("1348"), list("124"), list("13653"), list("1x3y48"), list("8"), *[draw.choices("1234568xyz", k=7) for _ in range(12)], list("1xyxyx24")]
+    rows = spark.createDataFrame([("g", str(i), p) for i, p in enumerate(paths)], "genome string, contig string, path array<string>")
+    graph_df = spark.createDataFrame(edges, "src string, dst string")
+    found = {int(r["contig"]): r for r in align.align(rows, graph_df, graph.connected(graph_df), deletion=deletion).collect()}
+    for i, p in enumerate(paths):
+        assert found[i]["score"] == brute(p, list("1234568"), before, deletion)
+    assert found[0]["path"] == list("1348") and found[0]["score"] == 28
+
+
 def test_alignment_in_shares(spark, monkeypatch, tmp_path):
     solve, log = align.solve, str(tmp_path / "sizes")
 
