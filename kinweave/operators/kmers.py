@@ -13,6 +13,9 @@ from .lineage import cut
 #: Characters of a block; blocks overlap by k - 1, so that no long sequence is scanned from its start for each k-mer.
 BLOCK = 256
 
+#: Core k-mers that are broadcast at most.
+FEW = 500_000
+
 #: Genomes whose presence one number holds.
 BITS = 63
 
@@ -135,8 +138,10 @@ def core_kmers(found: DataFrame, min_support: int, genomes: list[str] | None = N
 
 
 def core_hits(found: DataFrame, core: DataFrame) -> DataFrame:
-    """Places of core k-mers."""
-    return found.join(core.select("kmer"), "kmer", "left_semi").select(found.columns)
+    """Places of core k-mers, which are counted first: up to FEW are broadcast, so that places are left out where they are
+    made and none is shuffled; more are joined by shuffle, with the same rows."""
+    core = cut(core.select("kmer"))
+    return found.join(F.broadcast(core) if core.count() <= FEW else core, "kmer", "left_semi").select(found.columns)
 
 
 def within_limit(hits: DataFrame, limit: int) -> DataFrame:

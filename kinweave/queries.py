@@ -59,8 +59,8 @@ hits AS (SELECT f.* FROM f JOIN core USING (kmer))
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "documents")
-    spread = rows.select("source", "doc_id", "text").repartition(max(8, spark.sparkContext.defaultParallelism)) if rows.rdd.getNumPartitions() < 2 else rows
+    # texts of few row groups are few tasks; spreading them costs a small part of what their k-mers cost
+    spread = _table(spark, d, "documents").select("source", "doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return spread.select(F.col("source").alias("genome"), F.col("doc_id").cast("string").alias("contig"), S.dna(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
