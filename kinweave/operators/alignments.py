@@ -53,3 +53,9 @@ def shared_exact(a: DataFrame, b: DataFrame) -> DataFrame:
     """Queries that have a record without mismatch in both."""
     exact = lambda x: within_mismatches(x.where(~has_flag(UNMAPPED)), 0).select("query")
     return exact(a).intersect(exact(b))
+
+
+def best_by_place(hits: DataFrame) -> DataFrame:
+    """(assembly, contig, pos, id, mismatches): at each place the hit of fewest mismatches, then of the smallest id."""
+    best = F.min(F.struct("mismatches", "id")).alias("x")
+    return hits.groupBy("assembly", "contig", "pos").agg(best).select("assembly", "contig", "pos", "x.id", "x.mismatches")

@@ -49,6 +49,17 @@ def best_per_element(hits: DataFrame) -> DataFrame:
     return hits.groupBy("assembly", "id").agg(best.alias("x")).select("assembly", "id", "x.*")
 
 
+def validated(known: DataFrame, found: DataFrame, genomes: DataFrame, least: float) -> DataFrame:
+    """(genome, valid, failed, lowest): how many known elements have a place (id, genome, homology) of at least so much
+    homology in each of genomes (genome), how many have none, and the lowest of the best homologies of those that have any."""
+    total = known.select("id").distinct().agg(F.count(F.lit(1)).alias("total"))
+    best = found.join(known.select("id").distinct(), "id", "left_semi").groupBy("genome", "id").agg(F.max("homology").alias("best"))
+    counts = best.groupBy("genome").agg(F.count_if(F.col("best") >= least).alias("valid"), F.min("best").alias("lowest"))
+    each = genomes.select("genome").distinct().join(counts, "genome", "left").join(F.broadcast(total))  # one row
+    valid = F.coalesce("valid", F.lit(0).cast("long"))
+    return each.select("genome", valid.alias("valid"), (F.col("total") - valid).alias("failed"), "lowest")
+
+
 def completeness(known: DataFrame, hits: DataFrame) -> DataFrame:
     """For each assembly: known elements hit, hit exactly and missing, and how their mismatches and scores are spread."""
     best = best_per_element(hits.join(known.select("id").distinct(), "id", "left_semi"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
+def nodes(edges: DataFrame) -> DataFrame:
+    """(id) of all ends of edges (src, dst)."""
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (src, dst): the smallest node that is reachable in either direction."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
@@ -88,6 +93,7 @@ def transitive_reduction(edges: DataFrame, by: list[str], transitive: bool = Fal
     With transitive (every path has its edge, as when all genomes must agree), a path of two edges decides; else an edge
     and a way of any length.
     """
+    edges = cut(edges)  # read three times
     first = edges.select(*by, "src", F.col("dst").alias("mid"))
     second = (edges if transitive else reachable(edges, by)).select(*by, F.col("src").alias("mid"), "dst")
     return edges.join(first.join(second, [*by, "mid"]).select(*by, "src", "dst").distinct(), [*by, "src", "dst"], "left_anti")
@@ -98,6 +104,7 @@ def source_to_sink_paths(edges: DataFrame, by: list[str], min_length: int = 1, l
 
     Paths grow by one edge a round as rows; a graph with paths of more than longest nodes raises.
     """
+    edges = cut(edges.select(*by, "src", "dst"))  # read in each round
     inner = edges.select(*by, F.col("dst").alias("src")).distinct()
     now = edges.join(inner, [*by, "src"], "left_anti").select(*by, F.array("src").alias("path")).distinct()
     step = edges.select(*by, F.col("src").alias("at"), "dst")
@@ -169,3 +176,13 @@ def pair_scores(adjacent: DataFrame, paths: DataFrame) -> DataFrame:
     at = adjacent.join(paths, ["src", "dst"], "left").groupBy("genome")
     return at.agg(F.count(F.lit(1)).alias("total"), F.count("score").alias("valid"), F.sum("score").alias("score"), F.avg("avg_weight").alias("avg_consensus"))
 
+
+def pair_scores_by_gap(adjacent: DataFrame, paths: DataFrame, gaps: list[int]) -> DataFrame:
+    """(genome, max_gap, total, valid, score) for each of gaps, from paths (src, dst, n_nodes, score) up to the widest of them.
+
+    A pair counts for a gap whose paths of gap + 2 nodes reach it, so one search and one aggregation serve all gaps.
+    """
+    of = lambda g: F.when(F.col("n_nodes") <= g + 2, F.col("score"))
+    each = F.array(*[F.struct(F.lit(g).alias("max_gap"), F.count(of(g)).alias("valid"), F.sum(of(g)).alias("score")) for g in gaps])
+    at = adjacent.join(paths, ["src", "dst"], "left").groupBy("genome").agg(F.count(F.lit(1)).alias("total"), each.alias("each"))
+    return at.select("genome", "total", F.inline("each")).select("genome", "max_gap", "total", "valid", "score")

@@ -127,3 +127,10 @@ def closest_group(df: DataFrame, name: str, value: str, size: int) -> DataFrame:
 def steps(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with length: how far the next value within by lies; null for the last."""
     return df.withColumn("length", F.lead(value).over(Window.partitionBy(*by).orderBy(value)) - F.col(value))
+
+
+def inliers(rows: DataFrame, x: str, by: list[str], most: float = 3) -> DataFrame:
+    """Rows whose x lies less than so many deviations from the mean of its group; groups of one value or row have none."""
+    group = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"))
+    z = (F.col(x) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))
+    return rows.join(group, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).where(F.abs(z) < most).select(rows.columns)

@@ -12,10 +12,11 @@ def unique_ids(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def adjacency(anchors: DataFrame) -> DataFrame:
-    """(genome, contig, src, dst, dist) of neighbours on a contig, by start and then id."""
+def adjacency(anchors: DataFrame, places: bool = False) -> DataFrame:
+    """(genome, contig, src, dst, dist) of neighbours on a contig, by start and then id; with places, also where both start."""
     w = Window.partitionBy("genome", "contig").orderBy("start", "id")
-    nexts = anchors.select("genome", "contig", F.col("id").alias("src"), F.lead("id").over(w).alias("dst"), (F.lead("start").over(w) - F.col("start")).alias("dist"))
+    at = [F.col("start").alias("src_start"), F.lead("start").over(w).alias("dst_start")] if places else []
+    nexts = anchors.select("genome", "contig", F.col("id").alias("src"), F.lead("id").over(w).alias("dst"), (F.lead("start").over(w) - F.col("start")).alias("dist"), *at)
     return nexts.where("dst IS NOT NULL")
 
 
@@ -58,6 +59,22 @@ def order_support(combinations: DataFrame, min_genomes: int) -> DataFrame:
     return pairs.select("contigs", "src", "dst", F.size("ahead").alias("support"), mean.alias("dist"))
 
 
+def in_blocks(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Anchors of ids that some block (path) holds."""
+    return anchors.join(blocks.select(F.explode("path").alias("id")).distinct(), "id", "left_semi").select(anchors.columns)
+
+
+def block_ends(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(genome, contig, block, start, end): contigs that hold the first and the last id of a block (block, path), and where.
+
+    Of several places of an id on a contig the first counts; the end may lie before the start.
+    """
+    at = anchors.groupBy("genome", "contig", "id").agg(F.min("start").alias("at"))
+    ends = blocks.select("block", F.element_at("path", 1).alias("id"), F.element_at("path", -1).alias("last"))
+    first = ends.join(at, "id").select("genome", "contig", "block", F.col("at").alias("start"), F.col("last").alias("id"))
+    return first.join(at, ["genome", "contig", "id"]).select("genome", "contig", "block", "start", F.col("at").alias("end"))
+
+
 def support_map(pairs: DataFrame) -> DataFrame:
     """Distinct edges over all combinations, each of score 1."""
     return pairs.select("src", "dst").distinct().withColumn("score", F.lit(1))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.align import align, block_spans
-from ..operators.assess import block_summary, contiguity
+from ..operators.assess import best_per_element, block_summary, contiguity
 from ..operators.graph import bounded_paths, connected, disjoint_cover, intact_blocks, pair_scores, reduce_until_acyclic, source_to_sink_paths, transitive_reduction
-from ..operators.synteny import adjacency, consensus, contig_combinations, contig_paths, order_support, unique_ids
+from ..operators.synteny import adjacency, consensus, contig_combinations, contig_paths, in_blocks, order_support, unique_ids
 
 
 def consensus_map(anchors: DataFrame) -> DataFrame:
@@ -44,10 +44,40 @@ def assembly_blocks(anchors: DataFrame, edges: DataFrame, match: int = 7, mismat
 
 
 def assembly_contiguity(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(genome, valid, invalid) blocks (block, path) of each assembly; only ids of blocks are looked at."""
-    wanted = anchors.join(blocks.select(F.explode("path").alias("id")).distinct(), "id", "left_semi")
-    names = anchors.select("genome").distinct()
-    keyed = blocks.join(names).select(F.concat_ws("\t", "genome", "block").alias("block"), F.transform("path", lambda x: F.concat_ws("\t", F.col("genome"), x)).alias("path"))
+    """(genome, valid, invalid) blocks (block, path) of each assembly; only ids of blocks are looked at.
+
+    A block meets the assemblies that hold its first id; in all others it is invalid, which is counted, not listed.
+    """
+    wanted = in_blocks(anchors, blocks)
+    held = wanted.select("genome", "id").distinct()
+    met = blocks.withColumn("id", F.element_at("path", 1)).join(held, "id")
+    keyed = met.select(F.concat_ws("\t", "genome", "block").alias("block"), F.transform("path", lambda x: F.concat_ws("\t", F.col("genome"), x)).alias("path"))
     at = wanted.select(F.concat_ws("\t", "genome", "id").alias("id"), "contig", "start")
-    checked = intact_blocks(keyed, at)
-    return contiguity(checked.select(F.substring_index("block", "\t", 1).alias("genome"), "valid"))
+    checked = contiguity(intact_blocks(keyed, at).select(F.substring_index("block", "\t", 1).alias("genome"), "valid"))
+    total = blocks.agg(F.count(F.lit(1)).alias("total"))  # one row
+    counted = anchors.select("genome").distinct().join(checked.select("genome", "valid"), "genome", "left").join(F.broadcast(total))
+    valid = F.coalesce("valid", F.lit(0).cast("long"))
+    return counted.select("genome", valid.alias("valid"), (F.col("total") - valid).alias("invalid"))
+
+
+def element_report(known: DataFrame, hits: DataFrame) -> DataFrame:
+    """(assembly, id, mismatches, score, is_exact): the best hit of each known element, behind the counts of completeness."""
+    best = best_per_element(hits.join(known.select("id").distinct(), "id", "left_semi"))
+    return best.select("assembly", "id", "mismatches", "score", (F.col("mismatches") == 0).alias("is_exact"))
+
+
+def pair_report(anchors: DataFrame, edges: DataFrame, max_gap: int = 3) -> DataFrame:
+    """(genome, contig, src, src_start, dst, dst_start, n_nodes, min_weight, avg_weight, score) of the neighbours that the
+    consensus map joins, behind the counts of pair_summary."""
+    near = adjacency(unique_ids(anchors), places=True)
+    found = near.join(bounded_paths(near, edges, max_gap), ["src", "dst"])
+    return found.select("genome", "contig", "src", "src_start", "dst", "dst_start", "n_nodes", "min_weight", "avg_weight", "score")
+
+
+def pair_summary(anchors: DataFrame, edges: DataFrame, max_gap: int = 3) -> DataFrame:
+    """assembly_pairs of all assemblies, also of those without neighbours, with how many ids occur once and more often."""
+    times = anchors.groupBy("genome", "id").agg(F.count(F.lit(1)).alias("n"))
+    ids = times.groupBy("genome").agg(F.count_if(F.col("n") == 1).alias("unique_ids"), F.count_if(F.col("n") > 1).alias("repeated_ids"))
+    scored = ids.join(assembly_pairs(anchors, edges, max_gap), "genome", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return scored.select("genome", none("total"), none("valid"), "score", "avg_consensus", "unique_ids", "repeated_ids")

@@ -124,6 +124,11 @@ def w1_regions(spark, d):
     return regions.candidate_regions(hits(spark, d), K, 4, 24)
 
 
+@query(ISLANDS + "SELECT genome, contig || '_' || lpad(CAST(row_number() OVER w - 1 AS VARCHAR), CAST(length(CAST(count(*) OVER (PARTITION BY genome, contig) AS VARCHAR)) AS INTEGER), '0') AS id, first_pos, last_pos FROM regions WINDOW w AS (PARTITION BY genome, contig ORDER BY first_pos)")
+def c15_region_ids(spark, d):
+    return regions.region_ids(w1_regions(spark, d)).select("genome", "id", "first_pos", "last_pos")
+
+
 @query(
     HITS
     + f""", marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY genome, contig ORDER BY pos) > {K} THEN 1 ELSE 0 END AS new FROM hits),
@@ -288,7 +293,7 @@ def j2_benchmark_places(spark, d):
     return found.groupBy("id", "genome", "contig").agg(F.min("start").cast("long").alias("start"))
 
 
-@query(
+MISMATCHED = (
     """WITH s AS (SELECT source AS genome, CAST(doc_id AS VARCHAR) AS contig, text FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS id, text AS q FROM benchmark WHERE length(text) > 0),
 both_strands AS (SELECT id, '+' AS strand, q FROM b UNION ALL SELECT id, '-', reverse(translate(q, 'ACGT', 'TGCA')) FROM b),
@@ -296,8 +301,11 @@ seeds AS (SELECT id, strand, q, CAST(part * (length(q) // 4) AS BIGINT) AS off,
 w AS (SELECT genome, contig, text, unnest(range(length(text) - 15)) AS pos FROM s WHERE length(text) >= 16),
 d AS (SELECT DISTINCT id, strand, q, genome, contig, text, pos - off AS start FROM w JOIN seeds ON substring(text, pos + 1, 16) = kmer WHERE pos >= off AND pos - off + length(q) <= length(text)),
 m AS (SELECT *, (SELECT count(*) FROM range(length(q)) r(i) WHERE substring(q, i + 1, 1) <> substring(text, start + i + 1, 1)) AS mismatches FROM d)
-SELECT id, genome, contig, start, start + length(q) AS "end", strand, mismatches FROM m WHERE mismatches <= 3"""
+"""
 )
+
+
+@query(MISMATCHED + 'SELECT id, genome, contig, start, start + length(q) AS "end", strand, mismatches FROM m WHERE mismatches <= 3')
 def j3_benchmark_mismatches(spark, d):
     """Places of benchmark texts with at most three mismatches, either strand."""
     docs = _table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("genome"), F.col("doc_id").cast("string").alias("contig"), F.col("text").alias("seq"))
@@ -305,6 +313,19 @@ def j3_benchmark_mismatches(spark, d):
     return rounded(locate.locate_all(known, docs, 3, seed=24))
 
 
+@query(
+    MISMATCHED
+    + """, best AS (SELECT genome, id, max((length(q) - mismatches) / length(q)) AS best FROM m WHERE mismatches <= 3 GROUP BY genome, id)
+SELECT genome, count(*) FILTER (best >= 0.98) AS valid, (SELECT count(*) FROM b) - count(*) FILTER (best >= 0.98) AS failed, round(min(best), 6) AS lowest FROM (SELECT DISTINCT genome FROM s) LEFT JOIN best USING (genome) GROUP BY genome"""
+)
+def n_validated_elements(spark, d):
+    """How many benchmark texts have a place of homology 0.98 in the documents of a source."""
+    known = _table(spark, d, "benchmark").where("length(text) > 0").select(F.col("item_id").cast("string").alias("id"))
+    length = F.col("end") - F.col("start")
+    found = j3_benchmark_mismatches(spark, d).withColumn("homology", (length - F.col("mismatches")) / length)
+    return rounded(assess.validated(known, found, _table(spark, d, "documents").select(F.col("source").alias("genome")), 0.98))
+
+
 @query(
     """WITH s AS (SELECT source AS genome, CAST(doc_id AS VARCHAR) AS contig, text FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS id, text AS q FROM benchmark WHERE length(text) > 2),
@@ -436,6 +457,37 @@ def a10_completeness(spark, d):
     return rounded(assess.completeness(known_ids(spark, d), element_hits(spark, d)))
 
 
+@query(
+    HIT
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY assembly, id ORDER BY mismatches, contig, pos, score) AS k FROM h WHERE id IN (SELECT 'u' || p_partkey FROM part))
+SELECT assembly, id, mismatches, score, mismatches = 0 AS is_exact FROM ranked WHERE k = 1"""
+)
+def k7_element_report(spark, d):
+    return order.element_report(known_ids(spark, d), element_hits(spark, d))
+
+
+@query(HIT + "SELECT assembly, contig, pos, arg_min(id, (mismatches, id)) AS id, min(mismatches) AS mismatches FROM h GROUP BY assembly, contig, pos")
+def n_best_by_place(spark, d):
+    return alignments.best_by_place(element_hits(spark, d))
+
+
+@query(HIT + "SELECT assembly, id, contig, pos, round(100 * (32 - mismatches) / 32, 6) AS identity, round(log10(score), 6) AS log_score, round(ln(score), 6) AS ln_score, CAST(floor(score / 1000) AS BIGINT) AS step, mismatches = 0 AS is_exact, CASE assembly WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS kind FROM h WHERE regexp_matches(contig, '^chr[1-6]$') AND assembly IN ('F', 'O') AND score IS NOT NULL")
+def c24_f16_derived(spark, d):
+    """Derived columns of the hits on contigs whose names match."""
+    rows = element_hits(spark, d).where(F.col("contig").rlike("^chr[1-6]$") & F.col("assembly").isin("F", "O") & F.col("score").isNotNull())
+    kinds = F.create_map(F.lit("F"), F.lit("finished"), F.lit("O"), F.lit("open"))
+    out = rows.select("assembly", "id", "contig", "pos", (100 * (32 - F.col("mismatches")) / 32).alias("identity"), F.log10("score").alias("log_score"), F.ln("score").alias("ln_score"), F.floor(F.col("score") / 1000).alias("step"), (F.col("mismatches") == 0).alias("is_exact"), kinds[F.col("assembly")].alias("kind"))
+    return rounded(out)
+
+
+@query("WITH g AS (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, count(*) AS n, round(max(l_extendedprice), 4) AS most FROM lineitem JOIN g USING (l_returnflag, l_linestatus) WHERE abs((l_extendedprice - m) / sd) < 2 GROUP BY ALL")
+def f16_inliers(spark, d):
+    """Line items whose price is less than two deviations from their group's mean."""
+    by = ["l_returnflag", "l_linestatus"]
+    rows = stats.inliers(_table(spark, d, "lineitem").select(*by, "l_extendedprice"), "l_extendedprice", by, 2)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("l_extendedprice"), 4).alias("most"))
+
+
 @query(HIT + "SELECT 'u' || p_partkey AS id FROM part EXCEPT SELECT id FROM h WHERE mismatches = 0 AND assembly = 'F'")
 def j11_missing(spark, d):
     return assess.missing(known_ids(spark, d), element_hits(spark, d).where("mismatches = 0 AND assembly = 'F'"))
@@ -606,6 +658,40 @@ def g7_f15_intact_blocks(spark, d):
     return graph.intact_blocks(blocks, at)
 
 
+@query(PATHS + "SELECT genome, contig, id, start FROM anchors WHERE id IN (SELECT unnest(path) FROM paths WHERE len(path) >= 2)")
+def f15_in_blocks(spark, d):
+    """Anchors that some block refers to."""
+    return synteny.in_blocks(by_status(spark, d), graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2))
+
+
+def named_blocks(spark: SparkSession, d: str) -> DataFrame:
+    paths = graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2).select("path").distinct()
+    return paths.select(F.array_join("path", ",").alias("block"), "path")
+
+
+@query(
+    PATHS
+    + """, b AS (SELECT DISTINCT array_to_string(path, ',') AS block, path FROM paths WHERE len(path) >= 2)
+SELECT f.genome, f.contig, b.block, f.start, l.start AS "end" FROM b JOIN anchors f ON f.id = b.path[1] JOIN anchors l ON l.id = b.path[-1] AND l.genome = f.genome AND l.contig = f.contig"""
+)
+def n_block_ends(spark, d):
+    """Where blocks begin and end on the contigs that hold both ends."""
+    return synteny.block_ends(named_blocks(spark, d), by_status(spark, d))
+
+
+@query(
+    PATHS
+    + """, b AS (SELECT DISTINCT array_to_string(path, ',') AS block, path FROM paths WHERE len(path) >= 2),
+step AS (SELECT b.block, a.genome, a.contig, 1 AS i, min(a.start) AS last FROM b JOIN anchors a ON a.id = b.path[1] GROUP BY ALL
+  UNION SELECT s.block, s.genome, s.contig, s.i + 1, (SELECT min(a.start) FROM anchors a WHERE a.genome = s.genome AND a.contig = s.contig AND a.id = b.path[s.i + 1] AND a.start > s.last) FROM step s JOIN b ON b.block = s.block WHERE s.i < len(b.path) AND s.last IS NOT NULL),
+good AS (SELECT DISTINCT s.genome, s.block FROM step s JOIN b ON b.block = s.block WHERE s.i = len(b.path) AND s.last IS NOT NULL)
+SELECT g.genome, count(good.block) AS valid, (SELECT count(*) FROM b) - count(good.block) AS invalid FROM (SELECT DISTINCT genome FROM anchors) g LEFT JOIN good USING (genome) GROUP BY g.genome"""
+)
+def k10_contiguity(spark, d):
+    """How many blocks each genome holds in their order."""
+    return order.assembly_contiguity(named_blocks(spark, d), by_status(spark, d))
+
+
 EVENTS = """
 WITH anchors AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS genome, 'day' AS contig, event_type AS id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS start FROM events),
 u AS (SELECT *, count(*) OVER (PARTITION BY genome, id) AS n FROM anchors),
@@ -666,6 +752,44 @@ def a12_w4_pair_scores(spark, d):
     return out.select("genome", "total", "valid", F.round("score", 6).alias("score"), F.round("avg_consensus", 4).alias("avg_consensus"))
 
 
+@query(EVENTS + "SELECT src AS id FROM con UNION SELECT dst FROM con")
+def u3_nodes(spark, d):
+    return graph.nodes(synteny.consensus(event_adjacency(spark, d)))
+
+
+@query(
+    STRONG
+    + """, placed AS (SELECT genome, contig, id AS src, start AS src_start, lead(id) OVER w AS dst, lead(start) OVER w AS dst_start FROM u WHERE n = 1 WINDOW w AS (PARTITION BY genome, contig ORDER BY start, id))
+SELECT genome, contig, src, src_start, dst, dst_start, n_nodes, min_weight, avg_weight, score FROM placed JOIN g USING (src, dst)"""
+)
+def k8_pair_report(spark, d):
+    """Neighbouring events of a user's day that the strong part of the consensus joins."""
+    return rounded(order.pair_report(event_anchors(spark, d), strong_edges(spark, d)))
+
+
+@query(
+    STRONG
+    + """, ids AS (SELECT genome, count(DISTINCT id) FILTER (n = 1) AS unique_ids, count(DISTINCT id) FILTER (n > 1) AS repeated_ids FROM u GROUP BY genome),
+scored AS (SELECT genome, count(*) AS total, count(score) AS valid, sum(score) AS score, avg(avg_weight) AS avg_consensus FROM adj LEFT JOIN g USING (src, dst) WHERE dst IS NOT NULL GROUP BY genome)
+SELECT genome, coalesce(total, 0) AS total, coalesce(valid, 0) AS valid, round(score, 4) AS score, round(avg_consensus, 4) AS avg_consensus, unique_ids, repeated_ids FROM ids LEFT JOIN scored USING (genome)"""
+)
+def k8_pair_summary(spark, d):
+    """Pairs of each user's day in the consensus, with how many of its events are of unique types."""
+    return rounded(order.pair_summary(event_anchors(spark, d), strong_edges(spark, d)), 4)
+
+
+@query(
+    STRONG
+    + """, users AS (SELECT split_part(genome, '/', 1) AS genome, src, dst FROM adj WHERE dst IS NOT NULL)
+SELECT genome, max_gap, count(*) AS total, count(score) FILTER (n_nodes <= max_gap + 2) AS valid, round(sum(score) FILTER (n_nodes <= max_gap + 2), 3) AS score FROM users LEFT JOIN g USING (src, dst), (SELECT unnest(range(4)) AS max_gap) GROUP BY genome, max_gap"""
+)
+def n_pair_sweep(spark, d):
+    """Pairs of each user in the consensus for every gap from 0 to 3."""
+    near = event_adjacency(spark, d).withColumn("genome", F.substring_index("genome", "/", 1))
+    paths = graph.bounded_paths(near, strong_edges(spark, d), 3).select("src", "dst", "n_nodes", "score")
+    return rounded(graph.pair_scores_by_gap(near, paths, [0, 1, 2, 3]), 3)
+
+
 @query(EVENTS + "SELECT genome, contig, string_agg(id, ',' ORDER BY start, id) AS path FROM u WHERE n = 1 GROUP BY ALL")
 def g8_contig_paths(spark, d):
     return synteny.contig_paths(synteny.unique_ids(event_anchors(spark, d))).select("genome", "contig", F.array_join("path", ",").alias("path"))
@@ -950,13 +1074,13 @@ def p3_concat(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT l_partkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'R' GROUP BY 1)
+    """WITH a AS (SELECT l_partkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, a.q AS q_x, b.q AS q_y FROM a FULL JOIN b ON a.k = b.k"""
 )
 def j12_outer_merge(spark, d):
     line = _table(spark, d, "lineitem")
-    side = lambda s, r, n: line.where((F.col("l_linestatus") == s) & (F.col("l_returnflag") == r)).groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias(n))
-    return side("F", "A", "q_x").join(side("O", "R", "q_y"), "k", "full_outer")
+    side = lambda s, n: line.where(F.col("l_linestatus") == s).groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias(n))
+    return side("F", "q_x").join(side("O", "q_y"), "k", "full_outer")
 
 
 @query(

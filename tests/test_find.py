@@ -334,3 +334,18 @@ def test_parameters():
     assert p.gap == 10 and p.min_support(5) == 3 and p.references(list("edcba")) == ["a", "b", "c"] and p.allowed_mismatches(100) == 10
     with pytest.raises(ValueError):
         Params(min_length=0)
+
+
+def test_places_of_many_and_few_core_kmers(spark, monkeypatch):
+    """Broadcast or shuffled, the places of core k-mers are the same."""
+    found = kmers.numbered_kmers(frame(spark, SMALL), 8)
+    core = kmers.core_kmers(found, 2, list(SMALL))
+    few = sorted(map(tuple, kmers.core_hits(found, core).collect()))
+    monkeypatch.setattr(kmers, "FEW", 0)
+    assert few and sorted(map(tuple, kmers.core_hits(found, core).collect())) == few
+
+
+def test_region_ids(spark):
+    rows = [("g", "c", i, 10 * i) for i in range(11)] + [("g", "d", 0, 5)]
+    got = {r["id"] for r in regions.region_ids(spark.createDataFrame(rows, "genome string, contig string, island long, first_pos long")).collect()}
+    assert got == {f"c_{i:02}" for i in range(11)} | {"d_0"}

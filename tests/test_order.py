@@ -124,6 +124,25 @@ def test_intact_blocks(spark):
     assert {tuple(r) for r in out.collect()} == {("g", 1, 0), ("h", 0, 1)}
 
 
+def test_contiguity_counts_every_assembly(spark):
+    blocks = spark.createDataFrame([("x", ["a", "b"]), ("y", ["b", "q"])], "block string, path array<string>")
+    rows = [("g", "1", 5, "a"), ("g", "1", 7, "b"), ("h", "1", 9, "b"), ("h", "2", 12, "q"), ("i", "1", 1, "z"), ("j", "1", 1, "b"), ("j", "1", 3, "q")]
+    assert {tuple(r) for r in order.assembly_contiguity(blocks, anchors(spark, rows)).collect()} == {("g", 1, 1), ("h", 0, 2), ("i", 0, 2), ("j", 1, 1)}
+    assert {tuple(r) for r in synteny.block_ends(blocks, anchors(spark, rows + [("g", "1", 2, "b")])).collect()} == {("g", "1", "x", 5, 2), ("j", "1", "y", 1, 3)}
+    assert {r["id"] for r in synteny.in_blocks(anchors(spark, rows), blocks).collect()} == {"a", "b", "q"}
+
+
+def test_pair_reports(spark):
+    rows = [("g", "1", 1, "a"), ("g", "1", 4, "b"), ("g", "2", 2, "c"), ("h", "1", 1, "a"), ("h", "1", 2, "a"), ("h", "1", 9, "c"), ("i", "1", 1, "a"), ("i", "1", 3, "c")]
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "c", 1)], "src string, dst string, weight long")
+    found = {tuple(r) for r in order.pair_report(anchors(spark, rows), edges, 1).collect()}
+    assert found == {("g", "1", "a", 1, "b", 4, 2, 3.0, 3.0, 1.5), ("i", "1", "a", 1, "c", 3, 3, 1.0, 2.0, 1 / 3)}
+    assert {tuple(r)[:4] + tuple(r)[5:] for r in order.pair_summary(anchors(spark, rows), edges, 1).collect()} == {("g", 1, 1, 1.5, 3, 0), ("h", 0, 0, None, 1, 1), ("i", 1, 1, 1 / 3, 2, 0)}
+    near = synteny.adjacency(synteny.unique_ids(anchors(spark, rows)))
+    swept = graph.pair_scores_by_gap(near, graph.bounded_paths(near, edges, 1), [0, 1])
+    assert {tuple(r) for r in swept.collect()} == {("g", 0, 1, 1, 1.5), ("g", 1, 1, 1, 1.5), ("i", 0, 1, 0, None), ("i", 1, 1, 1, 1 / 3)}
+
+
 def brute(path, nodes, before, deletion=None):
     """Best score over all ways to walk the graph along a path, by plain recursion."""
 

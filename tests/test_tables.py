@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from kinweave import queries as Q
 from kinweave.operators import alignments, assess, compare, stats
+from kinweave.plans import order
 from kinweave.sources import readers, writers
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -102,6 +103,36 @@ def test_p_values(spark):
     assert {(r["x"], r["y"]) for r in stats.marked(stats.correlations(close, ["a", "b", "c"])).where("marked").collect()} == {("a", "b")}
 
 
+def test_inliers(spark):
+    rows = [("a", float(x)) for x in [1] * 20 + [99]] + [(None, 5.0), (None, 6.0), (None, 7.0), ("b", 3.0)]
+    left = stats.inliers(spark.createDataFrame(rows, "g string, x double"), "x", ["g"], 1.5).collect()
+    assert sorted(r["x"] for r in left if r["g"] == "a") == [1.0] * 20 and sorted(r["x"] for r in left if r["g"] is None) == [5.0, 6.0, 7.0]
+    assert not [r for r in left if r["g"] == "b"]
+
+
+def test_validated(spark):
+    known = spark.createDataFrame([("u",), ("v",), ("u",)], "id string")
+    found = spark.createDataFrame([("u", "g", 0.9), ("u", "g", 1.0), ("v", "g", 0.8), ("w", "h", 1.0)], "id string, genome string, homology double")
+    genomes = spark.createDataFrame([("g",), ("h",)], "genome string")
+    assert {tuple(r) for r in assess.validated(known, found, genomes, 0.95).collect()} == {("g", 1, 1, 0.8), ("h", 0, 2, None)}
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "u", 1), ("f", "v", None), ("o", "u", 3)], "assembly string, id string, n long")
+    writers.report_by(rows, "assembly", str(tmp_path / "hits"))
+    assert {tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "hits")).select("assembly", "id", "n").collect()} == {("f", "u", "1"), ("f", "v", None), ("o", "u", "3")}
+    assert len(list((tmp_path / "hits/assembly=f").glob("*.csv"))) == 1
+    writers.readable(rows.where("id = 'v'"), str(tmp_path / "text"))
+    assert "".join(p.read_text() for p in (tmp_path / "text").glob("part*")) == "assembly\tf\nid\tv\nn\t\n\n"
+
+
+def test_best_by_place_and_element_report(spark):
+    hits = spark.createDataFrame([("f", "u", "c", 1, 9, 2), ("f", "v", "c", 1, 8, 0), ("f", "t", "c", 1, 7, 0), ("f", "u", "c", 4, 5, 0)], "assembly string, id string, contig string, pos long, score long, mismatches long")
+    assert {tuple(r) for r in alignments.best_by_place(hits).collect()} == {("f", "c", 1, "t", 0), ("f", "c", 4, "u", 0)}
+    known = spark.createDataFrame([("u",), ("q",)], "id string")
+    assert [tuple(r) for r in order.element_report(known, hits).collect()] == [("f", "u", 0, 5, True)]
+
+
 def test_completeness_without_hits(spark):
     known = spark.createDataFrame([("a",), ("b",)], "id string")
     hits = spark.createDataFrame([], "assembly string, id string, contig string, pos long, score long, mismatches long")
