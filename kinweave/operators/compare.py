@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,29 +12,55 @@ from .kmers import kmers
 from .lineage import cut
 
 
+#: Keys that are broadcast at most; with more, rows and keys are joined by shuffle.
+FEW = 100_000
+#: Texts below a block that are broadcast at most, about 100 bytes each.
+FEW_TEXTS = 1_000_000
+
+
+def _numbered_rows(sequences: DataFrame, *columns: str) -> DataFrame:
+    """Columns of sequences with row, a number, from a checkpoint: lines are few bytes but much work, so they are spread."""
+    spread = sequences.select(*columns).repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(spread.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _few(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """keys, to be broadcast where they are few: what they are joined to is then left out where it is made and not shuffled."""
+    keys, most = cut(keys), FEW if most is None else most
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def _short(texts: DataFrame) -> bool:
+    """Whether texts have at most FEW characters in all."""
+    return (texts.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0) <= FEW
+
+
 def short_windows(sequences: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, window) of the distinct parts of some lengths, all below a block, of sequences (id, seq)."""
-    sized = sequences.select("id", "seq", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("seq") >= F.col("n"))
-    return sized.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("n") + 1), lambda i: F.substring(F.col("seq"), i, F.col("n")))).alias("window")).distinct()
+    """(row, window) of the parts of some lengths, all below a block, of sequences (row, seq)."""
+    sized = sequences.select("row", "seq", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("seq") >= F.col("n"))
+    return sized.select("row", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("n") + 1), lambda i: F.substring(F.col("seq"), i, F.col("n")))).alias("window"))
 
 
 def _lengths_below(sequences: DataFrame, block: int) -> list[int]:
     return sorted(r["n"] for r in sequences.select(F.length("seq").alias("n")).where(F.col("n") < block).distinct().collect())  # block values at most
 
 
-def _rarest_parts(small: DataFrame, places: DataFrame, block: int) -> DataFrame:
-    """(id_s, id_l): sequences of at least block characters, and the others that hold the rarest of their parts.
+def _rarest_parts(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(small, large): rows of small texts of at least block characters, and of the others that hold the rarest of their parts.
 
-    small: (id_s, strand, text); places: (contig, kmer), distinct. A text's parts of block characters lie side by side;
-    all are in whatever holds the text, so its rarest one is enough, and a part that nothing holds rules the text out.
-    Common beginnings so are no hot keys.
+    small: (row, strand, text); large: (row, seq). A text's parts of block characters lie side by side; all are in whatever
+    holds the text, so its rarest one is enough, and a part that nothing holds rules the text out. Common beginnings so are
+    no hot keys. Only places of parts are shuffled, and, where the others are few, only texts whose first part they hold.
     """
+    places = kmers(large.select(F.lit("").alias("genome"), F.col("row").alias("contig"), "seq"), block, dna=False, canonicalise=False).select(F.col("contig").alias("large"), "kmer")
+    if _short(large):
+        small = small.join(_few(places.select(F.col("kmer").alias("first")).distinct()), F.substring("text", 1, block) == F.col("first"), "left_semi")
     cut_up = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / block).cast("int") - 1), lambda i: F.substring(F.col("text"), i * block + 1, F.lit(block)))
-    parts = small.select("id_s", "strand", F.explode(cut_up).alias("kmer"))
-    held = cut(places.join(parts.select("kmer").distinct(), "kmer", "left_semi"))
+    parts = cut(small.select(F.col("row").alias("small"), "strand", F.explode(cut_up).alias("kmer")))
+    held = cut(places.join(_few(parts.select("kmer").distinct()), "kmer", "left_semi").distinct())
     counts = held.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(counts, "kmer", "left").groupBy("id_s", "strand").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kmer")).alias("part"))
-    return rarest.where("part.n > 0").select("id_s", F.col("part.kmer").alias("kmer")).join(held, "kmer").select("id_s", F.col("contig").alias("id_l")).distinct()
+    rarest = parts.join(counts, "kmer", "left").groupBy("small", "strand").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kmer")).alias("part"))
+    return rarest.where("part.n > 0").select("small", F.col("part.kmer").alias("kmer")).join(held, "kmer").select("small", "large").distinct()
 
 
 def contained_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
@@ -42,16 +70,20 @@ def contained_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     rarest of them; sequences shorter than block meet the parts of their own length. Empty sequences are part of nothing.
     """
     pairs = None
+    a, b = (_numbered_rows(x, "id", "seq") for x in (a, b))
     for x, y, flip in ((a, b, False), (b, a, True)):
-        small = x.where(F.length("seq") >= block)
-        both = small.select(F.col("id").alias("id_s"), F.posexplode(F.array("seq", reverse_complement(F.col("seq")))).alias("strand", "text"))
-        places = kmers(y.select(F.lit("").alias("genome"), F.col("id").alias("contig"), "seq"), block, dna=False, canonicalise=False).select("contig", "kmer").distinct()
-        found = _rarest_parts(both, places, block)
-        found = found.join(small.toDF(*[f"{c}_s" if c != "id" else "id_s" for c in small.columns]).select("id_s", "seq_s"), "id_s").join(y.select(F.col("id").alias("id_l"), F.col("seq").alias("seq_l")), "id_l")
+        both = x.where(F.length("seq") >= block).select("row", F.posexplode(F.array("seq", reverse_complement(F.col("seq")))).alias("strand", "text"))
+        found = _rarest_parts(both, y.select("row", "seq"), block)
+        found = found.join(x.select(F.col("row").alias("small"), F.col("id").alias("id_s"), F.col("seq").alias("seq_s")), "small").join(y.select(F.col("row").alias("large"), F.col("id").alias("id_l"), F.col("seq").alias("seq_l")), "large")
         found = found.where((F.length("seq_s") <= F.length("seq_l")) & contains_either_strand(F.col("seq_s"), F.col("seq_l"))).select("id_s", "id_l")
-        x = x.where(F.length("seq") > 0)
-        tiny = x.where(F.length("seq") < block).select(F.col("id").alias("id_s"), F.explode(F.array_distinct(F.array("seq", reverse_complement(F.col("seq"))))).alias("window"))
-        found = found.union(tiny.join(short_windows(y, _lengths_below(x, block)).withColumnRenamed("id", "id_l"), "window").select("id_s", "id_l"))
+        tiny = x.where((F.length("seq") > 0) & (F.length("seq") < block))
+        turned = tiny.select(F.col("id").alias("id_s"), F.explode(F.array_distinct(F.array("seq", reverse_complement(F.col("seq"))))).alias("window"))
+        windows = short_windows(y, _lengths_below(tiny, block))
+        if _short(y):  # few windows against any number of texts; else the other way round
+            met = turned.join(_few(windows.distinct()), "window")
+        else:
+            met = windows.join(_few(turned), "window")
+        found = found.union(met.select("id_s", "row").distinct().join(y.select("row", F.col("id").alias("id_l")), "row").select("id_s", "id_l"))
         out = found.select(F.col("id_l" if flip else "id_s").alias("id_a"), F.col("id_s" if flip else "id_l").alias("id_b"))
         pairs = out if pairs is None else pairs.union(out)
     return pairs.distinct()
@@ -62,18 +94,80 @@ def first_match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id_a").agg(F.min("id_b").alias("id_b"))
 
 
+def _least_keys(k: int, size: int):
+    """For rows (row, seq): the least of the mixed numbers of the k-byte strings in each window of size bytes, where it changes."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [x.encode() for x in batch.column("seq").to_pylist()]
+            sizes = np.array([len(x) for x in texts])
+            of = np.repeat(np.arange(len(texts)), sizes)
+            x = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+            if len(x) < size:
+                continue
+            n = len(x) - k + 1
+            least = np.zeros(n, np.uint64)
+            for i in range(k):
+                least = least * np.uint64(0x100000001B3) + x[i : i + n]
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                least = (least ^ (least >> np.uint64(shift))) * np.uint64(factor)
+            wide = 1
+            while wide < size - k + 1:
+                step = min(wide, size - k + 1 - wide)
+                least = np.minimum(least[:-step], least[step:])
+                wide += step
+            inside = np.flatnonzero(np.arange(len(least)) + size <= np.cumsum(sizes)[of[: len(least)]])
+            key, row = least[inside].view(np.int64), of[inside]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[new])), pa.array(key[new])], ["row", "key"])
+
+    return run
+
+
+def least_keys(texts: DataFrame, k: int, size: int) -> DataFrame:
+    """(row, key) of texts (row, seq) of at least size bytes. Whatever holds a text has all keys of the text: those of its windows."""
+    return texts.where(F.octet_length("seq") >= size).select("row", "seq").mapInArrow(_least_keys(k, size), "row long, key long")
+
+
+def _rarest_keys(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): rows of texts, and of the others that hold the rarest of their keys; both (row, key)."""
+    counts = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = small.join(counts, "key").groupBy("row").agg(F.min(F.struct("n", "key")).alias("x")).where("x.n > 1")  # one place is its own
+    return rarest.select(F.col("row").alias("small"), "x.key").join(large.withColumnRenamed("row", "large"), "key").where("small <> large").select("small", "large").distinct()
+
+
+def _holders(tiny: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(seq_s, one, other): the first and last row of texts (row, seq) that hold a text below a block of tiny (seq_s).
+
+    The strings of half a block are few, and their beginnings are all shorter ones; longer texts meet the strings of
+    almost a block by their first half, so a position is two rows and not one for each length.
+    """
+    half = max(1, block // 2)
+    least, most = F.min("row").alias("one"), F.max("row").alias("other")
+    begun = lambda n: texts.where("seq <> ''").select("row", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substring(F.col("seq"), i, F.lit(n)))).alias("window"))
+    halves = begun(half).groupBy("window").agg(least, most)
+    beginnings = halves.select("one", "other", F.explode(F.transform(F.sequence(F.lit(1), F.length("window")), lambda n: F.substring(F.col("window"), F.lit(1), n))).alias("seq_s"))
+    shorter = beginnings.groupBy("seq_s").agg(F.min("one").alias("one"), F.max("other").alias("other")).join(tiny.where(F.length("seq_s") <= half), "seq_s", "left_semi")
+    longer = _few(tiny.where(F.length("seq_s") > half).select("seq_s", F.substring("seq_s", 1, half).alias("half")), FEW_TEXTS)
+    met = begun(block - 1).withColumn("half", F.substring("window", 1, half)).join(longer, "half").where(F.startswith("window", "seq_s"))
+    return shorter.union(met.groupBy("seq_s").agg(least, most))
+
+
 def minimal_set(elements: DataFrame, block: int) -> DataFrame:
-    """Elements (id, seq) that are not part of another on the same strand; of equal ones the last id stays."""
-    single = elements.groupBy("seq").agg(F.max("id").alias("id")).select("id", "seq")
-    long = single.where(F.length("seq") >= block).select(F.col("id").alias("id_s"), F.lit(0).alias("strand"), F.col("seq").alias("text"))
-    places = kmers(single.select(F.lit("").alias("genome"), F.col("id").alias("contig"), "seq"), block, dna=False, canonicalise=False).select("contig", "kmer").distinct()
-    small = single.select(F.col("id").alias("small"), F.col("seq").alias("seq_s"))
-    big = single.select(F.col("id").alias("big"), F.col("seq").alias("seq_b"))
-    candidates = _rarest_parts(long, places, block).toDF("small", "big").where("small <> big").join(small, "small").join(big, "big")
-    windows = short_windows(single, _lengths_below(single.where("seq <> ''"), block)).select(F.col("id").alias("big"), F.col("window").alias("seq_s"))
-    tiny = small.where(F.length("seq_s") < block).join(windows.groupBy("seq_s").agg(F.min("big").alias("one"), F.max("big").alias("other")), "seq_s").where("one <> small OR other <> small")
-    gone = candidates.where(F.contains(F.col("seq_b"), F.col("seq_s"))).select("small").union(tiny.select("small")).distinct()
-    return single.join(gone, single["id"] == gone["small"], "left_anti")
+    """Elements (id, seq) that are not part of another on the same strand; of equal ones the last id stays.
+
+    Long ones meet by the rarest of their least keys, some of each window: strings of block bytes in windows of twice as
+    many; texts of less than two blocks by slightly shorter strings in windows of a block. All candidates are compared.
+    """
+    single = _numbered_rows(elements.groupBy("seq").agg(F.max("id").alias("id")), "id", "seq")
+    whole = single.where(F.length("seq") >= block)
+    long, short = least_keys(whole, block, 2 * block), block - block // 8
+    candidates = _rarest_keys(long, long).union(_rarest_keys(least_keys(whole.where(F.octet_length("seq") < 2 * block), short, block), least_keys(whole, short, block)))
+    small, big = single.select(F.col("row").alias("small"), F.col("seq").alias("seq_s")), single.select(F.col("row").alias("large"), F.col("seq").alias("seq_l"))
+    part = candidates.join(small, "small").join(big, "large").where(F.contains("seq_l", "seq_s")).select("small")
+    tiny = small.where((F.length("seq_s") > 0) & (F.length("seq_s") < block))
+    gone = part.union(tiny.join(_holders(tiny.select("seq_s"), single, block).where("one <> other"), "seq_s").select("small")).distinct()
+    return single.join(gone, single["row"] == gone["small"], "left_anti").select("id", "seq")
 
 
 def recall_precision(pairs: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:
