@@ -2,7 +2,7 @@
 
 import random
 
-from kinweave.operators import compare
+from kinweave.operators import compare, kmers, locate, regions
 
 
 def shuffled(spark, run):
@@ -61,3 +61,48 @@ def test_contained_pairs_by_brute_force_without_broadcast(spark, monkeypatch):
     for few in (compare.FEW, 20):
         monkeypatch.setattr(compare, "FEW", few)
         assert {tuple(x) for x in compare.contained_pairs(framed(spark, a, "a"), framed(spark, b, "b"), 4).collect()} == want
+
+
+def genomes_of(spark, r):
+    """Genomes that share texts, one without a name; contigs over a chunk's end, empty, short and with other letters."""
+    common = drawn(r, 90_000)
+    rows = [(g, f"c{i}", common[a : a + n]) for i, (g, a, n) in enumerate([("a", 0, 90_000), ("b", 100, 70_000), ("c", 60_000, 9_000), ("a", 5, 4), ("b", 0, 0), ("d", 40, 31), (None, 10, 3000)])]
+    return spark.createDataFrame([*rows, ("c", "n", common[:50] + "N" + common[50:99].lower()), ("d", "r", common[::-1].translate(str.maketrans("ACGT", "TGCA"))[:2000])], "genome string, contig string, seq string")
+
+
+def test_core_places_and_runs_are_those_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "PART", 20_000)
+    rows, names = genomes_of(spark, random.Random(5)), ["a", "b", None, "c", "d"]
+    for k, least in ((16, 3), (5, 5), (24, 2)):
+        found = kmers.oriented_kmers(rows, k)
+        want = {tuple(x) for x in kmers.core_hits(found, kmers.core_kmers(found, least, names)).collect()}
+        assert {tuple(x) for x in kmers.core_places(rows, k, least, names).collect()} == want and want
+        runs = kmers.core_runs(rows, k, least, names)
+        assert sorted(str((x["genome"], x["contig"], i)) for x in runs.collect() for i in range(x["first"], x["last"] + 1)) == sorted(str((x[0], x[1], x[2])) for x in want)
+        hits = spark.createDataFrame(list(want), "genome string, contig string, pos long, kmer long, dir int")
+        for f in (lambda x: regions.candidate_regions(x, k, 4, 24), locate.hit_coverage):
+            assert {tuple(x) for x in f(runs).collect()} == {tuple(x) for x in f(hits).collect()}
+    counts = {tuple(x) for x in kmers.kmer_counts(kmers.numbered_kmers(rows, 7)).collect()}
+    assert {tuple(x) for x in kmers.genome_counts(rows, 7, names).select("genome", "kmer", "n").collect()} == counts
+
+
+def test_runs_that_overlap_count_positions_once(spark):
+    twice = spark.createDataFrame([("g", "c", 0, 9, 10), ("g", "c", 2, 3, 2), ("g", "c", 8, 12, 5), ("g", "c", 20, 20, 1)], "genome string, contig string, first long, last long, n long")
+    assert [tuple(x) for x in locate.hit_coverage(twice).collect()] == [("g", "c", 14)]
+    assert [(x["first_pos"], x["last_pos"], x["n"]) for x in regions.candidate_regions(twice, 3, 0, 10).collect()] == [(0, 12, 17)]
+
+
+def test_core_runs_shuffle_no_places(spark, tmp_path, monkeypatch):
+    """A text that five genomes hold eight times each: its places are not shuffled, whatever the number of core k-mers."""
+    from kinweave import queries
+
+    monkeypatch.setattr(kmers, "FEW", 0)  # as with more core k-mers than are broadcast
+    r = random.Random(6)
+    text = drawn(r, 100_000)
+    rows = [(8 * g + i, f"s{g}", text) for g in range(5) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    places = 40 * (len(text) - 15)
+    for name in ("w1_regions", "a9_hit_coverage"):
+        found, volume = shuffled(spark, lambda: queries.QUERIES[name](spark, str(tmp_path)).collect())
+        assert len(found) == 40
+        assert volume < 5 * places
