@@ -117,7 +117,7 @@ def ends(elements: DataFrame, sequences: DataFrame, most: int, seed: int) -> Dat
     cell = max(CELL, 2 * most + 1)
     band = cell + 2 * most
     both = strands(elements.select("id", "seq"))
-    cells = _diagonals(both, sequences, parts, seed, _stride(shortest or seed * parts, parts, seed))
+    cells, _ = _diagonals(both, sequences, parts, seed, _stride(shortest or seed * parts, parts, seed))
     base = F.floor(F.col("start") / cell) * cell - most
     cells = cells.select("id", "strand", "genome", "contig", base.alias("base")).distinct().join(both, ["id", "strand"])
     size = _size(sequences, longest + band)

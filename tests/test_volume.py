@@ -106,3 +106,21 @@ def test_core_runs_shuffle_no_places(spark, tmp_path, monkeypatch):
         found, volume = shuffled(spark, lambda: queries.QUERIES[name](spark, str(tmp_path)).collect())
         assert len(found) == 40
         assert volume < 5 * places
+
+
+def test_elements_of_like_lengths_share_a_pass_and_no_text_is_shuffled(spark, monkeypatch):
+    r = random.Random(7)
+    texts = [drawn(r, 20_000) for _ in range(40)]
+    known, want = [], set()
+    for i, n in enumerate([*range(64, 128, 3), 30]):
+        x = list(texts[i][50 + i : 50 + i + n])
+        for at in r.sample(range(n), i % 4):
+            x[at] = {"A": "C", "C": "G", "G": "T", "T": "A"}[x[at]]
+        known.append("".join(x))
+        want.add((f"k{i}", f"t{i}", 50 + i, 50 + i + n, "+", i % 4))
+    passes = []
+    monkeypatch.setattr(locate, "kmers", lambda *a, f=locate.kmers, **b: (passes.append(a[1]), f(*a, **b))[1])
+    rows = framed(spark, texts, "t").selectExpr("'g' AS genome", "id AS contig", "seq")
+    found, volume = shuffled(spark, lambda: {(x["id"], x["contig"], x["start"], x["end"], x["strand"], x["mismatches"]) for x in locate.locate_all(framed(spark, known, "k"), rows, 3, seed=24).collect()})
+    assert found == want
+    assert len(passes) == 2 and volume < sum(map(len, texts)) / 4
