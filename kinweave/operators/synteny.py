@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def unique_ids(anchors: DataFrame) -> DataFrame:
     """Anchors of ids that occur once in their genome."""
@@ -36,8 +38,8 @@ def contig_combinations(anchors: DataFrame, genomes: list[str], first_by: str =
 
     Of several anchors there the smallest start is taken, or that of the smallest first_by (anchor_id: first in the file).
     """
-    first = everywhere(anchors, genomes).groupBy("id", "genome", "contig").agg(F.min(F.struct(first_by, F.col("start").alias("at"))).alias("x")).select("id", "genome", "contig", F.col("x.at").alias("start"))
-    out = None
+    first = cut(anchors.groupBy("id", "genome", "contig").agg(F.min(F.struct(first_by, F.col("start").alias("at"))).alias("x")).select("id", "genome", "contig", F.col("x.at").alias("start")))
+    first, out = cut(everywhere(first, genomes)), None  # read for each genome
     for i, g in enumerate(genomes):
         own = first.where(F.col("genome") == g).select("id", F.array("contig").alias(f"c{i}"), F.array("start").alias(f"s{i}"))
         out = own if out is None else out.join(own, "id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.align import align, block_spans
 from ..operators.assess import best_per_element, block_summary, contiguity
 from ..operators.graph import bounded_paths, connected, disjoint_cover, intact_blocks, pair_scores, reduce_until_acyclic, source_to_sink_paths, transitive_reduction
+from ..operators.lineage import cut
 from ..operators.synteny import adjacency, consensus, contig_combinations, contig_paths, in_blocks, order_support, unique_ids
 
 
@@ -48,7 +49,7 @@ def assembly_contiguity(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
 
     A block meets the assemblies that hold its first id; in all others it is invalid, which is counted, not listed.
     """
-    wanted = in_blocks(anchors, blocks)
+    wanted = cut(in_blocks(anchors, blocks))  # read twice
     held = wanted.select("genome", "id").distinct()
     met = blocks.withColumn("id", F.element_at("path", 1)).join(held, "id")
     keyed = met.select(F.concat_ws("\t", "genome", "block").alias("block"), F.transform("path", lambda x: F.concat_ws("\t", F.col("genome"), x)).alias("path"))

@@ -514,7 +514,8 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
     rows = rows.select(F.col("o_orderpriority").alias("genome"), F.concat("l_returnflag", "l_linestatus").alias("contig"), F.col("p_brand").alias("id"), day.alias("start"))
-    return rows.groupBy("genome", "contig", "id").agg(F.min("start").alias("start"))
+    # few rows of a large join, read many times, and each time with other filters: so they are made once
+    return cut(rows.groupBy("genome", "contig", "id").agg(F.min("start").alias("start")))
 
 
 GENOMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -547,30 +548,30 @@ def by_status(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("genome", "contig", "id").agg(F.min("start").alias("start"))
 
 
-def pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
-    return synteny.order_support(synteny.contig_combinations(by_status(spark, d), GENOMES), least)
+def pairs(at: DataFrame, least: int) -> DataFrame:
+    return synteny.order_support(synteny.contig_combinations(at, GENOMES), least)
 
 
 @query(PAIRS + "SELECT contigs, src, dst, support, round(dist, 6) AS dist FROM pairs")
 def j8_a6_order_support(spark, d):
-    return rounded(pairs(spark, d, 4).withColumn("contigs", F.array_join("contigs", ",")))
+    return rounded(pairs(by_status(spark, d), 4).withColumn("contigs", F.array_join("contigs", ",")))
 
 
 @query(PAIRS + "SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS score FROM pairs")
 def a7_support_map(spark, d):
-    return rounded(synteny.support_map(pairs(spark, d, 4)))
+    return rounded(synteny.support_map(pairs(by_status(spark, d), 4)))
 
 
 ALL5 = PAIRS + ", e AS (SELECT contigs, src, dst FROM pairs WHERE support = 5), red AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.contigs = y.contigs AND x.dst = y.src WHERE x.contigs = e.contigs AND x.src = e.src AND y.dst = e.dst))"
 
 
-def reduced(spark: SparkSession, d: str) -> DataFrame:
-    return graph.transitive_reduction(pairs(spark, d, 5).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst"), ["contigs"], transitive=True)
+def reduced(at: DataFrame) -> DataFrame:
+    return graph.transitive_reduction(pairs(at, 5).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst"), ["contigs"], transitive=True)
 
 
 @query(ALL5 + "SELECT * FROM red")
 def g3_transitive_reduction(spark, d):
-    return reduced(spark, d)
+    return reduced(by_status(spark, d))
 
 
 PATHS = ALL5.replace("WITH x AS", "WITH RECURSIVE x AS", 1) + """, walk AS (
@@ -582,7 +583,7 @@ paths AS (SELECT contigs, path FROM walk w WHERE NOT EXISTS (SELECT 1 FROM red r
 
 @query(PATHS + "SELECT contigs, array_to_string(path, ',') AS path FROM paths WHERE len(path) >= 2")
 def g4_f13_paths(spark, d):
-    return graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2).select("contigs", F.array_join("path", ",").alias("path"))
+    return graph.source_to_sink_paths(reduced(by_status(spark, d)), ["contigs"], 2).select("contigs", F.array_join("path", ",").alias("path"))
 
 
 @query(
@@ -615,7 +616,7 @@ def _closed(steps: int, edges: str = "w", name: str = "b") -> str:
 )
 def g2_reduce_until_acyclic(spark, d):
     """Order pairs of at least three genomes without the weakest ones that close cycles."""
-    return graph.reduce_until_acyclic(pairs(spark, d, 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst", F.col("support").cast("long").alias("support"))
+    return graph.reduce_until_acyclic(pairs(by_status(spark, d), 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst", F.col("support").cast("long").alias("support"))
 
 
 @query(
@@ -626,7 +627,7 @@ def g2_reduce_until_acyclic(spark, d):
 )
 def g1_acyclic(spark, d):
     """Whether the order pairs of at least three genomes have no cycle, for each combination of contigs."""
-    return graph.is_acyclic(pairs(spark, d, 3).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst"), ["contigs"])
+    return graph.is_acyclic(pairs(by_status(spark, d), 3).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst"), ["contigs"])
 
 
 # the closure of what g2 leaves; an edge stays if no other edge of its source has a way to its end
@@ -640,7 +641,7 @@ def g1_acyclic(spark, d):
 )
 def g3_reduction_by_ways(spark, d):
     """Order pairs of at least three genomes, acyclic and reduced by ways of any length."""
-    left = graph.reduce_until_acyclic(pairs(spark, d, 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst")
+    left = graph.reduce_until_acyclic(pairs(by_status(spark, d), 3), len(GENOMES)).select(F.array_join("contigs", ",").alias("contigs"), "src", "dst")
     return graph.transitive_reduction(left, ["contigs"])
 
 
@@ -653,20 +654,19 @@ step AS (SELECT b.block, a.contig, 1 AS i, min(a.start) AS last FROM b JOIN spot
 SELECT b.block, EXISTS (SELECT 1 FROM step s WHERE s.block = b.block AND s.i = len(b.path) AND s.last IS NOT NULL) AS valid FROM b"""
 )
 def g7_f15_intact_blocks(spark, d):
-    paths = graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2).select("path").distinct()
-    blocks = paths.select(F.array_join("path", ",").alias("block"), "path")
-    at = by_status(spark, d).select(F.concat_ws("/", "genome", "contig").alias("contig"), "id", "start")
-    return graph.intact_blocks(blocks, at)
+    at = by_status(spark, d)
+    return graph.intact_blocks(named_blocks(at), at.select(F.concat_ws("/", "genome", "contig").alias("contig"), "id", "start"))
 
 
 @query(PATHS + "SELECT genome, contig, id, start FROM anchors WHERE id IN (SELECT unnest(path) FROM paths WHERE len(path) >= 2)")
 def f15_in_blocks(spark, d):
     """Anchors that some block refers to."""
-    return synteny.in_blocks(by_status(spark, d), graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2))
+    at = by_status(spark, d)
+    return synteny.in_blocks(at, graph.source_to_sink_paths(reduced(at), ["contigs"], 2))
 
 
-def named_blocks(spark: SparkSession, d: str) -> DataFrame:
-    paths = graph.source_to_sink_paths(reduced(spark, d), ["contigs"], 2).select("path").distinct()
+def named_blocks(at: DataFrame) -> DataFrame:
+    paths = graph.source_to_sink_paths(reduced(at), ["contigs"], 2).select("path").distinct()
     return paths.select(F.array_join("path", ",").alias("block"), "path")
 
 
@@ -677,7 +677,8 @@ SELECT f.genome, f.contig, b.block, f.start, l.start AS "end" FROM b JOIN anchor
 )
 def n_block_ends(spark, d):
     """Where blocks begin and end on the contigs that hold both ends."""
-    return synteny.block_ends(named_blocks(spark, d), by_status(spark, d))
+    at = by_status(spark, d)
+    return synteny.block_ends(named_blocks(at), at)
 
 
 @query(
@@ -690,7 +691,8 @@ SELECT g.genome, count(good.block) AS valid, (SELECT count(*) FROM b) - count(go
 )
 def k10_contiguity(spark, d):
     """How many blocks each genome holds in their order."""
-    return order.assembly_contiguity(named_blocks(spark, d), by_status(spark, d))
+    at = by_status(spark, d)
+    return order.assembly_contiguity(named_blocks(at), at)
 
 
 EVENTS = """

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from kinweave import queries as Q
 from kinweave.operators import compare, kmers, locate, regions
 
 
@@ -124,3 +127,24 @@ def test_elements_of_like_lengths_share_a_pass_and_no_text_is_shuffled(spark, mo
     found, volume = shuffled(spark, lambda: {(x["id"], x["contig"], x["start"], x["end"], x["strand"], x["mismatches"]) for x in locate.locate_all(framed(spark, known, "k"), rows, 3, seed=24).collect()})
     assert found == want
     assert len(passes) == 2 and volume < sum(map(len, texts)) / 4
+
+
+def read(spark, run):
+    """The bytes of tables that run read."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(True)
+        return sum(found.apply(i).totalInputBytes() for i in range(found.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+@pytest.mark.parametrize("name", ["g1_acyclic", "k10_contiguity", "g2_reduce_until_acyclic", "g7_f15_intact_blocks", "f15_in_blocks", "n_block_ends"])
+def test_queries_on_order_join_their_tables_once(spark, name):
+    d = "/root/testdata/sf0.001"
+    once = read(spark, lambda: Q.anchors(spark, d).collect())
+    assert 0 < once and read(spark, lambda: Q.QUERIES[name](spark, d).collect()) < 1.5 * once
