@@ -32,9 +32,10 @@ def cyclic_part(edges: DataFrame, by: list[str]) -> DataFrame:
     """The edges (by..., src, dst, ...) on cycles of their graph or on ways between them, for all values of by at once.
 
     Edges out of nodes that none enters, and into nodes that none leaves, go in rounds, from both ends; a round is two
-    semi-joins, and there are about half as many as the longest way that leads to or from a cycle has edges.
+    semi-joins, and there are about half as many as the longest way that leads to or from a cycle has edges. The first
+    round reads edges more than once, so callers cut what is not a table.
     """
-    left, n = cut(edges), None
+    left, n = edges, None
     while n != (count := left.count()):
         n = count
         entered = left.select(*by, F.col("dst").alias("src")).distinct()
@@ -45,7 +46,8 @@ def cyclic_part(edges: DataFrame, by: list[str]) -> DataFrame:
 
 def is_acyclic(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by..., acyclic) for each graph of edges (by..., src, dst)."""
-    cyclic = cyclic_part(edges.select(*by, "src", "dst"), by).select(*by).distinct().withColumn("cyclic", F.lit(True))
+    edges = cut(edges.select(*by, "src", "dst"))
+    cyclic = cyclic_part(edges, by).select(*by).distinct().withColumn("cyclic", F.lit(True))
     return edges.select(*by).distinct().join(cyclic, by, "left").select(*by, F.col("cyclic").isNull().alias("acyclic"))
 
 
@@ -68,7 +70,7 @@ def reduce_until_acyclic(pairs: DataFrame, genomes: int, policy: str = "weakest_
     spans = cut(looped.groupBy(*by).agg(F.lit(0).alias("low"), F.max("rank").alias("high")))
     while not (open_ := spans.where("low < high")).isEmpty():
         halves = open_.select(*by, F.expr("(low + high) div 2").cast("int").alias("half"))
-        without = looped.join(halves, by).where("rank IS NULL OR rank > half").drop("half")
+        without = cut(looped.join(halves, by).where("rank IS NULL OR rank > half").drop("half"))
         cyclic = cyclic_part(without, by).select(*by).distinct().withColumn("cyclic", F.lit(True))
         met = spans.join(halves, by, "left").join(cyclic, by, "left")
         spans = cut(met.select(*by, F.when(F.col("half").isNotNull() & F.col("cyclic"), F.col("half") + 1).otherwise(F.col("low")).alias("low"), F.when(F.col("half").isNotNull() & F.col("cyclic").isNull(), F.col("half")).otherwise(F.col("high")).alias("high")))
