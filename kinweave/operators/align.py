@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Paths of a part that one group of the alignment holds, about.
+#: Distinct paths of a part that one group of the alignment holds, about.
 SHARE = 2000
+#: Ids of distinct paths and their alignments that are broadcast at most; with more, paths meet them by shuffle.
+FEW_IDS = 200_000
 
 
 class Steps:
@@ -74,25 +76,30 @@ def align(paths: DataFrame, edges: DataFrame, members: DataFrame, match: int = 7
     """(genome, contig, score, path_len, path): the best alignment of each path (genome, contig, path) to edges (src, dst).
 
     members (node, component) are the graph's parts: steps stay within a part, so a path is aligned to each part that
-    has one of its ids, and the best of them is kept. The paths of a part are dealt by hash into shares of about SHARE
-    paths, and its edges are repeated for each share, so a group holds one part and a bounded number of paths.
+    has one of its ids, and the best of them is kept. Equal paths are aligned once. The distinct paths of a part are dealt
+    by hash into shares of about SHARE, and its edges are repeated for each share, so a group holds one part and a bounded
+    number of paths.
     """
-    own = cut(paths.select("genome", "contig", "path", F.explode("path").alias("node")).join(members, "node").select("component", "genome", "contig", "path").distinct())
+    paths = cut(paths.select("genome", "contig", "path"))  # read twice
+    ways = paths.select("path").distinct().select("path", F.explode("path").alias("node"))
+    own = cut(ways.join(members, "node").select("component", "path").distinct())
     shares = cut(own.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
-    own = own.join(shares, "component").withColumn("share", F.pmod(F.xxhash64("genome", "contig"), F.col("shares")).cast("int"))
+    own = own.join(shares, "component").withColumn("share", F.pmod(F.xxhash64("path"), F.col("shares")).cast("int"))
     parts = edges.select("src", "dst").join(members.select(F.col("node").alias("src"), F.col("component").alias("part")), "src")
     parts = parts.join(shares.withColumnRenamed("component", "part"), "part").select("part", "src", "dst", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def run(graph: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         if not len(graph) or not len(targets):
-            return pd.DataFrame({"genome": [], "contig": [], "score": [], "path_len": [], "path": []})
+            return pd.DataFrame({"of": [], "score": [], "path_len": [], "path": []})
         steps = Steps(list(zip(graph["src"], graph["dst"])))
-        out = [(g, c, *solve(list(p), steps, match, mismatch, insertion, deletion)) for g, c, p in zip(targets["genome"], targets["contig"], targets["path"])]
-        return pd.DataFrame([(g, c, s, len(p), p) for g, c, s, p in out], columns=["genome", "contig", "score", "path_len", "path"])
-
-    found = parts.groupBy("part", "share").cogroup(own.groupBy("component", "share")).applyInPandas(run, "genome string, contig string, score long, path_len long, path array<string>")
-    best = found.groupBy("genome", "contig").agg(F.max(F.struct("score", "path_len", "path")).alias("x"))
-    return best.select("genome", "contig", "x.*")
+        out = [(p, *solve(list(p), steps, match, mismatch, insertion, deletion)) for p in targets["path"]]
+        return pd.DataFrame([(of, s, len(p), p) for of, s, p in out], columns=["of", "score", "path_len", "path"])
+
+    found = parts.groupBy("part", "share").cogroup(own.groupBy("component", "share")).applyInPandas(run, "of array<string>, score long, path_len long, path array<string>")
+    best = cut(found.groupBy("of").agg(F.max(F.struct("score", "path_len", "path")).alias("x")))
+    ids = best.agg(F.sum(F.size("of").cast("long") + F.size("x.path"))).first()[0] or 0
+    best = F.broadcast(best) if ids <= FEW_IDS else best
+    return paths.withColumnRenamed("path", "of").join(best, "of").select("genome", "contig", "x.*")
 
 
 def block_spans(aligned: DataFrame, positions: DataFrame) -> DataFrame:

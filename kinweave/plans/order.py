@@ -40,7 +40,7 @@ def assembly_pairs(anchors: DataFrame, edges: DataFrame, max_gap: int = 3) -> Da
 def assembly_blocks(anchors: DataFrame, edges: DataFrame, match: int = 7, mismatch: int = -3, insertion: int = -1) -> tuple[DataFrame, DataFrame]:
     """Spans of the best alignment of each contig to the map, and their summary by assembly. anchors have an end."""
     found = align(contig_paths(unique_ids(anchors)), edges, connected(edges), match, mismatch, insertion)
-    spans = block_spans(found, unique_ids(anchors))
+    spans = cut(block_spans(found, unique_ids(anchors)))  # the summary reads them for each measure
     return spans, block_summary(spans)
 
 

@@ -208,6 +208,28 @@ def test_alignment_in_shares(spark, monkeypatch, tmp_path):
         assert max(map(int, f)) <= 40
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_equal_paths_are_aligned_once(spark, monkeypatch, tmp_path, few):
+    solve, log = align.solve, str(tmp_path / "calls")
+
+    def noted(*args):
+        with open(log, "a") as f:
+            f.write(f"{''.join(args[0])}\n")
+        return solve(*args)
+
+    graph_df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    rows = [(f"g{i}", c, s, s + 2, u) for i in range(90) for c, ids in (("1", ["abc", "bcd", "adq"][i % 3]), ("2", "xyz")) for s, u in enumerate(ids)]
+    at = spark.createDataFrame(rows, "genome string, contig string, start long, end long, id string")
+    monkeypatch.setattr(align, "solve", noted)
+    monkeypatch.setattr(align, "FEW_IDS", few, raising=False)
+    spans, summary = order.assembly_blocks(at, graph_df)
+    whole = {r["genome"] for r in summary.where("n_blocks = 1 AND score_max = 21 AND score_median = 21 AND path_len_min = 3").collect()}
+    assert whole == {f"g{i}" for i in range(90) if i % 3 < 2}
+    assert spans.where("score = 21").count() == 60
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["abc", "adq", "bcd"]
+
+
 def test_empty_tables(spark):
     none = anchors(spark, [])
     assert order.consensus_map(none).count() == 0
