@@ -14,8 +14,10 @@ from .lineage import cut
 
 #: Keys that are broadcast at most; with more, rows and keys are joined by shuffle.
 FEW = 100_000
-#: Texts below a block that are broadcast at most, about 100 bytes each.
+#: Texts below two blocks that are broadcast at most, about 100 bytes each.
 FEW_TEXTS = 1_000_000
+#: Sizes of text, each twice the one before, that have keys of their own.
+CLASSES = 3
 
 
 def _numbered_rows(sequences: DataFrame, *columns: str) -> DataFrame:
@@ -94,8 +96,9 @@ def first_match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id_a").agg(F.min("id_b").alias("id_b"))
 
 
-def _least_keys(k: int, size: int):
-    """For rows (row, seq): the least of the mixed numbers of the k-byte strings in each window of size bytes, where it changes."""
+def _least_keys(k: int, size: int, upto: int | None):
+    """For rows (row, seq): the least of the mixed numbers of the k-byte strings in each window of size bytes, where it changes;
+    own tells whether the text has less than upto bytes."""
 
     def run(batches):
         for batch in batches:
@@ -106,7 +109,7 @@ def _least_keys(k: int, size: int):
             if len(x) < size:
                 continue
             n = len(x) - k + 1
-            least = np.zeros(n, np.uint64)
+            least = np.full(n, size, np.uint64)  # strings of several lengths share no number
             for i in range(k):
                 least = least * np.uint64(0x100000001B3) + x[i : i + n]
             for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
@@ -119,55 +122,76 @@ def _least_keys(k: int, size: int):
             inside = np.flatnonzero(np.arange(len(least)) + size <= np.cumsum(sizes)[of[: len(least)]])
             key, row = least[inside].view(np.int64), of[inside]
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)])
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[new])), pa.array(key[new])], ["row", "key"])
+            own = (sizes < upto if upto else sizes >= 0)[row[new]]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[new])), pa.array(key[new]), pa.array(own)], ["row", "key", "own"])
 
     return run
 
 
-def least_keys(texts: DataFrame, k: int, size: int) -> DataFrame:
-    """(row, key) of texts (row, seq) of at least size bytes. Whatever holds a text has all keys of the text: those of its windows."""
-    return texts.where(F.octet_length("seq") >= size).select("row", "seq").mapInArrow(_least_keys(k, size), "row long, key long")
+def least_keys(texts: DataFrame, size: int) -> DataFrame:
+    """(row, key, own) of texts (row, seq): their least keys at size bytes, twice that, and so on for CLASSES sizes, as far as
+    a text is long; own are those of its greatest size. Whatever holds a text has all keys of the text.
+
+    A key is of five eighths of its size, so long texts meet by long keys, which few others have by chance.
+    """
+    found = None
+    for i in range(CLASSES):
+        n = size << i
+        some = texts.where(F.octet_length("seq") >= n).select("row", "seq")
+        keys = some.mapInArrow(_least_keys(n * 5 // 8, n, None if i == CLASSES - 1 else 2 * n), "row long, key long, own boolean")
+        found = keys if found is None else found.union(keys)
+    return found
+
+
+def _rarest_keys(keys: DataFrame) -> DataFrame:
+    """(small, large): rows of texts with own keys, and of the others that have the rarest of these; keys are (row, key, own)."""
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = keys.where("own").join(counts, "key").groupBy("row").agg(F.min(F.struct("n", "key")).alias("x")).where("x.n > 1")  # one place is its own
+    return rarest.select(F.col("row").alias("small"), "x.key").join(keys.select(F.col("row").alias("large"), "key"), "key").where("small <> large").select("small", "large").distinct()
 
 
-def _rarest_keys(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(small, large): rows of texts, and of the others that hold the rarest of their keys; both (row, key)."""
-    counts = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rarest = small.join(counts, "key").groupBy("row").agg(F.min(F.struct("n", "key")).alias("x")).where("x.n > 1")  # one place is its own
-    return rarest.select(F.col("row").alias("small"), "x.key").join(large.withColumnRenamed("row", "large"), "key").where("small <> large").select("small", "large").distinct()
+def _beginnings(texts: DataFrame, least: int, most: int) -> DataFrame:
+    """(window) of texts (seq): up to most characters from each position that has least of them, but never a whole text."""
+    n = F.length("seq")
+    part = lambda i: F.substring(F.col("seq"), i, F.when(i == 1, F.least(F.lit(most), n - 1)).otherwise(most))
+    return texts.where(n >= least).select(F.explode(F.transform(F.sequence(F.lit(1), n - least + 1), part)).alias("window"))
 
 
-def _holders(tiny: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """(seq_s, one, other): the first and last row of texts (row, seq) that hold a text below a block of tiny (seq_s).
+def held_within(short: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(seq_s): the texts below two blocks of characters of short (seq_s) that are part of another one of texts (seq).
 
-    The strings of half a block are few, and their beginnings are all shorter ones; longer texts meet the strings of
-    almost a block by their first half, so a position is two rows and not one for each length.
+    A text is part of another one exactly if a window that is no whole text begins with it. The windows of half a block are
+    few, and their beginnings are all shorter ones; longer texts meet windows by the least length of their class, classes of
+    a third each, so few windows meet them by chance and only texts that are found leave the task.
     """
     half = max(1, block // 2)
-    least, most = F.min("row").alias("one"), F.max("row").alias("other")
-    begun = lambda n: texts.where("seq <> ''").select("row", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substring(F.col("seq"), i, F.lit(n)))).alias("window"))
-    halves = begun(half).groupBy("window").agg(least, most)
-    beginnings = halves.select("one", "other", F.explode(F.transform(F.sequence(F.lit(1), F.length("window")), lambda n: F.substring(F.col("window"), F.lit(1), n))).alias("seq_s"))
-    shorter = beginnings.groupBy("seq_s").agg(F.min("one").alias("one"), F.max("other").alias("other")).join(tiny.where(F.length("seq_s") <= half), "seq_s", "left_semi")
-    longer = _few(tiny.where(F.length("seq_s") > half).select("seq_s", F.substring("seq_s", 1, half).alias("half")), FEW_TEXTS)
-    met = begun(block - 1).withColumn("half", F.substring("window", 1, half)).join(longer, "half").where(F.startswith("window", "seq_s"))
-    return shorter.union(met.groupBy("seq_s").agg(least, most))
+    halves = _beginnings(texts, 1, half).distinct()
+    found = halves.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("window")), lambda n: F.substring(F.col("window"), F.lit(1), n))).alias("seq_s")).distinct()
+    found = found.join(short.where(F.length("seq_s") <= half), "seq_s", "left_semi")
+    least = half + 1
+    while least < 2 * block:
+        most = min(2 * block - 1, least * 4 // 3)
+        begin = lambda c: F.substring(c, 1, least).alias("begin")  # noqa: B023, E731
+        some = _few(short.where(F.length("seq_s").between(least, most)).select("seq_s", begin("seq_s")), FEW_TEXTS)
+        met = _beginnings(texts, least, most).select("window", begin("window")).join(some, "begin").where(F.startswith("window", "seq_s"))
+        found = found.union(met.select("seq_s").distinct())
+        least = most + 1
+    return found
 
 
 def minimal_set(elements: DataFrame, block: int) -> DataFrame:
     """Elements (id, seq) that are not part of another on the same strand; of equal ones the last id stays.
 
-    Long ones meet by the rarest of their least keys, some of each window: strings of block bytes in windows of twice as
-    many; texts of less than two blocks by slightly shorter strings in windows of a block. All candidates are compared.
+    Texts of two blocks of bytes and more meet by the rarest of their least keys, and all candidates are compared; of shorter
+    ones it is only told whether any other text holds them, so no pairs arise.
     """
     single = _numbered_rows(elements.groupBy("seq").agg(F.max("id").alias("id")), "id", "seq")
-    whole = single.where(F.length("seq") >= block)
-    long, short = least_keys(whole, block, 2 * block), block - block // 8
-    candidates = _rarest_keys(long, long).union(_rarest_keys(least_keys(whole.where(F.octet_length("seq") < 2 * block), short, block), least_keys(whole, short, block)))
+    candidates = _rarest_keys(least_keys(single, 2 * block))
     small, big = single.select(F.col("row").alias("small"), F.col("seq").alias("seq_s")), single.select(F.col("row").alias("large"), F.col("seq").alias("seq_l"))
-    part = candidates.join(small, "small").join(big, "large").where(F.contains("seq_l", "seq_s")).select("small")
-    tiny = small.where((F.length("seq_s") > 0) & (F.length("seq_s") < block))
-    gone = part.union(tiny.join(_holders(tiny.select("seq_s"), single, block).where("one <> other"), "seq_s").select("small")).distinct()
-    return single.join(gone, single["row"] == gone["small"], "left_anti").select("id", "seq")
+    part = candidates.join(small, "small").join(big, "large").where(F.contains("seq_l", "seq_s")).select("seq_s")
+    short = small.where((F.octet_length("seq_s") > 0) & (F.octet_length("seq_s") < 2 * block)).select("seq_s")
+    gone = part.union(held_within(short, single, block))
+    return single.join(gone, single["seq"] == gone["seq_s"], "left_anti").select("id", "seq")
 
 
 def recall_precision(pairs: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -55,6 +55,29 @@ def test_minimal_set_by_brute_force(spark):
         assert {x["seq"] for x in compare.minimal_set(framed(spark, sorted(texts), "a"), block).collect()} == want
 
 
+def test_minimal_set_sends_no_candidates_by_chance(spark):
+    """Lines of few words share the strings of a block by chance, each with a share of all others; most are part of none."""
+    r = random.Random(8)
+    words = [drawn(r, 7) for _ in range(6)]
+    lines = sorted({"".join(r.choice(words) for _ in range(r.randrange(4, 6)))[r.randrange(7) :] for _ in range(9000)})
+    r.shuffle(lines)
+    volumes = []
+    for some in (lines[:1500], lines):
+        found, volume = shuffled(spark, lambda x=some: {x["seq"] for x in compare.minimal_set(framed(spark, x, "a"), 16).collect()})
+        every = "\n".join(some)
+        assert found == {x for x in some if every.count(x) == 1}
+        volumes.append(volume / len(every))
+    assert max(volumes) < 6.5
+
+
+def test_minimal_set_without_broadcast(spark, monkeypatch):
+    r = random.Random(9)
+    texts = {drawn(r, r.randrange(0, 30), "Aé") for _ in range(250)} | {drawn(r, 40)[: r.randrange(41)] for _ in range(60)}
+    want = {x for x in texts if x == "" or not any(x != y and x in y for y in texts)}
+    monkeypatch.setattr(compare, "FEW_TEXTS", 0)
+    assert {x["seq"] for x in compare.minimal_set(framed(spark, sorted(texts), "a"), 8).collect()} == want
+
+
 def test_contained_pairs_by_brute_force_without_broadcast(spark, monkeypatch):
     r = random.Random(4)
     a, b = ([drawn(r, r.randrange(0, 26), "AC") for _ in range(80)] for _ in range(2))
