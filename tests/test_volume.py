@@ -1,11 +1,14 @@
 """What queries shuffle: it grows with their input, and stays well below a row for each position."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from kinweave import queries as Q
-from kinweave.operators import compare, kmers, locate, regions
+from kinweave.operators import chunks, compare, kmers, locate, regions
+from kinweave.params import Params
+from kinweave.plans import find
 
 
 def shuffled(spark, run):
@@ -171,3 +174,44 @@ def test_queries_on_order_join_their_tables_once(spark, name):
     d = "/root/testdata/sf0.001"
     once = read(spark, lambda: Q.anchors(spark, d).collect())
     assert 0 < once and read(spark, lambda: Q.QUERIES[name](spark, d).collect()) < 1.5 * once
+
+
+def copies(r, docs, passages):
+    """Genomes whose texts hold passages in orders of their own, so no two texts are equal and each passage has many places."""
+    return [(f"g{g}", f"c{i}", drawn(r, 5).join(r.sample(passages, 6))) for g in range(6) for i in range(docs)]
+
+
+@pytest.mark.parametrize("instances", [False, True])
+def test_shared_elements_make_no_pairs_of_places(spark, instances):
+    """Four times the texts shuffle about four times as much, though pairs of their places are sixteen times as many."""
+    r = random.Random(10)
+    passages = [drawn(r, 60) for _ in range(12)]
+    p = Params(min_length=24, kmer=16, kmer_threshold=0.5, max_occurrences=1000)
+    volumes = []
+    for docs in (30, 120):
+        rows = copies(r, docs, passages)
+        df = spark.createDataFrame(rows, "genome string, contig string, seq string")
+        run = find.find_instances if instances else find.find_shared
+        found, volume = shuffled(spark, lambda run=run, df=df: run(df, p).collect())
+        assert len(found) >= (6 * docs * 6 if instances else 12)
+        volumes.append(volume / sum(len(x[2]) for x in rows))
+    assert volumes[1] < 1.3 * volumes[0]
+
+
+def test_exact_places_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK", 64)
+    r = random.Random(11)
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    texts = [(g, f"c{i}", drawn(r, r.randrange(0, 300), "ACGT" if i else "AC\u00e9\U0001f600")) for g in "ab" for i in range(4)] + [("a", "r", "ACAC" * 50), ("b", "n", None)]
+    known = ({drawn(r, r.randrange(3, 6)) for _ in range(20)} | {x[2][a : a + n] for x in texts[1:4] for a, n in ((10, 40), (60, 9), (62, 70))} | {"ACACACAC", "ACGT", "AC\u00e9", "A" * 90}) - {""}
+    elements = spark.createDataFrame([(f"e{i}", x) for i, x in enumerate(sorted(known))] + [("n", None), ("m", "")], "id string, seq string")
+    want = {(f"e{i}", g, c, a, a + len(x), strand) for i, x in enumerate(sorted(known)) for strand, q in (("+", x), ("-", flip(x))) if strand == "+" or q != x for g, c, t in texts for a in range(len(t or "")) if t.startswith(q, a)}
+    df = spark.createDataFrame(texts, "genome string, contig string, seq string")
+    for few, once in ((locate.FEW_BEGINNINGS, locate.AT_ONCE), (0, 7)):
+        monkeypatch.setattr(locate, "FEW_BEGINNINGS", few)
+        monkeypatch.setattr(locate, "AT_ONCE", once)
+        assert {tuple(x)[:6] for x in locate.locate_exact(elements, df).collect()} == want
+        told = [tuple(x)[:6] for x in locate.locate_exact(elements, df, 1).collect()]
+        often = lambda rows: {k for k, n in Counter((x[0], x[1]) for x in rows).items() if n > 1}
+        assert often(told) == often(want) and len(set(told)) == len(told) < len(want)
+        assert {x for x in want if x[:2] not in often(want)} <= set(told) <= want
